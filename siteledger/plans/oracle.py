@@ -1,0 +1,3 @@
+"""SQL equivalents of the registered queries."""
+
+ORACLE_SQL: dict[str, str] = {}

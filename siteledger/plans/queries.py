@@ -1,0 +1,11 @@
+"""Registered queries of the site-analytics operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES = {}
+
+
+def content_declining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raise NotImplementedError
