@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from siteledger.llm.quality_outliers import op10_quality_outliers
+from siteledger.llm.toxicity import op7_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_toxicity": op7_toxicity,
     "op10_quality_outliers": op10_quality_outliers,
 }
 
