@@ -125,10 +125,9 @@ def _telling_slots(sample: DataFrame) -> tuple[np.ndarray, float]:
 
 
 def fit(labelled: DataFrame) -> Model:
-    """Learns from rows (doc_id, text, toxic) by gradient steps on the noisy-or
-    likelihood of the document labels, with a sparsity penalty."""
-    sample = labelled.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1)")
-    sample = stored(sample.orderBy(row_key("doc_id"), "doc_id", "text").limit(MAX_TRAIN).select("toxic", "text"), "toxicity-sample").repartition(12)
+    """Learns from rows (text, toxic), a bounded number of them, by gradient steps
+    on the noisy-or likelihood of the document labels, with a sparsity penalty."""
+    sample = stored(labelled.select(F.col("toxic").cast("int").alias("toxic"), "text").filter("toxic in (0, 1)"), "toxicity-sample")
     slots, rate = _telling_slots(sample)
     if not len(slots):
         return Model(slots, np.zeros(0), -40.0)
@@ -208,10 +207,13 @@ def held_out() -> Column:
 
 
 def fit_on(docs: DataFrame, labels: DataFrame) -> Model:
-    """Learns from the labelled rows of docs outside the held-out fold."""
-    marks = labels.groupBy(F.col("doc_id").alias("__id")).agg(F.max("toxic").alias("toxic"))
-    rows = docs.select("doc_id", "text").filter(~held_out())
-    return fit(rows.join(marks, rows["doc_id"] == marks["__id"]).drop("__id"))
+    """Learns from labelled rows of docs outside the held-out fold: all, or those
+    MAX_TRAIN whose ids have the smallest hashes."""
+    marks = labels.filter("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("__toxic"))
+    ids = marks.join(docs.select("doc_id").distinct(), "doc_id").filter(~held_out())
+    ids = stored(ids.orderBy(row_key("doc_id"), "doc_id").limit(MAX_TRAIN), "toxicity-ids")  # a bounded number of short rows
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    return fit(rows.select("text", F.col("__toxic").alias("toxic")))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
