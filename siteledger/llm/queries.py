@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from siteledger.llm.packing import op6_packing
 from siteledger.llm.quality_outliers import op10_quality_outliers
+from siteledger.llm.sorted_shards import op5_sorted_shards
 from siteledger.llm.toxicity import op7_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_sorted_shards": op5_sorted_shards,
+    "op6_packing": op6_packing,
     "op7_toxicity": op7_toxicity,
     "op10_quality_outliers": op10_quality_outliers,
 }
