@@ -6,16 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from siteledger.llm.mixing import op8_mixing
 from siteledger.llm.packing import op6_packing
+from siteledger.llm.preferences import OP9_SQL, op9_preferences
 from siteledger.llm.quality_outliers import op10_quality_outliers
+from siteledger.llm.sharding import op2_sharding
 from siteledger.llm.sorted_shards import op5_sorted_shards
 from siteledger.llm.toxicity import op7_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_sharding": op2_sharding,
     "op5_sorted_shards": op5_sorted_shards,
     "op6_packing": op6_packing,
     "op7_toxicity": op7_toxicity,
+    "op8_mixing": op8_mixing,
+    "op9_preferences": op9_preferences,
     "op10_quality_outliers": op10_quality_outliers,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_preferences": OP9_SQL,
+}
