@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from siteledger.llm.mixing import op8_mixing
 from siteledger.llm.ngram_join import op1_ngram_join
 from siteledger.llm.packing import op6_packing
+from siteledger.llm.pitman_yor import op4_pitman_yor
 from siteledger.llm.preferences import OP9_SQL, op9_preferences
 from siteledger.llm.quality_outliers import op10_quality_outliers
 from siteledger.llm.sharding import op2_sharding
@@ -18,6 +19,7 @@ from siteledger.llm.toxicity import op7_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_sharding": op2_sharding,
+    "op4_pitman_yor": op4_pitman_yor,
     "op5_sorted_shards": op5_sorted_shards,
     "op6_packing": op6_packing,
     "op7_toxicity": op7_toxicity,
