@@ -17,12 +17,23 @@ import numpy as np
 
 #: Parts whose ids a worker keeps in each of two stores. When the newer one is
 #: full it becomes the older one, so parts that recur stay.
-CACHE = 250_000
+CACHE = 600_000
 _MARKS = frozenset(",.;:!?")
 
 _INNER_SPACE = re.compile(r"\s[ \n]|^[ \n]")
 _CUT = re.compile(r"(?<=\S)(?=[ \n])")
 
+#: Byte-level files name each byte by a printable character: itself where it
+#: is one, else the next one from U+0100 on.
+_SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_CHARS = {b: 256 + n for n, b in enumerate(x for x in range(256) if x not in _SHOWN)}
+
+
+def _plain(part: str) -> bool:
+    """Only characters below U+0250, whose case and normal form are settled."""
+    return part.isascii() or (max(part) < "\u0250" and "\u0130" not in part)
+
+
 _encoders: dict[tuple[str, str], "Encoder"] = {}
 
 
@@ -47,16 +58,9 @@ class Encoder:
     def _parts(self, text: str) -> list[str]:
         if self.drops_space:
             return text.replace("\n", " ").split(" ")
-        if _INNER_SPACE.search(text):
+        if "\x01" in text or _INNER_SPACE.search(text):
             return _CUT.split(text)
-        first, *rest = text.split("\n")
-        out = first.split(" ")
-        out[1:] = [" " + p for p in out[1:]]
-        for line in rest:
-            head, *tail = line.split(" ")
-            out.append("\n" + head)
-            out.extend([" " + p for p in tail])
-        return out
+        return text.replace(" ", "\x01 ").replace("\n", "\x01\n").split("\x01")
 
     def _core(self, part: str) -> tuple[str, str, str]:
         """part as a leading break, a core and closing punctuation. Pieces end
@@ -67,10 +71,30 @@ class Encoder:
             part, mark = part[:-1], part[-1]
         if len(part) > 1 and part[0] == "\n" and not part[1].isspace():
             part, lead = part[1:], part[0]
-        if self.drops_space and part.isascii():
+        if self.drops_space and _plain(part):
             part = part.lower()  # as the file's normaliser does
         return lead, part, mark
 
+    def _encode_cores(self, cores: list[str]) -> None:
+        """Keeps the ids of new cores. A run of Latin letters, with or without a
+        space before it, is one piece for either kind of file and goes straight
+        to the merges of the library's model; the rest takes the whole path."""
+        known, code, tokenize = self.known, self.code, self.tokenizer.model.tokenize
+        rest = []
+        for c in cores:
+            if c and (c[1:] if c[0] == " " else c).isalpha() and _plain(c):
+                mapped = c.replace(" ", "\u0120") if c.isascii() else c.encode().decode("latin-1").translate(_BYTE_CHARS)
+                known[c] = array(code, [t.id for t in tokenize(mapped)]).tobytes()
+            else:
+                rest.append(c)
+        for at in range(0, len(rest), 4096):
+            some = rest[at : at + 4096]
+            e = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
+            ids = array(code, e.ids).tobytes()
+            cut = np.cumsum(np.bincount(np.array(e.word_ids, dtype=np.int64), minlength=len(some))) * self.width
+            cut = [0, *cut.tolist()]
+            known.update(zip(some, [ids[i:j] for i, j in zip(cut[:-1], cut[1:])]))
+
     def _learn(self, parts: list[str]) -> None:
         """Finds the ids of new parts; those of new cores come from the library."""
         known, old = self.known, self.old
@@ -79,14 +103,7 @@ class Encoder:
         split = {p: self._core(p) for p in parts if p not in known}
         wanted = {x for three in split.values() for x in three}.difference(known)
         known.update((x, old[x]) for x in wanted if x in old)
-        new = list(wanted.difference(known))
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            e = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
-            ids = array(self.code, e.ids).tobytes()
-            cut = np.cumsum(np.bincount(np.array(e.word_ids, dtype=np.int64), minlength=len(some))) * self.width
-            cut = [0, *cut.tolist()]
-            known.update(zip(some, [ids[i:j] for i, j in zip(cut[:-1], cut[1:])]))
+        self._encode_cores(list(wanted.difference(known)))
         known.update((p, known[a] + known[b] + known[c]) for p, (a, b, c) in split.items())
 
     def encode(self, texts: list[str]) -> list[bytes]:
