@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +45,14 @@ def row_key(*cols: str | Column) -> Column:
     return F.xxhash64(*cols, F.lit(0x5EED))
 
 
+def sheltered(docs: DataFrame, step: Callable[[DataFrame], DataFrame], known: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
+    """step(docs), with all columns but the known ones under names that clash
+    with none of the step's own."""
+    names = {c: f"__kept{k}" for k, c in enumerate(docs.columns) if c not in known}
+    out = step(docs.select(*[F.col(f"`{c}`").alias(names.get(c, c)) for c in docs.columns]))
+    return out.select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])
+
+
 def ranked(df: DataFrame, key: list[str], order: list[str | Column], out: str, spread: Column | None = None, parts: int | None = None) -> DataFrame:
     """Adds out: a gapless number from 0 within key, in the order of spread parts.
 

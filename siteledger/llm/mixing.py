@@ -197,7 +197,7 @@ def mixed_documents(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) ->
     same = keyed["doc_id"].eqNullSafe(draws["doc_id"]) & keyed["source"].eqNullSafe(draws["source"]) & (keyed["__tie2"] == draws["__tie"])
     words = F.regexp_extract_all(keyed["text"], F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     text = F.when(draws["words"] < draws["size"], F.array_join(F.slice(words, F.lit(1), draws["words"].cast("int")), "")).otherwise(keyed["text"])
-    return keyed.join(draws, same).select(*[(text.alias("text") if c == "text" else keyed[c]) for c in docs.columns])
+    return keyed.join(draws, same).select(*[(text.alias("text") if c == "text" else keyed[f"`{c}`"]) for c in docs.columns])
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

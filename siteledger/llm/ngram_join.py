@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteledger.llm.common import slices, stored
+from siteledger.llm.common import sheltered, slices, stored
 from siteledger.llm.components import components
 from siteledger.llm.textops import Texts, mix, span_hashes, spans, texts, windows
 
@@ -304,9 +304,8 @@ def deduplicated(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """docs with one row of each component: the one with its smallest id (of
     several with that id, the one with the smallest hash); all columns stay."""
     found = near_duplicates(docs, width, percent)
-    best = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "node")).alias("x")).select("x.node")
-    out = docs.withColumn("__node", _node()).join(best.withColumnRenamed("node", "__best").distinct().hint("shuffle_hash"), F.col("__node") == F.col("__best"), "left_semi")
-    return out.drop("__node")
+    best = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "node")).alias("x")).select(F.col("x.node").alias("__node")).distinct()
+    return sheltered(docs, lambda d: d.withColumn("__node", _node()).join(best.hint("shuffle_hash"), "__node", "left_semi").drop("__node"))
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,10 +15,12 @@ from siteledger.llm.quality_outliers import op10_quality_outliers
 from siteledger.llm.sharding import op2_sharding
 from siteledger.llm.sorted_shards import op5_sorted_shards
 from siteledger.llm.toxicity import op7_toxicity
+from siteledger.llm.wand_search import OP3_SQL, op3_wand_search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_sharding": op2_sharding,
+    "op3_wand_search": op3_wand_search,
     "op4_pitman_yor": op4_pitman_yor,
     "op5_sorted_shards": op5_sorted_shards,
     "op6_packing": op6_packing,
@@ -29,5 +31,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_wand_search": OP3_SQL,
     "op9_preferences": OP9_SQL,
 }

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteledger.llm.common import row_key, stored
+from siteledger.llm.common import row_key, sheltered, stored
 from siteledger.llm.textops import LOWER, WHITESPACE, Texts, mix, span_hashes, spans, texts
 
 MAX_TRAIN = 16_000
@@ -183,7 +183,7 @@ def with_score(docs: DataFrame, model: Model, keep: list[str], text: str = "text
         for b in batches:
             out = np.zeros(b.num_rows)
             found: list[list] = [[] for _ in range(b.num_rows)]
-            for t in texts(b.column(len(keep))):
+            for t in texts(b.column(at)):
                 s, f, ss, se, so = _hits(t, table)
                 z = m.bias + np.bincount(s, weights=m.weights[f], minlength=len(ss))
                 total = np.bincount(so, weights=_softplus(z), minlength=len(t))
@@ -197,8 +197,9 @@ def with_score(docs: DataFrame, model: Model, keep: list[str], text: str = "text
                 names.append("offending")
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    kept = docs.select(*keep, text)
-    types = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in kept.schema.fields[:-1])
+    kept = docs.select(*keep, *([] if text in keep else [text]))
+    at = kept.columns.index(text)
+    types = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in kept.schema.fields[: len(keep)])
     return kept.mapInArrow(run, f"{types}, score double" + ", offending array<struct<start: bigint, end: bigint, score: double>>" * locate)
 
 
@@ -221,14 +222,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Rows are judged one by one, so rows that share an id can part.
     """
-    marked = with_score(docs.withColumn("__text", F.col("text")), fit_on(docs, labels), docs.columns, "__text")
-    return marked.filter(F.col("score") < THRESHOLD).select(*docs.columns) if "score" not in docs.columns else _drop_clashing(docs, labels)
-
-
-def _drop_clashing(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    names = {c: f"__c{k}" for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
-    out = drop_toxic(docs.select(*[F.col(c).alias(names.get(c, c)) for c in docs.columns]), labels)
-    return out.select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])
+    model = fit_on(docs, labels)
+    return sheltered(docs, lambda d: with_score(d, model, d.columns).filter(F.col("score") < THRESHOLD).drop("score"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
