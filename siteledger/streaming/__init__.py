@@ -1 +1,50 @@
+"""Streaming forms of the collectors, workflow health and daily click totals."""
 
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from siteledger.sinks import upsert_by_date
+from siteledger.sources.landing import SEARCH_RESPONSE, TRAFFIC_RESPONSE, search_rows, traffic_rows
+
+LATENESS = "3 days"
+
+
+def stream_responses(spark: SparkSession, folder: str, kind: str = "search") -> DataFrame:
+    """Snapshot rows of response files as they land."""
+    schema, rows = (SEARCH_RESPONSE, search_rows) if kind == "search" else (TRAFFIC_RESPONSE, traffic_rows)
+    return rows(spark.readStream.schema(schema).option("multiLine", True).json(folder))
+
+
+def upsert_stream(rows: DataFrame, path: str, keys: list[str], checkpoint: str) -> StreamingQuery:
+    """Upserts each batch by key; a batch that is run again writes the same rows."""
+
+    def one(batch: DataFrame, _: int) -> None:
+        if not batch.isEmpty():
+            upsert_by_date(batch, path, keys)
+
+    return rows.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_health(steps: DataFrame) -> DataFrame:
+    """The newest run of each workflow and its status, from a stream of steps
+    (workflow, run_on, outcome); use in update mode."""
+    bad = F.max(F.when(F.col("outcome") == "failure", F.col("run_on"))).alias("last_failed_on")
+    per = steps.groupBy("workflow").agg(F.max("run_on").alias("run_on"), bad)
+    failed = F.coalesce(F.col("last_failed_on") == F.col("run_on"), F.lit(False))
+    return per.select("workflow", "run_on", F.when(failed, "failed").otherwise("ok").alias("status"))
+
+
+def daily_totals(events: DataFrame, lateness: str = LATENESS) -> DataFrame:
+    """Clicks by day and page from a stream (ts, page, clicks); late rows count
+    for three days."""
+    return events.withWatermark("ts", lateness).groupBy(F.window("ts", "1 day"), "page").agg(F.sum("clicks").alias("clicks")).select(F.col("window.start").cast("date").alias("day"), "page", "clicks")
+
+
+def run_to_end(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
+    q = df.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
