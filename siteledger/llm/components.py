@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siteledger.llm.common import stored
 
-JUMPS = 3
+JUMPS = 2
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -23,14 +23,11 @@ def components(links: DataFrame) -> DataFrame:
     labels = both.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
     while not edges.isEmpty():
         both = edges.select("a", "b").union(edges.select("b", "a"))
-        to = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("from"), F.least("a", "b").alias("to"))
+        to = stored(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("from"), F.least("a", "b").alias("to")), "components-pointers")
         for _ in range(JUMPS):
-            to = stored(to, "components-pointers")
-            nxt = to.select(F.col("from").alias("to"), F.col("to").alias("__to"))
-            to = to.join(nxt, "to").select("from", F.col("__to").alias("to"))
+            to = to.join(to.select(F.col("from").alias("to"), F.col("to").alias("__to")), "to").select("from", F.col("__to").alias("to"))
         to = stored(to, "components-pointers")
         labels = labels.join(to, labels["component"] == to["from"], "left").select("node", F.coalesce("to", "component").alias("component"))
-        labels = stored(labels, "components-labels")
         edges = edges.join(to.withColumnsRenamed({"from": "a", "to": "x"}), "a").join(to.withColumnsRenamed({"from": "b", "to": "y"}), "b")
         edges = stored(edges.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "components-edges")
-    return labels
+    return stored(labels, "components-labels")

@@ -16,11 +16,14 @@ documents link if 100 * |A & B| >= percent * |A | B|.
    the overlap in each fragment is counted separately, and the counts are
    summed per pair and tested.
 
-Candidates come in rounds. The first rounds pair each prefix list's documents
-with one leader of the list, which joins big groups of near copies with as many
-pairs as documents; the last round takes every pair left whose two sides are
-not yet in one component. So no link between components is lost, and a group
-that hangs together is never expanded into all its pairs.
+A pair is a candidate at a shared n-gram only if what both have from there on
+in the order could still make enough overlap; at the first n-gram that a linking
+pair shares this always holds. Candidates come in two rounds. The first pairs
+each prefix list's documents with one leader of the list, the one with most to
+share, which joins big groups of near copies with as many pairs as documents;
+the second takes every pair left whose two sides are not yet in one component.
+So no link between components is lost, and a group that hangs together is never
+expanded into all its pairs.
 
 Defined cases: null and empty texts, or texts without a word, have the empty
 set, no link and their own id as component; a text with fewer than n words has
@@ -46,7 +49,6 @@ from siteledger.llm.components import components
 from siteledger.llm.textops import Texts, mix, span_hashes, spans, texts, windows
 
 FRAGMENTS = 4
-LEADER_ROUNDS = 2
 #: Bytes of text whose n-grams a task gathers before it sends them on.
 CHUNK_BYTES = 12_000_000
 CHUNK_DOCS = 60_000
@@ -246,32 +248,38 @@ def _links(reps: DataFrame, percent: int) -> DataFrame:
     # Members that no other representative has come first in the order.
     live = (F.col("n") - _least_overlap(percent) + 1 - (F.col("n") - F.size("order"))).cast("int")
     per = stored(per.withColumn("live", live).filter("live > 0"), "ngrams-order")
-    prefix = stored(per.select("rep", "n", F.explode(F.slice("order", F.lit(1), F.col("live"))).alias("x")).select("rep", "n", "x.gram"), "ngrams-prefixes")
+    # left: how many members the set has from this one on, itself included.
+    prefix = per.select("rep", "n", F.size("order").alias("live_all"), F.posexplode(F.slice("order", F.lit(1), F.col("live"))).alias("at", "x"))
+    prefix = stored(prefix.select("rep", "n", (F.col("live_all") - F.col("at")).cast("long").alias("left"), "x.gram"), "ngrams-prefixes")
     segments = per.select("rep", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("f"), "order")
     segments = segments.select("rep", "f", F.transform(F.filter("order", lambda x: x["f"] == F.col("f")), lambda x: x["gram"]).alias("segment"))
     segments = stored(segments.filter(F.size("segment") > 0), "ngrams-segments")
-    links = None
-    for nth in range(LEADER_ROUNDS + 1):
-        where = prefix.withColumn("component", F.col("rep"))
-        if links is not None:
-            found = components(links)
-            where = prefix.join(found, prefix["rep"] == found["node"], "left").select("rep", "n", "gram", F.coalesce("component", "rep").alias("component"))
-        one = F.struct("rep", "n", "component")
-        if nth < LEADER_ROUNDS:
-            leaders = where.groupBy("gram").agg(F.min_by(one, F.xxhash64(F.lit(nth), "rep")).alias("l"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-            met = where.join(leaders.filter("lo <> hi"), "gram")
-        else:
-            mixed = where.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("gram")
-            rest = stored(where.join(mixed, "gram", "left_semi"), "ngrams-rest")
-            met = rest.join(rest.select("gram", one.alias("l")), "gram").filter(F.col("rep") < F.col("l.rep"))
-        close = 100 * F.least("n", "l.n") >= percent * F.greatest("n", "l.n")
-        pairs = met.filter((F.col("component") != F.col("l.component")) & close)
-        first = F.col("rep") < F.col("l.rep")
-        pairs = pairs.select(*[F.when(first, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("rep", "l.rep", "a"), ("n", "l.n", "na"), ("l.rep", "rep", "b"), ("l.n", "n", "nb"))])
-        pairs = stored(pairs.distinct(), "ngrams-pairs")
-        found = stored(_linked(pairs, segments, percent), "ngrams-links")
-        links = found if links is None else links.union(found)
-    return links
+    # First round: each list with its leader.
+    one = F.struct("rep", "n", "left")
+    leaders = prefix.groupBy("gram").agg(F.max_by(one, F.struct("left", F.xxhash64("rep"))).alias("l"), F.count(F.lit(1)).alias("many")).filter("many > 1")
+    met = prefix.join(leaders, (prefix["gram"] == leaders["gram"]) & (prefix["rep"] != F.col("l.rep")) & _could_link(percent))
+    links = stored(_linked(_ordered(met), segments, percent), "ngrams-links")
+    # Second round: the pairs left between components.
+    found = components(links)
+    where = prefix.join(found, prefix["rep"] == found["node"], "left").select("rep", "n", "left", "gram", F.coalesce("component", "rep").alias("component"))
+    mixed = where.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("gram")
+    rest = stored(where.join(mixed, "gram", "left_semi"), "ngrams-rest")
+    other = rest.select(F.col("gram").alias("__gram"), F.struct("rep", "n", "left", "component").alias("l"))
+    met = rest.join(other, (F.col("gram") == F.col("__gram")) & (F.col("rep") < F.col("l.rep")) & (F.col("component") != F.col("l.component")) & _could_link(percent))
+    return links.union(stored(_linked(_ordered(met), segments, percent), "ngrams-links"))
+
+
+def _could_link(percent: int) -> Column:
+    """What both sides have left, at most, still makes a link."""
+    most = F.least(F.col("left"), F.col("l.left"))
+    return 100 * most >= percent * (F.col("n") + F.col("l.n") - most)
+
+
+def _ordered(met: DataFrame) -> DataFrame:
+    """Each pair of rows (rep, n, l) once, as (a, na, b, nb) with a < b."""
+    first = F.col("rep") < F.col("l.rep")
+    pairs = met.select(*[F.when(first, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("rep", "l.rep", "a"), ("n", "l.n", "na"), ("l.rep", "rep", "b"), ("l.n", "n", "nb"))])
+    return stored(pairs.distinct(), "ngrams-pairs")
 
 
 def _linked(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
