@@ -45,6 +45,9 @@ CONSISTENCY = 1.45
 #: Least standard deviation of each transformed statistic: keeps a statistic
 #: that is constant in most rows from rejecting every row that has it.
 FLOORS = (0.45, 0.2, 0.35, 0.5, 0.6)
+#: Up to so many groups, their estimates (a few numbers each) are broadcast, so
+#: that rows of a big group stay where they are.
+BROADCAST_GROUPS = 10_000
 DIMS = ("z0", "z1", "z2", "z3", "z4")
 
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
@@ -166,6 +169,11 @@ def _distance() -> Column:
     return total
 
 
+def _by_group(table: DataFrame) -> DataFrame:
+    """A stored table with a row a group, marked for broadcast if it is small."""
+    return F.broadcast(table) if table.count() <= BROADCAST_GROUPS else table
+
+
 def with_distance(stats: DataFrame, by: list[str]) -> DataFrame:
     """Adds distance, the squared robust distance of each row of its group's centre.
 
@@ -173,7 +181,7 @@ def with_distance(stats: DataFrame, by: list[str]) -> DataFrame:
     grouped aggregations over the statistics, which are a few numbers a row.
     """
     rows = _transformed(stats)
-    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__size"))
+    sizes = _by_group(stored(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__size")), "outliers-sizes"))
     own = rows.join(sizes, by).withColumn("__grp", F.when(F.col("__size") >= MIN_GROUP, F.concat_ws("\x1f", *by)).otherwise(F.lit(""))).drop("__size")
     own = stored(own, "outliers-rows")
     group = ["__grp"]
@@ -187,12 +195,12 @@ def with_distance(stats: DataFrame, by: list[str]) -> DataFrame:
         F.array(*[F.col(z)[1] for z in DIMS]).alias("centre"),
         F.array(*[1 / (spread[i] * spread[i]) if i == j else zero for i in range(k) for j in range(k)]).alias("inverse"),
     )
-    est = stored(est, "outliers-start")
+    est = _by_group(stored(est, "outliers-start"))
     for _ in range(STEPS):
         far = own.join(est, group).withColumn("distance", _distance())
-        limit = far.groupBy(*group).agg(F.percentile_approx("distance", SUPPORT, 1000).alias("__limit"))
+        limit = _by_group(stored(far.groupBy(*group).agg(F.percentile_approx("distance", SUPPORT, 1000).alias("__limit")), "outliers-limit"))
         near = far.select(*group, *DIMS, "distance").join(limit, group).filter(F.col("distance") <= F.col("__limit"))
-        est = stored(_estimates(_moments(near, group), group), "outliers-estimate")
+        est = _by_group(stored(_estimates(_moments(near, group), group), "outliers-estimate"))
     return own.join(est, group).withColumn("distance", _distance()).drop("centre", "inverse", *DIMS, *group)
 
 
