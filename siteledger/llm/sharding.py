@@ -42,49 +42,66 @@ def _ends(values: list[int]) -> list[int]:
     return out
 
 
-def _loads(linked: DataFrame, shards: int) -> tuple[list[int], int]:
-    """Members of each shard, and how many of them have just moved."""
-    sums = linked.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("moved").cast("long")).alias("m"))
-    found = {r.shard: (r.n, r.m) for r in sums.toLocalIterator()}  # a row a shard
-    return [found.get(s, (0, 0))[0] for s in range(shards)], sum(m for _, m in found.values())
-
-
-def _round(linked: DataFrame, room: list[int]) -> DataFrame:
-    """One round over rows (row, hub, n, shard); gives them with their new shard."""
-    parts = slices(linked.sparkSession)
-    open_ = F.element_at(F.array(*[F.lit(r) for r in room]), F.col("shard") + 1) > 0
-    counts = linked.groupBy("hub", "n", "shard").agg(F.count(F.lit(1)).alias("c"))
-    # A hub's shards, the strongest first; a hash of both breaks ties.
-    force = F.struct(F.col("c").alias("c"), F.xxhash64("hub", "shard").alias("t"), F.col("shard").alias("shard"))
-    wish = counts.groupBy("hub", "n").agg(F.max(F.when(open_, force)).alias("best"), F.collect_list(force).alias("all"))
+def _sums(wishes: DataFrame) -> dict[tuple[int, int | None], int]:
+    """Rows by shard and by the shard they wish for: at most (shards + 1) squared numbers."""
+    return {(r.shard, r.to): r.n for r in wishes.groupBy("shard", "to").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}
+
+
+def _wishes(linked: DataFrame, room: list[int]) -> DataFrame:
+    """Rows (row, hub, n, shard) with to: the shard with room in which most of the
+    hub is, if that beats the row's own; else null."""
+    shards = len(room)
+    counts = F.array(*[F.count_if(F.col("shard") == s) for s in range(shards)])
+    hubs = linked.groupBy("hub", "n").agg(counts.alias("c"))
+    # A hub's shards in order of strength; a hash of both breaks ties.
+    force = [F.struct(F.col("c")[s].alias("c"), F.xxhash64("hub", F.lit(s)).alias("t"), F.lit(s).alias("shard")) for s in range(shards)]
+    best = F.array_max(F.array(*[force[s] for s in range(shards) if room[s] > 0])) if max(room) > 0 else F.lit(None).cast("struct<c: bigint, t: bigint, shard: int>")
     salts = F.ceil(F.col("n") / SALT_ROWS)
-    wish = wish.select(F.col("hub").alias("__h"), "best", "all", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("__salt"))
+    hubs = hubs.select(F.col("hub").alias("__h"), F.col("c").alias("__c"), best.alias("__best"), F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("__salt"))
     own = linked.withColumn("__of", F.pmod(F.xxhash64("row"), salts))
-    met = own.join(wish, (own["hub"] == wish["__h"]) & (own["__of"] == wish["__salt"]))
-    mine = F.filter("all", lambda x: x["shard"] == F.col("shard"))[0]
-    better = F.col("best").isNotNull() & (F.struct(F.col("best.c"), F.col("best.t")) > F.struct(mine["c"], mine["t"]))
-    met = met.withColumn("to", F.when(better, F.col("best.shard"))).select("row", "hub", "n", "shard", "to")
-    met = stored(met, "sharding-wishes")
+    met = own.join(hubs, (own["hub"] == hubs["__h"]) & (own["__of"] == hubs["__salt"]))
+    mine = F.struct(F.element_at("__c", F.col("shard") + 1).alias("c"), F.xxhash64("hub", F.col("shard")).alias("t"))
+    better = F.struct(F.col("__best.c").alias("c"), F.col("__best.t").alias("t")) > mine
+    return met.select("row", "hub", "n", "shard", F.when(F.col("__best").isNotNull() & better, F.col("__best.shard")).alias("to"))
+
+
+def _admitted(wishes: DataFrame, room: list[int], full: list[int]) -> DataFrame:
+    """wishes, with those beyond the room of the shards in full taken back, hub by hub."""
+    parts = slices(wishes.sparkSession)
+    over = F.col("to").isin(full)
     spread = F.pmod(F.xxhash64("hub"), F.lit(parts)) * parts + F.pmod(F.xxhash64("row"), F.lit(parts))
-    movers = ranked(met.filter("to is not null"), ["to"], ["hub", "row"], "nth", spread, parts * parts)
-    room_of = F.element_at(F.array(*[F.lit(r) for r in room]), F.col("to") + 1)
-    goes = F.col("nth") < room_of
-    moved = movers.select("row", "hub", "n", F.when(goes, F.col("to")).otherwise(F.col("shard")).alias("shard"), goes.alias("moved"))
-    stays = met.filter("to is null").select("row", "hub", "n", "shard", F.lit(False).alias("moved"))
-    return stored(stays.unionByName(moved), "sharding-labels")
+    nth = ranked(wishes.filter(over), ["to"], ["hub", "row"], "nth", spread, parts * parts)
+    may = F.col("nth") < F.element_at(F.array(*[F.lit(r) for r in room]), F.col("to") + 1)
+    kept = nth.select("row", "hub", "n", "shard", F.when(may, F.col("to")).alias("to"))
+    return wishes.filter("to is null").unionByName(wishes.filter(~over)).unionByName(kept)
 
 
 def propagate(members: DataFrame, n_rows: int, shards: int = SHARDS, rounds: int = ROUNDS) -> tuple[DataFrame, list[int]]:
     """Shards for members (row, hub, n: rows of the hub) under the quotas of
     n_rows rows; and the number of members in each shard."""
     quotas = quota(n_rows, shards)
-    linked = ranked(members, [], ["row"], "__i").withColumn("shard", (F.col("__i") % shards).cast("int")).select("row", "hub", "n", "shard", F.lit(False).alias("moved"))
-    linked = stored(linked, "sharding-start")
-    loads, _ = _loads(linked, shards)
+    linked = members.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int"))
+    loads = [0] * shards
+    for r in linked.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).toLocalIterator():
+        loads[r.shard] = r.n
+    if any(x > q for x, q in zip(loads, quotas)):  # almost all rows are linked: deal them out evenly
+        linked = stored(ranked(members, [], ["row"], "__i").withColumn("shard", (F.col("__i") % shards).cast("int")).drop("__i"), "sharding-start")
+        loads = quota(sum(loads), shards)
     for _ in range(rounds):
-        linked = _round(linked, [q - x for q, x in zip(quotas, loads)])
-        loads, moves = _loads(linked, shards)
-        if not moves:
+        room = [q - x for q, x in zip(quotas, loads)]
+        wishes = stored(_wishes(linked, room), "sharding-wishes")
+        sums = _sums(wishes)
+        wanted = [sum(n for (_, to), n in sums.items() if to == s) for s in range(shards)]
+        full = [s for s in range(shards) if wanted[s] > room[s]]
+        if full:
+            wishes = stored(_admitted(wishes, room, full), "sharding-labels")
+            sums = _sums(wishes)
+        for (shard, to), n in sums.items():
+            if to is not None:
+                loads[shard] -= n
+                loads[to] += n
+        linked = wishes.select("row", "hub", "n", F.coalesce("to", "shard").alias("shard"))
+        if not any(wanted):
             break
     return linked, loads
 
@@ -93,13 +110,11 @@ def shard_rows(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
     """Adds shard and slot to stored rows (row: a number of its own; hub: rows
     with equal ones are linked)."""
     groups = rows.groupBy("hub").agg(F.count(F.lit(1)).alias("n"))
+    known = stored(rows.select("row", "hub").join(groups, "hub"), "sharding-hubs")
     total = rows.count()
-    known = rows.join(groups, "hub").select("row", "hub", "n")
-    members = stored(known.filter("n > 1"), "sharding-members")
-    linked, loads = propagate(members, total, shards)
+    linked, loads = propagate(known.filter("n > 1"), total, shards)
     ends = _ends([q - x for q, x in zip(quota(total, shards), loads)])
-    single = rows.join(members.select("row"), "row", "left_anti").select("row")
-    single = ranked(single, [], ["row"], "__i")
+    single = ranked(known.filter("n = 1").select("row"), [], ["row"], "__i")
     single = single.select("row", F.expr(f"cast(size(filter(array({', '.join(f'{e}L' for e in ends)}), e -> e <= __i)) as int)").alias("shard"))
     placed = stored(linked.select("row", "shard").unionByName(single), "sharding-placed")
     return rows.join(ranked(placed, ["shard"], ["row"], "slot"), "row")
