@@ -39,7 +39,7 @@ SHARD_DOCS = 8192
 SHARD_BYTES = 24_000_000
 QUERY_BLOCK = 1024
 #: Blocks scored first, to have a threshold.
-FIRST_BLOCKS = 4
+FIRST_BLOCKS = 6
 
 
 def _ranges(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -106,7 +106,7 @@ class Shard:
         lengths = np.frombuffer(row["lengths"], "<i8")
         self.terms = np.frombuffer(row["terms"], np.uint64)
         self.starts = np.frombuffer(row["starts"], "<u4").astype(np.int64)
-        self.docs = np.frombuffer(row["postings"], "<u2").astype(np.int64)
+        self.docs = np.frombuffer(row["postings"], "<u2")
         tf = np.frombuffer(row["counts"], "<u4").astype(float)
         self.impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.docs] / max(mean, 1e-9)))
         block = self.docs // BLOCK
@@ -140,13 +140,10 @@ class Shard:
         done = np.zeros(self.n_blocks, bool)
         while len(todo):
             done[todo] = True
-            if 2 * len(todo) > self.n_blocks and done.sum() == len(todo):
-                mine, w = entry, weight
-            else:
-                inside = np.zeros(self.n_blocks, bool)
-                inside[todo] = True
-                mine = inside[block]
-                mine, w = entry[mine], weight[mine]
+            inside = np.zeros(self.n_blocks, bool)
+            inside[todo] = True
+            mine = inside[block]
+            mine, w = entry[mine], weight[mine]
             lo, hi = self.entry_start[mine], self.entry_start[mine + 1]
             posting = _ranges(lo, hi)
             scores += np.bincount(self.docs[posting], weights=self.impact[posting] * np.repeat(w, hi - lo), minlength=self.n)
@@ -155,7 +152,7 @@ class Shard:
             # Rounding of sums and results leaves room below the threshold.
             rest = order[~done[order]]
             rest = rest[(bound[rest] >= threshold - 2e-6) & (bound[rest] > 0)]
-            todo = rest[: max(2 * int(done.sum()), FIRST_BLOCKS)]
+            todo = rest
         scores = np.round(scores, 6)
         best = np.flatnonzero(scores >= max(threshold - 2e-6, 1e-12))
         best = best[np.lexsort((self.ids[best], self.known[best], -scores[best]))[:k]]
