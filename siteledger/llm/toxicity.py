@@ -9,8 +9,8 @@ offending sentences.
 Training uses at most MAX_TRAIN labelled documents (those with the smallest id
 hash). Features live in a hashed space of FEATURES slots; a first pass counts
 documents by slot, a second one reads only the MAX_USED slots that tell the
-labels apart best. So what reaches the driver has a proven bound, as has the
-table of weights that is sent to every task. Scoring reads every whole text.
+labels apart best. So the training data have a proven bound, and one task
+learns from them, as has the table of weights that is sent to every task. Scoring reads every whole text.
 
 Defined cases: a null or empty text has no sentence and gets the score of an
 empty bag, 0; a null id is scored like any other row (held_out is null);
@@ -145,20 +145,39 @@ def fit(labelled: DataFrame) -> Model:
                     names=["toxic", "n", "s", "f"],
                 )
 
-    rows = sample.mapInArrow(run, "toxic int, n long, s binary, f binary").toArrow()
-    y, n = rows["toxic"].to_numpy().astype(float), rows["n"].to_numpy()
-    base = np.cumsum(n) - n
-    s = np.concatenate([np.frombuffer(x.as_py(), "<i4") + k for x, k in zip(rows["s"], base)])
-    f = np.concatenate([np.frombuffer(x.as_py(), "<i4") for x in rows["f"]])
-    d = np.repeat(np.arange(len(y)), n)
-    weights, bias = np.zeros(len(slots)), float(np.log(rate / 10))
-    m, v, mb, vb = np.zeros(len(slots)), np.zeros(len(slots)), 0.0, 0.0
+    # A bounded number of documents: one task learns from all of them.
+    rows = sample.mapInArrow(run, "toxic int, n long, s binary, f binary").repartition(1)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        y, n, s, f = [], [], [], []
+        for b in batches:
+            y.append(b.column(0).to_numpy().astype(float))
+            n.append(b.column(1).to_numpy())
+            s += [np.frombuffer(x.as_py(), "<i4") for x in b.column(2)]
+            f += [np.frombuffer(x.as_py(), "<i4") for x in b.column(3)]
+        n = np.concatenate(n)
+        base = np.cumsum(n) - n
+        s = np.concatenate([x + np.int32(k) for x, k in zip(s, base)])
+        weights, bias = _descend(np.concatenate(y), np.repeat(np.arange(len(n)), n), s, np.concatenate(f), len(slots), rate)
+        used = np.flatnonzero(weights)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(slots[used], -1)), pa.array(np.append(weights[used], bias))], names=["slot", "weight"])
+
+    learned = rows.mapInArrow(learn, "slot long, weight double").toArrow()  # a row a used slot
+    slot, weight = learned["slot"].to_numpy(), learned["weight"].to_numpy()
+    return Model(slot[slot >= 0], weight[slot >= 0], float(weight[slot < 0][0]))
+
+
+def _descend(y: np.ndarray, d: np.ndarray, s: np.ndarray, f: np.ndarray, size: int, rate: float) -> tuple[np.ndarray, float]:
+    """Weights and bias for labels y, documents d of sentences, and pairs (s, f)
+    of sentence and entry."""
+    weights, bias = np.zeros(size), float(np.log(rate / 10))
+    m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
     for step in range(1, ROUNDS + 1):
         score = bias + np.bincount(s, weights=weights[f], minlength=len(d))
         total = np.bincount(d, weights=_softplus(score), minlength=len(y))
         pull = np.where(y > 0, -1 / np.expm1(np.clip(total, 1e-6, 500)), 1.0)
         g = pull[d] / (1 + np.exp(-score)) / len(y)
-        gw, gb = np.bincount(f, weights=g[s], minlength=len(slots)), g.sum()
+        gw, gb = np.bincount(f, weights=g[s], minlength=size), g.sum()
         m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         up, down = 1 - 0.9**step, 1 - 0.99**step
@@ -166,8 +185,7 @@ def fit(labelled: DataFrame) -> Model:
         weights = weights - scale * m / up
         weights = np.sign(weights) * np.maximum(np.abs(weights) - scale * L1, 0)
         bias -= RATE * (mb / up) / (np.sqrt(vb / down) + 1e-8)
-    used = weights != 0
-    return Model(slots[used], weights[used], bias)
+    return weights, bias
 
 
 def with_score(docs: DataFrame, model: Model, keep: list[str], text: str = "text", locate: bool = False) -> DataFrame:
