@@ -120,7 +120,7 @@ def encode_pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int = SEQU
 def pack(pieces: DataFrame, size: int = SEQUENCE) -> DataFrame:
     """pieces (with length, doc_id, piece) and sequence_id, offset."""
     spark = pieces.sparkSession
-    counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}  # at most size rows
+    counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most size rows
     made = spark.createDataFrame(plan(counts, size), "__length long, __lo long, __hi long, __first long, __each long, __used long")
     numbered = ranked(pieces, ["length"], ["doc_id", "piece", "start"], "__rank", parts=slices(spark))
     there = (F.col("length") == F.col("__length")) & (F.col("__rank") >= F.col("__lo")) & (F.col("__rank") < F.col("__hi"))

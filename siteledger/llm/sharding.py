@@ -44,7 +44,7 @@ def _ends(values: list[int]) -> list[int]:
 
 def _sums(wishes: DataFrame) -> dict[tuple[int, int | None], int]:
     """Rows by shard and by the shard they wish for: at most (shards + 1) squared numbers."""
-    return {(r.shard, r.to): r.n for r in wishes.groupBy("shard", "to").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}
+    return {(r.shard, r.to): r.n for r in wishes.groupBy("shard", "to").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
 def _wishes(linked: DataFrame, room: list[int]) -> DataFrame:
@@ -82,7 +82,7 @@ def propagate(members: DataFrame, n_rows: int, shards: int = SHARDS, rounds: int
     quotas = quota(n_rows, shards)
     linked = members.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int"))
     loads = [0] * shards
-    for r in linked.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).toLocalIterator():
+    for r in linked.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect():
         loads[r.shard] = r.n
     if any(x > q for x, q in zip(loads, quotas)):  # almost all rows are linked: deal them out evenly
         linked = stored(ranked(members, [], ["row"], "__i").withColumn("shard", (F.col("__i") % shards).cast("int")).drop("__i"), "sharding-start")
