@@ -22,15 +22,20 @@ pair shares this always holds. Candidates come in two rounds. The first pairs
 each prefix list's documents with one leader of the list, the one with most to
 share, which joins big groups of near copies with as many pairs as documents;
 the second takes every pair left whose two sides are not yet in one component.
-So no link between components is lost, and a group that hangs together is never
-expanded into all its pairs.
+So no link between components is lost.
+
+5. Links are counted: every link lies in one component, so the representatives of
+   a component meet each other once more, in blocks, as products of their sets.
+   A block gives numbers of links, weighted by how many documents have each set;
+   the pairs, which grow with the square of a group, are never written.
 
 Defined cases: null and empty texts, or texts without a word, have the empty
 set, no link and their own id as component; a text with fewer than n words has
 its whole sequence as single member; rows that share an id and text are one
 node; rows that share an id only are separate nodes, and a component is named
 by the smallest id in it; an id may be null (it names a component only if no
-other id does); extra columns are ignored by `near_duplicates` and kept by
+other id does); n_links counts the other nodes, those with an equal set too, that
+a node links to; extra columns are ignored by `near_duplicates` and kept by
 `deduplicated`.
 """
 
@@ -39,6 +44,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,6 +58,13 @@ FRAGMENTS = 4
 #: Bytes of text whose n-grams a task gathers before it sends them on.
 CHUNK_BYTES = 12_000_000
 CHUNK_DOCS = 60_000
+#: Sets, and n-grams in them, of a block of the count of links.
+BLOCK_SETS = 1024
+BLOCK_GRAMS = 1_000_000
+#: An n-gram that makes more pairs of a block than this is counted as a column
+#: of a matrix product, others pair by pair.
+DENSE_PAIRS = 4096
+DENSE_COLUMNS = 2048
 _LOW48 = np.uint64((1 << 48) - 1)
 _THIRD = np.uint64((1 << 48) // 3)
 _MANY = np.uint64(0xFFFF)
@@ -236,8 +249,9 @@ def _least_overlap(percent: int) -> Column:
     return F.floor((F.col("n") * percent + 99) / 100)
 
 
-def _links(reps: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of representatives that link; together they span every component."""
+def _links(reps: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b) of representatives that link; together they span every component.
+    And rep, n and order (shared n-grams) of those that may link."""
     tokens = stored(_shared_grams(reps), "ngrams-shared")
     place = F.struct("df", "gram")
     # Pivots of the global order, at even shares of the n-grams left.
@@ -266,7 +280,7 @@ def _links(reps: DataFrame, percent: int) -> DataFrame:
     rest = stored(where.join(mixed, "gram", "left_semi"), "ngrams-rest")
     other = rest.select(F.col("gram").alias("__gram"), F.struct("rep", "n", "left", "component").alias("l"))
     met = rest.join(other, (F.col("gram") == F.col("__gram")) & (F.col("rep") < F.col("l.rep")) & (F.col("component") != F.col("l.component")) & _could_link(percent))
-    return links.union(stored(_linked(_ordered(met), segments, percent), "ngrams-links"))
+    return links.union(stored(_linked(_ordered(met), segments, percent), "ngrams-links")), per
 
 
 def _could_link(percent: int) -> Column:
@@ -292,8 +306,86 @@ def _linked(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     return total.filter(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
+def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many members each set of a shares with each of b."""
+    out = np.zeros((len(a), len(b)), np.float32)
+    sides = [np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b)]
+    owners = [np.repeat(np.arange(len(x)), [len(y) for y in x]) for x in (a, b)]
+    gram, of = np.unique(np.concatenate(sides), return_inverse=True)
+    of = [of[: len(sides[0])], of[len(sides[0]) :]]
+    counts = [np.bincount(x, minlength=len(gram)) for x in of]
+    pairs = counts[0] * counts[1]
+    dense = np.flatnonzero(pairs > DENSE_PAIRS)
+    column = np.full(len(gram), -1)
+    column[dense] = np.arange(len(dense))
+    for k in range(0, len(dense), DENSE_COLUMNS):
+        wide = []
+        for x, owner, side in zip(of, owners, (a, b)):
+            at = column[x] - k
+            has = (at >= 0) & (at < DENSE_COLUMNS)
+            m = np.zeros((len(side), min(DENSE_COLUMNS, len(dense) - k)), np.float32)
+            m[owner[has], at[has]] = 1
+            wide.append(m)
+        out += wide[0] @ wide[1].T
+    few = (pairs > 0) & (pairs <= DENSE_PAIRS)
+    x, y = (np.flatnonzero(few[z]) for z in of)
+    y = y[np.argsort(of[1][y], kind="stable")]
+    first = np.searchsorted(of[1][y], of[0][x])
+    n = counts[1][of[0][x]]
+    ends = np.cumsum(n)
+    flat, cuts = out.reshape(-1), np.searchsorted(ends, np.arange(0, ends[-1] if len(n) else 0, 4_000_000))
+    for i, j in zip(cuts, [*cuts[1:], len(n)]):
+        k = n[i:j]
+        inner = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+        met = owners[1][y[np.repeat(first[i:j], k) + inner]]
+        np.add.at(flat, np.repeat(owners[0][x[i:j]], k) * len(b) + met, np.float32(1))
+    return out
+
+
+def _link_counts(per: DataFrame, found: DataFrame, weights: DataFrame, percent: int) -> DataFrame:
+    """rep and links: how many nodes of other representatives each one links to.
+
+    Components that fill more than one block are dealt to several, each pair of
+    which is a task; small ones share blocks.
+    """
+    sets = per.join(found, per["rep"] == found["node"]).join(weights, "rep")
+    sets = stored(sets.select("component", "rep", "n", "weight", F.transform("order", lambda x: x["gram"]).alias("grams")), "ngrams-linked")
+
+    def need(docs: Column, grams: Column) -> Column:
+        return F.greatest(F.ceil(docs / BLOCK_SETS), F.ceil(grams / BLOCK_GRAMS)).cast("int")
+
+    docs, grams = F.count(F.lit(1)), F.sum(F.size("grams"))
+    bins = sets.agg(F.coalesce(need(docs, grams), F.lit(1)).alias("n")).first().n or 1
+    blocks = sets.groupBy("component").agg(need(docs, grams).alias("blocks"))
+    mine = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("rep"), F.col("blocks"))).otherwise(0).cast("int")
+    alone = F.col("blocks") == 1
+    dealt = sets.join(blocks, "component").withColumn("block", mine)
+    dealt = dealt.withColumn("place", F.when(alone, F.pmod(F.xxhash64("component"), F.lit(bins))).otherwise(F.col("component")))
+    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select(alone.alias("alone"), "place", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "rep", "n", "weight", "grams")
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        i, j = f["i"].iloc[0], f["j"].iloc[0]
+        a, b = f[f["block"] == i], f[f["block"] == j]
+        both = overlaps(a["grams"].to_list(), b["grams"].to_list())
+        na, nb, wa, wb = a["n"].to_numpy(), b["n"].to_numpy(), a["weight"].to_numpy(), b["weight"].to_numpy()
+        ra, rb = a["rep"].to_numpy(), b["rep"].to_numpy()
+        to_a, to_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        for k in range(0, len(a), 256):
+            rows = slice(k, k + 256)
+            o = both[rows].astype(np.int64)
+            link = (o > 0) & (100 * o >= percent * (na[rows, None] + nb[None, :] - o)) & (ra[rows, None] != rb[None, :])
+            to_a[rows] = link @ wb
+            to_b += wa[rows] @ link
+        out = [(ra, to_a)] if i == j else [(ra, to_a), (rb, to_b)]
+        return pd.DataFrame({"rep": np.concatenate([x for x, _ in out]), "links": np.concatenate([x for _, x in out])})
+
+    counted = dealt.groupBy("alone", "place", "i", "j").applyInPandas(run, "rep long, links long")
+    return stored(counted.groupBy("rep").agg(F.sum("links").alias("links")), "ngrams-counts")
+
+
 def near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """node, doc_id, n_shingles and component_id of every row of docs."""
+    """node, doc_id, n_shingles, component_id and n_links of every row of docs."""
     sizes = set_sizes(docs, width)
     may = sizes.filter((F.col("n") > 0) & (100 * (F.col("n") - F.col("alone")) >= percent * F.col("n"))).select("node").distinct()
     sets = _sets(docs, may, width)
@@ -301,11 +393,15 @@ def near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
     reps = sets.groupBy(*same).agg(F.min("node").alias("rep"))
     member = stored(sets.select("node", "doc_id", *same).join(reps, same).select("node", "doc_id", "rep").distinct(), "ngrams-members")
     own = sets.join(member.select("rep").distinct(), sets["node"] == F.col("rep"), "left_semi").select(F.col("node").alias("rep"), "n", "grams").dropDuplicates(["rep"])
-    found = components(_links(own, percent))
-    joined = member.join(found, member["rep"] == found["node"], "left").select(member["node"], "doc_id", F.coalesce("component", "rep").alias("component"))
+    links, per = _links(own, percent)
+    found = components(links)
+    joined = member.join(found, member["rep"] == found["node"], "left").select(member["node"], "doc_id", "rep", F.coalesce("component", "rep").alias("component"))
     names = joined.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    ids = joined.join(names, "component").select("node", "component_id").distinct()
-    return sizes.join(ids, "node", "left").select("node", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    weights = stored(member.groupBy("rep").agg(F.count(F.lit(1)).alias("weight")), "ngrams-weights")
+    counts = weights.join(_link_counts(per, found, weights, percent), "rep", "left").select("rep", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    ids = joined.join(names, "component").join(counts, "rep").select("node", "component_id", "n_links").distinct()
+    out = sizes.join(ids, "node", "left").select("node", "doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
+    return out.withColumns({"component_id": F.coalesce("component_id", "doc_id"), "n_links": F.coalesce("n_links", F.lit(0))})
 
 
 def deduplicated(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -318,4 +414,4 @@ def deduplicated(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), 3, 90)
-    return out.select("doc_id", "n_shingles", "component_id")
+    return out.select("doc_id", "n_shingles", "component_id", "n_links")

@@ -136,6 +136,43 @@ def test_join_equals_brute_force(spark, width, percent):
     assert got == brute_components(texts, width, percent)
 
 
+@pytest.mark.parametrize("size", [None, 16])
+def test_join_counts_every_link(spark, size, monkeypatch):
+    """Groups of near copies, also in several blocks: links of each document, equal sets included."""
+    from siteledger.llm import ngram_join
+
+    if size:
+        monkeypatch.setattr(ngram_join, "BLOCK_SETS", size)
+        monkeypatch.setattr(ngram_join, "DENSE_PAIRS", size)
+    rng = random.Random(11)
+    base = [[f"v{rng.randrange(400)}" for _ in range(60)] for _ in range(3)]
+    texts = {n: list(base[min(n // 60, 2)]) for n in range(150)}
+    for n, w in texts.items():
+        for _ in range(n % 3):
+            w[rng.randrange(60)] = f"x{rng.randrange(50)}"
+    texts = {n: " ".join(w) for n, w in texts.items()} | {200: "", 201: "one", 202: "ONE", 203: "two"}
+    sets = {}
+    for i, t in texts.items():
+        w = WORD.findall(lower(t))
+        sets[i] = {tuple(w)} if 0 < len(w) < 3 else {tuple(w[k : k + 3]) for k in range(len(w) - 2)}
+    want = {a: sum(a != b and bool(x & y) and 100 * len(x & y) >= 80 * len(x | y) for b, y in sets.items()) for a, x in sets.items()}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.n_links for r in ngram_join.near_duplicates(rows, 3, 80).collect()}
+    assert got == want and 0 < sum(want.values()) < 150 * 149
+
+
+@pytest.mark.parametrize("pairs", [0, 40, 10**6])
+def test_overlaps(pairs, monkeypatch):
+    from siteledger.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "DENSE_PAIRS", pairs)
+    monkeypatch.setattr(ngram_join, "DENSE_COLUMNS", 7)
+    rng = np.random.default_rng(4)
+    a, b = ([np.unique(rng.integers(0, 60, rng.integers(0, 40)) ** 2) for _ in range(n)] for n in (9, 14))
+    assert ngram_join.overlaps(a, b).tolist() == [[len(np.intersect1d(x, y)) for y in b] for x in a]
+    assert ngram_join.overlaps(a, []).shape == (9, 0)
+
+
 def test_join_of_odd_rows(spark, odd):
     from siteledger.llm.ngram_join import deduplicated, near_duplicates
 
