@@ -384,8 +384,10 @@ def _link_counts(per: DataFrame, found: DataFrame, weights: DataFrame, percent:
     return stored(counted.groupBy("rep").agg(F.sum("links").alias("links")), "ngrams-counts")
 
 
-def near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """node, doc_id, n_shingles, component_id and n_links of every row of docs."""
+def _grouped(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """node, doc_id and n of every row of docs; node, doc_id, rep and component
+    (a node that names it) of those with a set that others may link to; and what
+    _link_counts takes: the sets in order and each one's component."""
     sizes = set_sizes(docs, width)
     may = sizes.filter((F.col("n") > 0) & (100 * (F.col("n") - F.col("alone")) >= percent * F.col("n"))).select("node").distinct()
     sets = _sets(docs, may, width)
@@ -396,8 +398,14 @@ def near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
     links, per = _links(own, percent)
     found = components(links)
     joined = member.join(found, member["rep"] == found["node"], "left").select(member["node"], "doc_id", "rep", F.coalesce("component", "rep").alias("component"))
+    return sizes, joined, per, found
+
+
+def near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """node, doc_id, n_shingles, component_id and n_links of every row of docs."""
+    sizes, joined, per, found = _grouped(docs, width, percent)
     names = joined.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    weights = stored(member.groupBy("rep").agg(F.count(F.lit(1)).alias("weight")), "ngrams-weights")
+    weights = stored(joined.groupBy("rep").agg(F.count(F.lit(1)).alias("weight")), "ngrams-weights")
     counts = weights.join(_link_counts(per, found, weights, percent), "rep", "left").select("rep", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     ids = joined.join(names, "component").join(counts, "rep").select("node", "component_id", "n_links").distinct()
     out = sizes.join(ids, "node", "left").select("node", "doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
@@ -406,10 +414,14 @@ def near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 def deduplicated(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """docs with one row of each component: the one with its smallest id (of
-    several with that id, the one with the smallest hash); all columns stay."""
-    found = near_duplicates(docs, width, percent)
-    best = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "node")).alias("x")).select(F.col("x.node").alias("__node")).distinct()
-    return sheltered(docs, lambda d: d.withColumn("__node", _node()).join(best.hint("shuffle_hash"), "__node", "left_semi").drop("__node"))
+    several with that id, the one with the smallest hash; a null id only where
+    there is no other), and of rows with equal id and text one; all columns
+    stay. Rows without links are components of their own, whatever their ids."""
+    sizes, joined, _, _ = _grouped(docs, width, percent)
+    found = sizes.join(joined.select("node", "component").distinct(), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "node")
+    best = found.groupBy("component").agg(F.min(order).alias("x")).select(F.col("x.node").alias("__node"))
+    return sheltered(docs, lambda d: d.withColumn("__node", _node()).join(best.hint("shuffle_hash"), "__node", "left_semi").dropDuplicates(["__node"]).drop("__node"))
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

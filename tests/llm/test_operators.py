@@ -191,6 +191,20 @@ def test_deduplicated_keeps_one_of_a_group(spark):
     assert sorted(r.doc_id for r in deduplicated(frame(spark, rows), 5, 80).collect()) == [3, 7]
 
 
+def test_deduplicated_goes_by_component_not_by_id(spark, odd):
+    """Repeated and null ids: unlinked texts stay, repeated rows and near copies go."""
+    from siteledger.llm.ngram_join import deduplicated
+
+    words = [f"w{n}" for n in range(100)]
+    full, near = " ".join(words), " ".join(words[:-1])
+    rows = [(None, "one text of its own", "s"), (None, "and quite another one here", "s"), (None, None, "s"), (8, full, "s"), (3, near, "s"), (None, full + " z", "s")]
+    rows += [(3, "has the id of a linked row", "s"), (5, "said twice by one id", "s"), (5, "said twice by one id", "t"), (5, "something else by it", "s")]
+    got = Counter((r.doc_id, r.text) for r in deduplicated(frame(spark, rows), 5, 80).collect())
+    assert got == Counter({(i, t) for i, t, _ in rows} - {(8, full), (None, full + " z")})
+    got = Counter((r.doc_id, r.text) for r in deduplicated(odd, 3, 90).collect())
+    assert got == Counter({(i, t) for i, t, _ in odd_rows()})
+
+
 # --- 2: sharding ----------------------------------------------------------
 
 
