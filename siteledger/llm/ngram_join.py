@@ -57,7 +57,8 @@ from siteledger.llm.textops import Texts, mix, span_hashes, spans, texts, window
 FRAGMENTS = 4
 #: Bytes of text whose n-grams a task gathers before it sends them on.
 CHUNK_BYTES = 12_000_000
-CHUNK_DOCS = 60_000
+#: A document's place in its chunk has 16 bits, of which _MANY is taken.
+CHUNK_DOCS = 65_535
 #: Sets, and n-grams in them, of a block of the count of links.
 BLOCK_SETS = 1024
 BLOCK_GRAMS = 1_000_000
@@ -135,13 +136,15 @@ def set_sizes(docs: DataFrame, width: int) -> DataFrame:
             known = column.is_valid().to_numpy(zero_copy_only=False)
             ids = column.fill_null(0).to_numpy(zero_copy_only=False)
             for t in texts(b.column(2)):
+                if held and docs_ + len(t) > CHUNK_DOCS:
+                    yield flush()
                 own, h = ngram_sets(t, width)
                 rows = slice(t.first, t.first + len(t))
                 some = h < _THIRD
                 place = (own[some] + docs_).astype(np.uint64)
                 held.append((nodes[rows], ids[rows], known[rows], np.bincount(own, minlength=len(t)).astype("<i8"), (h[some] << np.uint64(16)) | place))
                 bytes_, docs_ = bytes_ + len(t.data), docs_ + len(t)
-                if bytes_ >= CHUNK_BYTES or docs_ >= CHUNK_DOCS - 2000:
+                if bytes_ >= CHUNK_BYTES:
                     yield flush()
         if held:
             yield flush()

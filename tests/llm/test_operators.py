@@ -191,6 +191,18 @@ def test_deduplicated_keeps_one_of_a_group(spark):
     assert sorted(r.doc_id for r in deduplicated(frame(spark, rows), 5, 80).collect()) == [3, 7]
 
 
+def test_sizes_of_more_short_texts_than_places(spark):
+    """70,000 short texts after a flush by bytes in the middle of a batch: no place overflows."""
+    from siteledger.llm.ngram_join import set_sizes
+
+    # 3,000 long texts of common words, then short ones, all in one partition.
+    long = F.concat_ws(" ", F.lit("common " * 714), F.col("id"))
+    text = F.when(F.col("id") < 3000, long).when(F.col("id") % 3 == 0, F.concat(F.lit("t"), F.floor(F.col("id") / 6))).otherwise(F.concat(F.lit("t"), F.col("id") + 10**6))
+    rows = spark.range(0, 80_000, 1, 1).select(F.col("id").alias("doc_id"), text.alias("text"))
+    alone = [{r.doc_id: r.alone for r in set_sizes(x, 1).filter("alone > 0").collect()} for x in (rows, rows.repartition(8))]
+    assert alone[0] == alone[1] and len(alone[0]) > 10_000
+
+
 def test_deduplicated_goes_by_component_not_by_id(spark, odd):
     """Repeated and null ids: unlinked texts stay, repeated rows and near copies go."""
     from siteledger.llm.ngram_join import deduplicated
