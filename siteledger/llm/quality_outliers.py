@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteledger.llm.common import stored
+from siteledger.llm.common import sheltered, stored
 from siteledger.llm.textops import STEP_BYTES, WHITESPACE, span_hashes, spans, texts, windows
 
 SYMBOLS = b"#*$%&|<>"
@@ -204,10 +204,18 @@ def with_distance(stats: DataFrame, by: list[str]) -> DataFrame:
     return own.join(est, group).withColumn("distance", _distance()).drop("centre", "inverse", *DIMS, *group)
 
 
-def judge_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, the statistics, base_failed, distance (null if the base rules
-    reject) and kept, for every row of docs."""
-    stats = with_statistics(docs.select("doc_id", F.coalesce("lang", F.lit("\x00")).alias("lang"), F.coalesce("source", F.lit("\x00")).alias("source"), "text"), ["doc_id", "lang", "source"])
+def _group_column(name: str) -> Column:
+    return F.coalesce(name, F.lit("\x00"))
+
+
+def _row() -> Column:
+    """A hash of all that a row's verdict depends on, and of its id."""
+    return F.xxhash64("doc_id", "text", _group_column("lang"), _group_column("source"))
+
+
+def _judged(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """judge_documents with the columns in keep in place of doc_id."""
+    stats = with_statistics(docs.select(*keep, _group_column("lang").alias("lang"), _group_column("source").alias("source"), "text"), [*keep, "lang", "source"])
     stats = stored(stats.withColumn("base_failed", base_failed()), "outliers-stats")
     passed = with_distance(stats.filter(~F.col("base_failed")), ["lang", "source"])
     failed = stats.filter("base_failed").withColumn("distance", F.lit(None).cast("double"))
@@ -215,10 +223,22 @@ def judge_documents(docs: DataFrame) -> DataFrame:
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("distance") <= CUTOFF)).drop("lang", "source")
 
 
+def judge_documents(docs: DataFrame) -> DataFrame:
+    """doc_id, the statistics, base_failed, distance (null if the base rules
+    reject) and kept, for every row of docs."""
+    return _judged(docs, ["doc_id"])
+
+
 def reject_outliers(docs: DataFrame) -> DataFrame:
-    """docs without the rows that judge_documents rejects; all columns stay."""
-    rejected = judge_documents(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["doc_id"]), "left_anti")
+    """docs without the rows that judge_documents rejects, row by row: rows with
+    the same id stand for themselves; all columns stay."""
+
+    def step(d: DataFrame) -> DataFrame:
+        keyed = d.withColumn("__row", _row())
+        rejected = _judged(keyed, ["__row"]).filter(~F.col("kept")).select("__row").distinct()
+        return keyed.join(rejected, "__row", "left_anti").drop("__row")
+
+    return sheltered(docs, step, ("doc_id", "text", "lang", "source"))
 
 
 def op10_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:

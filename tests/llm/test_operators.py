@@ -694,6 +694,18 @@ def test_outliers_are_found_by_group(spark):
     assert sum(got[i] for i in range(300)) >= 297 and not any(got[1000 + i] for i in range(20))
 
 
+def test_outliers_go_row_by_row(spark):
+    """A rejected row takes no other row of its id with it, null ids included."""
+    from siteledger.llm.quality_outliers import reject_outliers
+
+    rng = random.Random(3)
+    make = lambda: " ".join(f"word{rng.randrange(3000)}" for _ in range(100))
+    good = [(i if i > 5 else None, make(), "s") for i in range(100)]
+    bad = [(None, None, "s"), (7, "short", "s"), (8, None, None)]
+    got = reject_outliers(frame(spark, good + bad)).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter((i, t) for i, t, _ in good)
+
+
 # --- pipeline -------------------------------------------------------------
 
 
