@@ -4,9 +4,13 @@ Documents are linked through hubs: rows (doc_id, hub) say that all documents of
 a hub belong together, which states a group of any size in as many rows. Linked
 documents start in an even spread over shards. In each round Spark joins every
 document with its hub's count by shard; documents whose hub is stronger in
-another shard that has room propose to move there, and each shard admits as
-many as its quota leaves, hub by hub. Documents without links then fill every
-shard up to its exact quota, so counts differ by one at most (law `rows`).
+another shard propose to move there, and each shard admits, hub by hub, as many
+as its quota and those that leave it in the same round make room for. Rounds look
+at shards with room first; where these admit nothing, documents are exchanged
+between full ones. Each move makes a hub's spread less even, so rounds end: when
+no hub is split, or exchanges admit nothing IDLE times running. Documents without
+links then fill every shard up to its exact quota, so counts differ by one at
+most (law `rows`).
 
 Hubs with many documents are salted in the join, proposals are ranked in parts,
 and all that a round sends to the driver is a few numbers a shard.
@@ -24,7 +28,8 @@ from pyspark.sql import functions as F
 from siteledger.llm.common import ranked, slices, stored
 
 SHARDS = 24
-ROUNDS = 12
+#: Exchanges without a move, each with other ties, after which rounds end.
+IDLE = 2
 #: A hub with more documents than this is joined in several parts.
 SALT_ROWS = 4096
 
@@ -47,36 +52,54 @@ def _sums(wishes: DataFrame) -> dict[tuple[int, int | None], int]:
     return {(r.shard, r.to): r.n for r in wishes.groupBy("shard", "to").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
-def _wishes(linked: DataFrame, room: list[int]) -> DataFrame:
-    """Rows (row, hub, n, shard) with to: the shard with room in which most of the
-    hub is, if that beats the row's own; else null."""
-    shards = len(room)
+def _wishes(linked: DataFrame, shards: int, among: list[int], tie: int) -> DataFrame:
+    """Rows (row, hub, n, shard) with to: the shard of those in among in which most
+    of the hub is, if that beats the row's own; else null."""
     counts = F.array(*[F.count_if(F.col("shard") == s) for s in range(shards)])
     hubs = linked.groupBy("hub", "n").agg(counts.alias("c"))
     # A hub's shards in order of strength; a hash of both breaks ties.
-    force = [F.struct(F.col("c")[s].alias("c"), F.xxhash64("hub", F.lit(s)).alias("t"), F.lit(s).alias("shard")) for s in range(shards)]
-    best = F.array_max(F.array(*[force[s] for s in range(shards) if room[s] > 0])) if max(room) > 0 else F.lit(None).cast("struct<c: bigint, t: bigint, shard: int>")
+    force = [F.struct(F.col("c")[s].alias("c"), F.xxhash64("hub", F.lit(s), F.lit(tie)).alias("t"), F.lit(s).alias("shard")) for s in range(shards)]
+    best = F.array_max(F.array(*[force[s] for s in among]))
     salts = F.ceil(F.col("n") / SALT_ROWS)
     hubs = hubs.select(F.col("hub").alias("__h"), F.col("c").alias("__c"), best.alias("__best"), F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("__salt"))
     own = linked.withColumn("__of", F.pmod(F.xxhash64("row"), salts))
     met = own.join(hubs, (own["hub"] == hubs["__h"]) & (own["__of"] == hubs["__salt"]))
-    mine = F.struct(F.element_at("__c", F.col("shard") + 1).alias("c"), F.xxhash64("hub", F.col("shard")).alias("t"))
+    mine = F.struct(F.element_at("__c", F.col("shard") + 1).alias("c"), F.xxhash64("hub", F.col("shard"), F.lit(tie)).alias("t"))
     better = F.struct(F.col("__best.c").alias("c"), F.col("__best.t").alias("t")) > mine
     return met.select("row", "hub", "n", "shard", F.when(F.col("__best").isNotNull() & better, F.col("__best.shard")).alias("to"))
 
 
-def _admitted(wishes: DataFrame, room: list[int], full: list[int]) -> DataFrame:
-    """wishes, with those beyond the room of the shards in full taken back, hub by hub."""
+def _granted(wanted: dict[tuple[int, int], int], room: list[int]) -> dict[tuple[int, int], int]:
+    """How many of the wanted moves (from, to) fit: no shard gains more than its room."""
+    got = dict(wanted)
+    while True:
+        left = list(room)
+        for (s, t), n in got.items():
+            left[s] += n
+            left[t] -= n
+        over = next((t for t in range(len(room)) if left[t] < 0), None)
+        if over is None:
+            return got
+        # Those go first whose staying leaves their own shard within its quota.
+        for s in sorted((s for s, t in got if t == over), key=lambda s: -left[s]):
+            less = min(got[s, over], -left[over])
+            got[s, over] -= less
+            left[over] += less
+
+
+def _admitted(wishes: DataFrame, wanted: dict[tuple[int, int], int], got: dict[tuple[int, int], int]) -> DataFrame:
+    """wishes, with those beyond the granted numbers taken back, hub by hub."""
     parts = slices(wishes.sparkSession)
-    over = F.col("to").isin(full)
+    cut = {k: n for k, n in got.items() if n < wanted[k]}
+    limit = F.create_map(*[F.lit(x) for (s, t), n in cut.items() for x in (f"{s},{t}", n)])
+    limited = wishes.withColumn("limit", F.element_at(limit, F.concat_ws(",", "shard", F.coalesce("to", F.lit(-1)))))
     spread = F.pmod(F.xxhash64("hub"), F.lit(parts)) * parts + F.pmod(F.xxhash64("row"), F.lit(parts))
-    nth = ranked(wishes.filter(over), ["to"], ["hub", "row"], "nth", spread, parts * parts)
-    may = F.col("nth") < F.element_at(F.array(*[F.lit(r) for r in room]), F.col("to") + 1)
-    kept = nth.select("row", "hub", "n", "shard", F.when(may, F.col("to")).alias("to"))
-    return wishes.filter("to is null").unionByName(wishes.filter(~over)).unionByName(kept)
+    nth = ranked(limited.filter("limit is not null"), ["shard", "to"], ["hub", "row"], "nth", spread, parts * parts)
+    kept = nth.select("row", "hub", "n", "shard", F.when(F.col("nth") < F.col("limit"), F.col("to")).alias("to"))
+    return limited.filter("limit is null").drop("limit").unionByName(kept)
 
 
-def propagate(members: DataFrame, n_rows: int, shards: int = SHARDS, rounds: int = ROUNDS) -> tuple[DataFrame, list[int]]:
+def propagate(members: DataFrame, n_rows: int, shards: int = SHARDS) -> tuple[DataFrame, list[int]]:
     """Shards for members (row, hub, n: rows of the hub) under the quotas of
     n_rows rows; and the number of members in each shard."""
     quotas = quota(n_rows, shards)
@@ -87,22 +110,27 @@ def propagate(members: DataFrame, n_rows: int, shards: int = SHARDS, rounds: int
     if any(x > q for x, q in zip(loads, quotas)):  # almost all rows are linked: deal them out evenly
         linked = stored(ranked(members, [], ["row"], "__i").withColumn("shard", (F.col("__i") % shards).cast("int")).drop("__i"), "sharding-start")
         loads = quota(sum(loads), shards)
-    for _ in range(rounds):
+    exchange, idle, tie = False, 0, 0
+    while idle < IDLE:
         room = [q - x for q, x in zip(quotas, loads)]
-        wishes = stored(_wishes(linked, room), "sharding-wishes")
-        sums = _sums(wishes)
-        wanted = [sum(n for (_, to), n in sums.items() if to == s) for s in range(shards)]
-        full = [s for s in range(shards) if wanted[s] > room[s]]
-        if full:
-            wishes = stored(_admitted(wishes, room, full), "sharding-labels")
-            sums = _sums(wishes)
-        for (shard, to), n in sums.items():
-            if to is not None:
+        exchange = exchange or max(room) == 0
+        among = [s for s in range(shards) if exchange or room[s] > 0]
+        wishes = stored(_wishes(linked, shards, among, tie), "sharding-wishes")
+        wanted = {k: n for k, n in _sums(wishes).items() if k[1] is not None}
+        if exchange and not wanted:
+            break
+        got = _granted(wanted, room)
+        moved = sum(got.values())
+        if moved:
+            if got != wanted:
+                wishes = stored(_admitted(wishes, wanted, got), "sharding-labels")
+            for (shard, to), n in got.items():
                 loads[shard] -= n
                 loads[to] += n
-        linked = wishes.select("row", "hub", "n", F.coalesce("to", "shard").alias("shard"))
-        if not any(wanted):
-            break
+            linked = wishes.select("row", "hub", "n", F.coalesce("to", "shard").alias("shard"))
+        if exchange:
+            idle, tie = 0 if moved else idle + 1, tie + 1
+        exchange = not moved
     return linked, loads
 
 

@@ -250,6 +250,28 @@ def test_sharding_splits_a_group_that_is_too_big(spark):
     assert shard_rows(stored(rows.filter("false")), 8).count() == 0
 
 
+def test_sharding_exchanges_rows_of_full_shards(spark):
+    """Every row has an equal one, so that no shard ever has room."""
+    from siteledger.llm.common import stored
+    from siteledger.llm.sharding import shard_rows
+
+    rows = spark.range(800).select(F.col("id").alias("row"), F.floor(F.col("id") / 2).alias("hub"))
+    got = shard_rows(stored(rows), 8).collect()
+    assert Counter(Counter(r.shard for r in got).values()) == {100: 8}
+    by = {}
+    for r in got:
+        by.setdefault(r.hub, set()).add(r.shard)
+    assert sum(len(s) == 1 for s in by.values()) > 0.8 * len(by)
+
+
+def test_granted_moves_fit():
+    from siteledger.llm.sharding import _granted
+
+    assert _granted({(0, 1): 5, (1, 0): 3}, [0, 0]) == {(0, 1): 3, (1, 0): 3}
+    assert _granted({(0, 1): 5, (1, 2): 4, (2, 0): 9}, [0, 0, 1]) == {(0, 1): 4, (1, 2): 4, (2, 0): 4}
+    assert _granted({(0, 1): 5}, [0, 2]) == {(0, 1): 2}
+
+
 # --- 3: exact top-k search ------------------------------------------------
 
 
