@@ -82,9 +82,9 @@ def top_similar(articles: DataFrame, top: int = TOP, blocks: int | None = None)
         for k in range(0, len(sa), 256):
             s = va[k : k + 256] @ vb.T
             s[sa[k : k + 256, None] == sb[None, :]] = -np.inf
-            # Near-equal sums can tie once rounded: keep a few more than top.
-            kept = min(top + 8, len(sb))
-            order = np.argsort(-s, axis=1, kind="stable")[:, :kept]
+            # In the final order: sums that tie once rounded go by slug, as targets do.
+            kept = min(top, len(sb))
+            order = np.argsort(-np.rint(s * 1e9), axis=1, kind="stable")[:, :kept]
             x = np.repeat(np.arange(len(s)), kept)
             y = order.ravel()
             real = s[x, y] > -np.inf
@@ -96,7 +96,7 @@ def top_similar(articles: DataFrame, top: int = TOP, blocks: int | None = None)
             yield from best(b, a)
 
     pairs = _blocked(articles, blocks or blocks_for(articles), match).withColumnsRenamed({"slug_a": "source_slug", "slug_b": "target_slug"})
-    w = W.partitionBy("source_slug").orderBy(F.desc(F.round("similarity", 9)), "target_slug")
+    w = W.partitionBy("source_slug").orderBy(F.desc(F.rint(F.col("similarity") * 1e9)), "target_slug")
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
 
 

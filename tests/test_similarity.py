@@ -44,6 +44,15 @@ def test_cut_comes_before_links_are_taken_away(spark):
     assert similarity.link_suggestions(a, linked, blocks=2).filter("source_slug = 'c/s'").count() == 4
 
 
+def test_near_equal_targets_go_by_slug(spark):
+    """Forty targets whose products differ by less than the rounding: the smallest slugs win."""
+    near = {f"c__t{k:02}": [1, 1e-7 * (40 - k)] for k in range(40)}
+    a = spark.createDataFrame([(k.replace("__", "/"), [float(x) for x in v]) for k, v in {"c__s": [1, 0], **near}.items()], "slug string, embedding array<double>")
+    for blocks in (1, 2):
+        top = [r.target_slug for r in similarity.top_similar(a, 5, blocks).filter("source_slug = 'c/s'").orderBy("rank").collect()]
+        assert top == [f"c/t{k:02}" for k in range(5)]
+
+
 def test_refresh(spark):
     now = dt.datetime(2026, 7, 2)
     texts = spark.createDataFrame([("a", "u/a", "same"), ("b", "u/b", "new text"), ("c", "u/c", "fresh"), ("e", "u/e", None)], "slug string, url string, text string")
