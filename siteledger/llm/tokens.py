@@ -5,6 +5,9 @@ piece holds a letter on both sides of a white-space run. So a text can be cut
 before a space or line break that follows something else than white space, and
 the ids of the parts, end to end, are the ids of the whole. Parts recur, so
 each Python worker keeps the ids of up to CACHE parts.
+
+Special tokens in a text count as the plain library counts them: a part that may
+hold one goes to the library as it is.
 """
 
 from __future__ import annotations
@@ -13,15 +16,15 @@ import os
 import re
 from array import array
 
-import numpy as np
-
 #: Parts whose ids a worker keeps in each of two stores. When the newer one is
 #: full it becomes the older one, so parts that recur stay.
 CACHE = 600_000
 _MARKS = frozenset(",.;:!?")
 
-_INNER_SPACE = re.compile(r"\s[ \n]|^[ \n]")
 _CUT = re.compile(r"(?<=\S)(?=[ \n])")
+#: Pieces of ASCII parts without apostrophe, by kind of file.
+_SPACED = re.compile(r" ?[A-Za-z]+| ?[0-9]+| ?[!-/:-@\[-`{-~]+")
+_SPACELESS = re.compile(r"[a-z]+|[0-9]|[!-/:-@\[-`{-~]+")
 
 #: Byte-level files name each byte by a printable character: itself where it
 #: is one, else the next one from U+0100 on.
@@ -31,10 +34,25 @@ _BYTE_CHARS = {b: 256 + n for n, b in enumerate(x for x in range(256) if x not i
 
 def _plain(part: str) -> bool:
     """Only characters below U+0250, whose case and normal form are settled."""
-    return part.isascii() or (max(part) < "\u0250" and "\u0130" not in part)
+    return part.isascii() or (max(part) < "ɐ" and "İ" not in part)
+
+
+class _Inner(Exception):
+    """A part ends in white space, so the text was cut inside a run of it."""
+
+
+class _Store(dict):
+    """Ids by part; finds those of new parts."""
 
+    def __init__(self, encoder: Encoder, old: dict[str, bytes]) -> None:
+        self.encoder, self.old = encoder, old
 
-_encoders: dict[tuple[str, str], "Encoder"] = {}
+    def __missing__(self, part: str) -> bytes:
+        ids = self.old.get(part)
+        if ids is None:
+            ids = self.encoder.learn(part, self)
+        self[part] = ids
+        return ids
 
 
 class Encoder:
@@ -49,78 +67,76 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.merge = self.tokenizer.model.tokenize
         self.code, self.drops_space = code, drops_space
-        self.width = array(code).itemsize
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _parts(self, text: str) -> list[str]:
-        if self.drops_space:
-            return text.replace("\n", " ").split(" ")
-        if "\x01" in text or _INNER_SPACE.search(text):
-            return _CUT.split(text)
-        return text.replace(" ", "\x01 ").replace("\n", "\x01\n").split("\x01")
-
-    def _core(self, part: str) -> tuple[str, str, str]:
-        """part as a leading break, a core and closing punctuation. Pieces end
-        before a break and between a letter and one of these marks, so each of
-        the three has ids of its own."""
-        lead = mark = ""
-        if len(part) > 1 and part[-1] in _MARKS and part[-2].isalpha():
-            part, mark = part[:-1], part[-1]
-        if len(part) > 1 and part[0] == "\n" and not part[1].isspace():
-            part, lead = part[1:], part[0]
+        self.pieces = _SPACELESS if drops_space else _SPACED
+        self.known = _Store(self, {})
+
+    def whole(self, text: str) -> bytes:
+        """The library's ids, without a look at the stores."""
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def learn(self, part: str, known: _Store) -> bytes:
+        """The ids of a new part. Pieces end before a break and between a settled
+        letter and a closing mark, so these have ids of their own. A run of Latin
+        letters, with or without a space before it, is one piece for either kind
+        of file and goes straight to the merges of the library's model."""
+        if not part:
+            return b""
+        last = part[-1]
+        if last.isspace() and not self.drops_space:
+            raise _Inner
+        if "<|" in part:
+            return self.whole(part)
+        if last in _MARKS and len(part) > 1 and part[-2].isalpha() and _plain(part[-2]):
+            return known[part[:-1]] + known[last]
+        if part[0] == "\n" and len(part) > 1 and not part[1].isspace():
+            return self.whole("\n") + known[part[1:]]
         if self.drops_space and _plain(part):
-            part = part.lower()  # as the file's normaliser does
-        return lead, part, mark
-
-    def _encode_cores(self, cores: list[str]) -> None:
-        """Keeps the ids of new cores. A run of Latin letters, with or without a
-        space before it, is one piece for either kind of file and goes straight
-        to the merges of the library's model; the rest takes the whole path."""
-        known, code, tokenize = self.known, self.code, self.tokenizer.model.tokenize
-        rest = []
-        for c in cores:
-            if c and (c[1:] if c[0] == " " else c).isalpha() and _plain(c):
-                mapped = c.replace(" ", "\u0120") if c.isascii() else c.encode().decode("latin-1").translate(_BYTE_CHARS)
-                known[c] = array(code, [t.id for t in tokenize(mapped)]).tobytes()
-            else:
-                rest.append(c)
-        for at in range(0, len(rest), 4096):
-            some = rest[at : at + 4096]
-            e = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
-            ids = array(code, e.ids).tobytes()
-            cut = np.cumsum(np.bincount(np.array(e.word_ids, dtype=np.int64), minlength=len(some))) * self.width
-            cut = [0, *cut.tolist()]
-            known.update(zip(some, [ids[i:j] for i, j in zip(cut[:-1], cut[1:])]))
-
-    def _learn(self, parts: list[str]) -> None:
-        """Finds the ids of new parts; those of new cores come from the library."""
-        known, old = self.known, self.old
-        again = [p for p in parts if p in old]
-        known.update((p, old[p]) for p in again)
-        split = {p: self._core(p) for p in parts if p not in known}
-        wanted = {x for three in split.values() for x in three}.difference(known)
-        known.update((x, old[x]) for x in wanted if x in old)
-        self._encode_cores(list(wanted.difference(known)))
-        known.update((p, known[a] + known[b] + known[c]) for p, (a, b, c) in split.items())
+            low = part.lower()  # as the file's normaliser does
+            if low != part:
+                return known[low]
+        if (part[1:] if part[0] == " " else part).isalpha() and _plain(part):
+            runs = [part]
+        elif part.isascii() and "'" not in part:
+            runs = self.pieces.findall(part)
+            if sum(map(len, runs)) < len(part):  # white space or control characters inside
+                return self.whole(part)
+        else:
+            return self.whole(part)
+        ids: list[int] = []
+        for x in runs:
+            mapped = x.replace(" ", "Ġ") if x.isascii() else x.encode().decode("latin-1").translate(_BYTE_CHARS)
+            ids += [t.id for t in self.merge(mapped)]
+        return array(self.code, ids).tobytes()
+
+    def _by_parts(self, text: str) -> bytes:
+        get = self.known.__getitem__
+        if self.drops_space:
+            return b"".join(map(get, text.replace("\n", " ").split(" ")))
+        if "\x01" not in text:
+            try:
+                return b"".join(map(get, text.replace(" ", "\x01 ").replace("\n", "\x01\n").split("\x01")))
+            except _Inner:
+                pass
+        *parts, last = _CUT.split(text)
+        return b"".join([*map(get, parts), self.whole(last)])  # the last may end in white space
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, end to end, as bytes."""
-        out: list[bytes] = []
-        for at in range(0, len(texts), 256):
+        out = []
+        for text in texts:
             if len(self.known) > CACHE:  # what is in use moves over from the old store
-                self.known, self.old = {}, self.known
-            parts = [self._parts(t) for t in texts[at : at + 256]]
-            new = set().union(*parts).difference(self.known)
-            if new:
-                self._learn(list(new))
-            get = self.known.__getitem__
-            out += [b"".join(map(get, p)) for p in parts]
+                full = self.known
+                full.old = {}
+                self.known = _Store(self, full)
+            out.append(self._by_parts(text))
         return out
 
 
+_encoders: dict[tuple[str, str], Encoder] = {}
+
+
 def encoder(path: str, code: str = "I", drops_space: bool = False) -> Encoder:
     """This process's encoder of a file."""
     key = (path, code)

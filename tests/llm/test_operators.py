@@ -449,18 +449,23 @@ def test_shards_of_odd_rows(spark, odd, tmp_path):
 
 
 def test_encoder_equals_the_library():
+    """The plain library, special tokens and all; also on texts of odd characters."""
     import public_tokenizers
     from tokenizers import Tokenizer
 
     from siteledger.llm.tokens import encoder
 
-    texts = ["", " ", "a", "a  b", " lead", "tail ", "a\n\n b\n", "x \n y", "\tq\t\tr", "it's I'll don't", "Éa ÀÇß é ŉ İ", "日本語 ΑΣ Σ", "ab\x1c cd", "a\x01b c", "1234 5,6.7", "Hello, World! (x)", "<|endoftext|> x", "a b", "word.\nNext"]
+    texts = ["", " ", "a", "a  b", " lead", "tail ", "a\n\n b\n", "x \n y", "\tq\t\tr", "it's I'll don't", "Éa ÀÇß é ŉ İ", "日本語 ΑΣ Σ", "ab\x1c cd", "a\x01b c", "1234 5,6.7", "Hello, World! (x)", "<|endoftext|> x", "a b", "word.\nNext"]
+    texts += ["Hİ!", "KADIKÖYDEKİ. x", "क़, क़", "a<|endoftext|>.b <|ENDOFTEXT|>", "x<|startoftext|>!", "don't<|endoftext|>'s"]
+    rng = random.Random(5)
+    letters = [*"abAB zZ éÉßİıŉǅΣσς日本क़ख़ \u0338\u0307\u0301.,;:!?'<|>#*$%&_-19²Ⅷ\n\t\r\x0b\x1c\x01\x85\xa0\u2028\u3000", "<|endoftext|>", "<|startoftext|>", "'LL", " ", "  ", "\n\n", " \n", "e\u0301"]
+    texts += ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 14))) for _ in range(20_000)]
     for name, code, drops in (("byte_bpe_50k.json", "H", False), ("word_bpe_49k.json", "I", True)):
         t = Tokenizer.from_file(public_tokenizers.path(name))
-        t.encode_special_tokens = True
         e = encoder(public_tokenizers.path(name), code, drops)
+        want = [t.encode(x, add_special_tokens=False).ids for x in texts]
         for _ in range(2):
-            assert [np.frombuffer(b, f"<u{2 if code == 'H' else 4}").tolist() for b in e.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+            assert [np.frombuffer(b, f"<u{2 if code == 'H' else 4}").tolist() for b in e.encode(texts)] == want
 
 
 # --- 6: packing -----------------------------------------------------------
@@ -507,11 +512,19 @@ def test_capacity_tree():
 
 def test_packing(spark, small, odd):
     import public_tokenizers
+    from tokenizers import Tokenizer
 
     from siteledger.llm.packing import op6_packing, pack_documents
 
     name = public_tokenizers.path("word_bpe_49k.json")
     got = op6_packing(spark, small).collect()
+    t, want = Tokenizer.from_file(name), {}
+    for i, x in texts_of(spark, small).items():
+        ids = [*t.encode(x, add_special_tokens=False).ids, 1]
+        for at in range(0, len(ids), 4096):
+            cut = np.array(ids[at : at + 4096], "<u4")
+            want[i, at // 4096] = (at, len(cut), zlib.crc32(cut.tobytes()))
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in got} == want and len(got) == len(want)
     by = {}
     for r in got:
         by.setdefault(r.sequence_id, []).append((r.offset, r.length))
