@@ -2,19 +2,26 @@
 
 Every text gets a few statistics. Two plain rules reject texts outright; the
 rest are judged, per language and source, by a minimum-covariance-determinant
-(MCD) estimate: repeated concentration steps keep the half of the rows that
-lie closest to the current centre, and re-estimate centre and covariance from
-that half. Rows whose robust Mahalanobis distance is beyond a chi-square limit
-are rejected.
-
-All sums run as grouped Spark aggregations: no group is ever gathered. A step's
-per-group limit is the percentile of a mergeable sketch. Small groups have no
-covariance of their own and take that of all documents.
+(MCD) estimate. A concentration step keeps the SUPPORT share of a group's rows
+that lie closest to the current centre and re-estimates centre and covariance
+from them, which never makes the determinant larger. Each group starts from
+three centres (its quartiles); after a few steps the start with the least
+determinant goes on. Rows whose robust Mahalanobis distance is beyond a
+chi-square limit are rejected.
+
+A group's estimate is drawn towards what the groups have in common (the pooled
+scatter within groups and the mean of all kept rows) with the weight of
+PRIOR_ROWS rows. So a group of any size has an estimate of its own, and a few odd
+rows of a small group are judged by what is usual elsewhere.
+
+All sums run as grouped Spark aggregations: no group is ever gathered. A step is
+one pass: sums by group and narrow class of distance give both which classes are
+the closest and what is in them. Counts decide, so reruns keep the same rows.
 
 Defined cases: a null text counts as empty (all statistics 0, rejected by the
 word rule); null language or source form their own group; repeated ids are
-judged row by row; an empty table gives an empty result; extra columns pass
-through `reject_outliers` untouched.
+judged row by row; a very long text is one row like any other; an empty table
+gives an empty result; extra columns pass through `reject_outliers` untouched.
 """
 
 from __future__ import annotations
@@ -25,6 +32,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from siteledger.llm.common import sheltered, stored
 from siteledger.llm.textops import STEP_BYTES, WHITESPACE, span_hashes, spans, texts, windows
@@ -33,11 +42,17 @@ SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-#: Groups with fewer rows than this share the estimate of all documents.
-MIN_GROUP = 60
-#: Concentration steps; each keeps SUPPORT of the group's rows.
-STEPS = 4
+#: So many rows' weight has what the groups have in common in a group's estimate.
+PRIOR_ROWS = 20
+#: Starts are centres at these quantiles of each statistic. All of them take
+#: TRIAL_STEPS concentration steps, the best one LAST_STEPS more.
+STARTS = (0.25, 0.5, 0.75)
+TRIAL_STEPS = 2
+LAST_STEPS = 3
 SUPPORT = 0.75
+#: Classes of squared distance: so many to a doubling, between two limits.
+CLASSES = 16
+LEAST, MOST = 2.0**-8, 2.0**16
 #: 0.99999 quantile of chi-square with 5 degrees of freedom, and the factor
 #: that makes a 75 % support covariance consistent under normality.
 CUTOFF = 30.86
@@ -50,7 +65,7 @@ FLOORS = (0.45, 0.2, 0.35, 0.5, 0.6)
 BROADCAST_GROUPS = 10_000
 DIMS = ("z0", "z1", "z2", "z3", "z4")
 
-STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _LINE_BREAK = np.zeros(256, dtype=bool)
 _LINE_BREAK[0x0A] = True
 _SYMBOL = np.zeros(256, dtype=np.int64)
@@ -105,10 +120,9 @@ def with_statistics(docs: DataFrame, keep: list[str], text: str = "text") -> Dat
             stats = text_statistics(b.column(len(keep)))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *map(pa.array, stats)], names=[*keep, *names])
 
-    names = [x.split()[0] for x in STATS.split(", ")]
+    names = STATS
     kept = docs.select(*keep, text)
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
-    return kept.mapInArrow(run, f"{types}, {STATS}")
+    return kept.mapInArrow(run, StructType(kept.schema.fields[:-1] + [StructField(x, LongType()) for x in names]))
 
 
 def base_failed() -> Column:
@@ -126,82 +140,117 @@ def _transformed(stats: DataFrame) -> DataFrame:
     })
 
 
-def _moments(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Count, sums and sums of products by group: the input of an estimate."""
-    aggs = [F.count(F.lit(1)).alias("n")]
-    aggs += [F.sum(z).alias(f"s_{z}") for z in DIMS]
-    aggs += [F.sum(F.col(a) * F.col(b)).alias(f"p_{a}{b}") for i, a in enumerate(DIMS) for b in DIMS[i:]]
-    return rows.groupBy(*by).agg(*aggs)
+PAIRS = [(a, b) for i, a in enumerate(DIMS) for b in DIMS[i:]]
 
 
-def _estimates(moments: DataFrame, by: list[str]) -> DataFrame:
-    """Centre and inverse covariance of each group, from its sums (one row in, one out)."""
-    import pandas as pd
+def _sums(values: dict[str, Column]) -> list[Column]:
+    return [F.sum(c).alias(name) for name, c in values.items()]
 
-    k = len(DIMS)
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            n = np.maximum(f["n"].to_numpy(float), 1)
-            mean = np.stack([f[f"s_{z}"].to_numpy(float) / n for z in DIMS], 1)
-            cov = np.zeros((len(f), k, k))
-            for i, j in pairs:
-                cov[:, i, j] = cov[:, j, i] = f[f"p_{DIMS[i]}{DIMS[j]}"].to_numpy(float) / n - mean[:, i] * mean[:, j]
-            cov = cov * CONSISTENCY
-            floor = np.asarray(FLOORS) ** 2
-            short = np.maximum(floor - np.einsum("nii->ni", cov), 0)
-            cov[:, range(k), range(k)] += short + 1e-3 * floor
-            inverse = np.linalg.inv(cov) if len(f) else cov
-            yield pd.DataFrame({**{c: f[c] for c in by}, "centre": list(mean), "inverse": list(inverse.reshape(len(f), k * k))})
+def _quartiles(rows: DataFrame, by: list[str]) -> DataFrame:
+    """n, and the three quartiles of each statistic, exact to two digits."""
+    cuts = [F.percentile(F.round(z, 2), F.array(*[F.lit(q) for q in (0.25, 0.5, 0.75)])).alias(z) for z in DIMS]
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *cuts)
+
 
-    types = ", ".join(f"`{c}` {moments.schema[c].dataType.simpleString()}" for c in by)
-    return moments.mapInPandas(run, f"{types}, centre array<double>, inverse array<double>")
+def _starts(rows: DataFrame, by: list[str]) -> DataFrame:
+    """A row a group and start: centre, and the inverse of a diagonal covariance
+    from the spread between quartiles; both drawn towards those of all rows."""
+    every = _quartiles(rows, []).first()  # 16 numbers
+    share = F.col("n") / (F.col("n") + PRIOR_ROWS)
+    mixed = {z: [F.col(z)[k] * share + float(every[z][k] if every[z] else 0.0) * (1 - share) for k in range(3)] for z in DIMS}
+    spread = [F.greatest((mixed[z][2] - mixed[z][0]) / 1.349, F.lit(FLOORS[i])) for i, z in enumerate(DIMS)]
+    size = len(DIMS)
+    inverse = F.array(*[1 / (spread[i] * spread[i]) if i == j else F.lit(0.0) for i in range(size) for j in range(size)])
+    centres = F.array(*[F.array(*[mixed[z][k] for z in DIMS]) for k in range(len(STARTS))])
+    return _quartiles(rows, by).select(*by, inverse.alias("inverse"), F.posexplode(centres).alias("start", "centre"))
 
 
-def _distance() -> Column:
-    k = len(DIMS)
-    d = [F.col(z) - F.col("centre")[i] for i, z in enumerate(DIMS)]
-    terms = [(1 if i == j else 2) * d[i] * d[j] * F.col("inverse")[i * k + j] for i in range(k) for j in range(i, k)]
+def _distance(start: int) -> Column:
+    size = len(DIMS)
+    d = [F.col(z) - F.col("centres")[start][i] for i, z in enumerate(DIMS)]
+    terms = [(1 if i == j else 2) * d[i] * d[j] * F.col("inverses")[start][i * size + j] for i in range(size) for j in range(i, size)]
     total = terms[0]
     for x in terms[1:]:
         total = total + x
     return total
 
 
-def _by_group(table: DataFrame) -> DataFrame:
-    """A stored table with a row a group, marked for broadcast if it is small."""
+def _by_group(estimates: DataFrame, by: list[str]) -> DataFrame:
+    """centres and inverses of each group in order of starts; stored, and marked
+    for broadcast if there are few groups."""
+    one = F.struct("start", "centre", "inverse")
+    table = estimates.groupBy(*by).agg(F.array_sort(F.collect_list(one)).alias("x")).select(*by, F.col("x.centre").alias("centres"), F.col("x.inverse").alias("inverses"))
+    table = stored(table, "outliers-estimates")
     return F.broadcast(table) if table.count() <= BROADCAST_GROUPS else table
 
 
+def _closest(rows: DataFrame, estimates: DataFrame, by: list[str], starts: int) -> DataFrame:
+    """Sums over the closest SUPPORT of each group, for each start: n, sums and
+    sums of products of the statistics."""
+    met = rows.join(_by_group(estimates, by), by)
+    each = met.select(*by, *DIMS, F.posexplode(F.array(*[_distance(k) for k in range(starts)])).alias("start", "distance"))
+    near = F.least(F.greatest(F.col("distance"), F.lit(LEAST)), F.lit(MOST))
+    values = {"n": F.lit(1)} | {f"s_{z}": F.col(z) for z in DIMS} | {f"p_{a}{b}": F.col(a) * F.col(b) for a, b in PAIRS}
+    classes = each.groupBy(*by, "start", F.floor(F.log2(near) * CLASSES).cast("int").alias("class")).agg(*_sums(values))
+    group = W.partitionBy(*by, "start")
+    before = F.coalesce(F.sum("n").over(group.orderBy("class").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    some = classes.withColumn("before", before).withColumn("all", F.sum("n").over(group)).filter(F.col("before") < SUPPORT * F.col("all"))
+    return stored(some.groupBy(*by, "start").agg(*_sums({c: F.col(c) for c in values})), "outliers-sums")
+
+
+def _estimates(sums: DataFrame, by: list[str]) -> DataFrame:
+    """centre, inverse covariance and log determinant of each group and start,
+    from its sums (one row in, one out), drawn towards the pooled ones."""
+    import pandas as pd
+
+    size = len(DIMS)
+    scatter = {f"p_{a}{b}": F.col(f"p_{a}{b}") - F.col(f"s_{a}") * F.col(f"s_{b}") / F.col("n") for a, b in PAIRS}
+    pooled = {r.start: r for r in sums.groupBy("start").agg(*_sums({"n": F.col("n")} | {f"s_{z}": F.col(f"s_{z}") for z in DIMS} | scatter)).collect()}  # a row a start
+
+    def matrix(row, start: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(start), size, size))
+        for i, a in enumerate(DIMS):
+            for j in range(i, size):
+                out[:, i, j] = out[:, j, i] = row(f"p_{a}{DIMS[j]}")
+        return out
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            start = f["start"].to_numpy()
+            all_ = lambda c: np.array([float(pooled[k][c]) for k in start])
+            n, n_all = f["n"].to_numpy(float), all_("n")
+            own = np.stack([f[f"s_{z}"].to_numpy(float) for z in DIMS], 1)
+            usual = np.stack([all_(f"s_{z}") for z in DIMS], 1) / n_all[:, None]
+            weight = (n + PRIOR_ROWS)[:, None]
+            centre = (own + PRIOR_ROWS * usual) / weight
+            mine = matrix(lambda c: f[c].to_numpy(float), start) - own[:, :, None] * own[:, None, :] / n[:, None, None]
+            cov = (mine + PRIOR_ROWS * matrix(all_, start) / n_all[:, None, None]) / weight[:, :, None] * CONSISTENCY
+            floor = np.asarray(FLOORS) ** 2
+            short = np.maximum(floor - np.einsum("nii->ni", cov), 0)
+            cov[:, range(size), range(size)] += short + 1e-3 * floor
+            inverse = np.linalg.inv(cov) if len(f) else cov
+            log_det = np.linalg.slogdet(cov)[1] if len(f) else np.zeros(0)
+            yield pd.DataFrame({**{c: f[c] for c in by}, "start": start, "centre": list(centre), "inverse": list(inverse.reshape(len(f), size * size)), "log_det": log_det})
+
+    array = ArrayType(DoubleType())
+    fields = [sums.schema[c] for c in by] + [StructField("start", IntegerType()), StructField("centre", array), StructField("inverse", array), StructField("log_det", DoubleType())]
+    return sums.mapInPandas(run, StructType(fields))
+
+
 def with_distance(stats: DataFrame, by: list[str]) -> DataFrame:
     """Adds distance, the squared robust distance of each row of its group's centre.
 
-    by: columns that hold no nulls. Each concentration step is one pass of
-    grouped aggregations over the statistics, which are a few numbers a row.
-    """
-    rows = _transformed(stats)
-    sizes = _by_group(stored(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__size")), "outliers-sizes"))
-    own = rows.join(sizes, by).withColumn("__grp", F.when(F.col("__size") >= MIN_GROUP, F.concat_ws("\x1f", *by)).otherwise(F.lit(""))).drop("__size")
-    own = stored(own, "outliers-rows")
-    group = ["__grp"]
-    # A robust start: coordinate-wise medians and the spread between quartiles.
-    cuts = own.groupBy(*group).agg(*[F.percentile_approx(z, [0.25, 0.5, 0.75], 1000).alias(z) for z in DIMS])
-    k = len(DIMS)
-    spread = [F.greatest((F.col(z)[2] - F.col(z)[0]) / 1.349, F.lit(FLOORS[i])) for i, z in enumerate(DIMS)]
-    zero = F.lit(0.0)
-    est = cuts.select(
-        *group,
-        F.array(*[F.col(z)[1] for z in DIMS]).alias("centre"),
-        F.array(*[1 / (spread[i] * spread[i]) if i == j else zero for i in range(k) for j in range(k)]).alias("inverse"),
-    )
-    est = _by_group(stored(est, "outliers-start"))
-    for _ in range(STEPS):
-        far = own.join(est, group).withColumn("distance", _distance())
-        limit = _by_group(stored(far.groupBy(*group).agg(F.percentile_approx("distance", SUPPORT, 1000).alias("__limit")), "outliers-limit"))
-        near = far.select(*group, *DIMS, "distance").join(limit, group).filter(F.col("distance") <= F.col("__limit"))
-        est = _by_group(stored(_estimates(_moments(near, group), group), "outliers-estimate"))
-    return own.join(est, group).withColumn("distance", _distance()).drop("centre", "inverse", *DIMS, *group)
+    by: columns that hold no nulls."""
+    rows = stored(_transformed(stats), "outliers-rows")
+    est = _starts(rows, by)
+    for _ in range(TRIAL_STEPS):
+        est = _estimates(_closest(rows, est, by, len(STARTS)), by)
+    # The start with the least determinant; of equal ones the first.
+    est = est.groupBy(*by).agg(F.min_by(F.struct("centre", "inverse"), F.struct(F.round("log_det", 9), "start")).alias("x")).select(*by, F.lit(0).alias("start"), "x.*")
+    for _ in range(LAST_STEPS):
+        est = _estimates(_closest(rows, est, by, 1), by)
+    return rows.join(_by_group(est, by), by).withColumn("distance", _distance(0)).drop("centres", "inverses", *DIMS)
 
 
 def _group_column(name: str) -> Column:
