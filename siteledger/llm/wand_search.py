@@ -1,27 +1,37 @@
-"""Exact BM25 top-k by block-max pruning over sharded inverted indexes (operator 3).
+"""Exact BM25 top-k by block-max WAND over sharded inverted indexes (operator 3).
 
 Each task turns runs of up to SHARD_DOCS documents into an inverted index: for
-each term its documents and counts, and for each term and BLOCK consecutive
-documents the largest impact. Documents are laid out by a hint column, so that
-similar ones share blocks. Document frequencies are summed over all shards
-first, so every shard scores with the same global statistics.
-
-A query bounds the score of every block by the sum of its terms' block maxima,
-scores the blocks with the highest bounds, and goes on only with blocks whose
-bound reaches the k-th best score so far: no other block can hold a result. The
-shards' results are merged per query. Queries come in blocks of QUERY_BLOCK, so
-what is sent to tasks at once has a bound.
+each term its documents and counts, and the largest impact for each BLOCK
+consecutive documents and for each window of WINDOW blocks. Documents are laid
+out by a hint column, so that similar ones share blocks. Document frequencies are
+summed over all shards first, so every shard scores with the same statistics.
+
+A query goes through a shard with a threshold: the k-th best score so far, also
+over the shards that the task has searched before. Windows are passed over,
+cursors and all, if the sum of their terms' window maxima is below it. The most
+promising window comes first, so the threshold rises before the others. With
+terms in order of the most they can add, the pivot is the first at which the sums
+of these reach the threshold: a document with none of the terms from there on
+cannot reach it. So postings of the terms from the pivot on are scored, which are
+the rare ones, and the others only in blocks where what a document has, and the
+block maxima of the others, reach the threshold. What stays below a threshold is
+beaten by k documents, so no result is lost. The shards' results are merged per
+query.
+
+Queries come in batches of about QUERY_TERMS terms, so what is sent to tasks at
+once has a bound; a batch's broadcast is destroyed when it is done.
 
 Scores are rounded to six places; equal ones are ordered by document id.
 
 Defined cases: null and empty texts match nothing and, as queries, give no row;
 a null id sorts first among equal scores; repeated ids are separate documents,
-and as queries separate searches with one id; an empty table gives an empty
-result; extra columns are ignored.
+and as queries separate searches with one id; a very long text is indexed and
+searched whole; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,22 +40,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from siteledger.llm.common import ranked, slices, stored
+from siteledger.llm.common import shared_dir, slices, stored
 from siteledger.llm.textops import span_hashes, spans, texts
 
 K1, B, TOP = 1.2, 0.75, 10
-BLOCK = 64
+BLOCK = 128
 SHARD_DOCS = 8192
 SHARD_BYTES = 24_000_000
-QUERY_BLOCK = 1024
-#: Blocks scored first, to have a threshold.
-FIRST_BLOCKS = 6
+#: Blocks of a window.
+WINDOW = 8
+QUERY_TERMS = 1_000_000
+#: Rounding of sums and results leaves this room below a threshold.
+SLACK = 2e-6
 
 
 def _ranges(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The numbers of all ranges [a, b), end to end."""
     n = b - a
-    return np.arange(int(n.sum())) + np.repeat(a - (np.cumsum(n) - n), n)
+    return np.arange(n.sum(), dtype=np.int32) + np.repeat((a - (np.cumsum(n) - n)).astype(np.int32), n)
 
 
 INDEX = "n_docs int, n_words long, ids binary, known binary, lengths binary, terms binary, starts binary, postings binary, counts binary"
@@ -83,32 +95,38 @@ def build_index(docs: DataFrame, layout: str | None = None) -> DataFrame:
             ids, near = ids.fill_null(0).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
             for t in texts(b.column(1)):
                 starts, ends, owner = spans(t)
+                if held and n_docs + len(t) > SHARD_DOCS:
+                    yield flush()
                 rows = slice(t.first, t.first + len(t))
                 held.append((ids[rows], valid[rows], near[rows], np.bincount(owner, minlength=len(t)), owner + n_docs, span_hashes(t, starts, ends, True)))
                 n_docs, size = n_docs + len(t), size + len(t.data)
-                if n_docs >= SHARD_DOCS or size >= SHARD_BYTES:
+                if size >= SHARD_BYTES:
                     yield flush()
         if held:
             yield flush()
 
     hint = F.xxhash64(layout) if layout else F.lit(0).cast("long")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", hint.alias("near"))
-    # A batch is at most SHARD_DOCS rows, so a shard's documents fit two bytes.
     return stored(rows.mapInArrow(run, INDEX), "wand-index")
 
 
 class Shard:
-    """One shard's index in memory, with impacts for the global mean length."""
+    """One shard's index in memory: what each posting adds to a score, given the
+    global mean length and the weights of the terms that are asked for."""
 
-    def __init__(self, row: dict, mean: float) -> None:
+    def __init__(self, row: dict, mean: float, asked: np.ndarray, idf: np.ndarray) -> None:
         self.n = row["n_docs"]
         self.ids, self.known = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["known"], bool)
         lengths = np.frombuffer(row["lengths"], "<i8")
         self.terms = np.frombuffer(row["terms"], np.uint64)
         self.starts = np.frombuffer(row["starts"], "<u4").astype(np.int64)
-        self.docs = np.frombuffer(row["postings"], "<u2")
+        self.docs = np.frombuffer(row["postings"], "<u2").astype(np.int64)
         tf = np.frombuffer(row["counts"], "<u4").astype(float)
-        self.impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.docs] / max(mean, 1e-9)))
+        weight = np.zeros(len(self.terms))
+        at = np.minimum(np.searchsorted(self.terms, asked), max(len(self.terms) - 1, 0))
+        hit = self.terms[at] == asked if len(self.terms) else np.zeros(len(asked), bool)
+        weight[at[hit]] = idf[hit]
+        self.impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.docs] / max(mean, 1e-9))) * np.repeat(weight, np.diff(self.starts))
         block = self.docs // BLOCK
         new = np.zeros(len(block), bool)
         if len(block):
@@ -117,46 +135,82 @@ class Shard:
             new[self.starts[:-1]] = True
         first = np.flatnonzero(new)
         self.entry_start = np.append(first, len(block))
-        self.entry_block = block[first]
+        self.entry_block = block[first].astype(np.int64)
         self.entry_max = np.maximum.reduceat(self.impact, first) if len(first) else np.zeros(0)
-        self.entries = np.searchsorted(first, self.starts)
-        self.n_blocks = -(-self.n // BLOCK)
-
-    def search(self, terms: np.ndarray, idf: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Documents and scores of the k best; exact."""
+        entries = np.searchsorted(first, self.starts)
+        # The same once more, by window of blocks.
+        window = self.entry_block // WINDOW
+        new = np.zeros(len(window), bool)
+        if len(window):
+            new[0] = True
+            new[1:] = window[1:] != window[:-1]
+            new[entries[:-1]] = True
+        first = np.flatnonzero(new)
+        self.cursor = np.append(first, len(window))  # where a term's entries of a window begin
+        self.window = window[first].astype(np.int16)
+        self.window_max = np.maximum.reduceat(self.entry_max, first) if len(first) else np.zeros(0)
+        self.cursors = np.searchsorted(first, entries)
+        self.term_max = np.maximum.reduceat(self.window_max, self.cursors[:-1]) if len(first) else np.zeros(0)
+        self.n_blocks, self.n_windows = -(-self.n // BLOCK), -(-self.n // (BLOCK * WINDOW))
+        self.scored = 0  # postings that queries have scored
+
+    def search(self, terms: np.ndarray, k: int, threshold: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """Documents and scores of the k best that reach the threshold; exact. All
+        terms are among those asked for."""
+        docs, scores = np.zeros(0, np.int64), np.zeros(0)
         at = np.minimum(np.searchsorted(self.terms, terms), max(len(self.terms) - 1, 0))
         hit = self.terms[at] == terms if len(self.terms) else np.zeros(len(terms), bool)
-        at, idf = at[hit], idf[hit]
+        at = at[hit]
         if not len(at):
-            return np.zeros(0, np.int64), np.zeros(0)
-        a, b = self.entries[at], self.entries[at + 1]
-        entry = _ranges(a, b)
-        weight = np.repeat(idf, b - a)
-        block = self.entry_block[entry]
-        bound = np.bincount(block, weights=self.entry_max[entry] * weight, minlength=self.n_blocks)
-        scores = np.zeros(self.n)
-        order = np.argsort(-bound, kind="stable")
-        todo, threshold = order[:FIRST_BLOCKS], 0.0
-        done = np.zeros(self.n_blocks, bool)
-        while len(todo):
-            done[todo] = True
-            inside = np.zeros(self.n_blocks, bool)
-            inside[todo] = True
-            mine = inside[block]
-            mine, w = entry[mine], weight[mine]
-            lo, hi = self.entry_start[mine], self.entry_start[mine + 1]
-            posting = _ranges(lo, hi)
-            scores += np.bincount(self.docs[posting], weights=self.impact[posting] * np.repeat(w, hi - lo), minlength=self.n)
-            if self.n > k:
-                threshold = np.partition(scores, self.n - k)[self.n - k]
-            # Rounding of sums and results leaves room below the threshold.
-            rest = order[~done[order]]
-            rest = rest[(bound[rest] >= threshold - 2e-6) & (bound[rest] > 0)]
-            todo = rest
+            return docs, scores
+        at = at[np.argsort(self.term_max[at], kind="stable")]
+        reach = np.cumsum(self.term_max[at])
+        a, b = self.cursors[at], self.cursors[at + 1]
+        ends = np.concatenate([[0], np.cumsum(b - a)])
+        cursor = _ranges(a, b)
+        window = self.window[cursor]
+        most = np.bincount(window, weights=self.window_max[cursor], minlength=self.n_windows)
+        first = np.zeros(self.n_windows, bool)
+        first[np.argmax(most)] = True
+        for group in (first, ~first):
+            floor = max(threshold - SLACK, 1e-12)
+            group = group & (most >= floor)
+            if not group.any():
+                continue
+            pivot = ends[np.searchsorted(reach, floor)]  # terms before it add up to less
+            mine = group[window]
+            tail = np.flatnonzero(mine[pivot:]) + pivot
+            before = reach[np.searchsorted(ends, pivot) - 1] if pivot else 0.0
+            entry = _ranges(self.cursor[cursor[tail]], self.cursor[cursor[tail] + 1])
+            block = self.entry_block[entry]
+            bound = np.bincount(block, weights=self.entry_max[entry], minlength=self.n_blocks)
+            inside = (bound + before >= floor)[block]
+            got = self._scores(entry if inside.all() else entry[inside])
+            good = np.flatnonzero((got > 0) & (got + before >= floor))
+            if pivot and len(good):
+                head = np.flatnonzero(mine[:pivot])
+                entry = _ranges(self.cursor[cursor[head]], self.cursor[cursor[head] + 1])
+                block = self.entry_block[entry]
+                bound = np.bincount(block, weights=self.entry_max[entry], minlength=self.n_blocks)
+                good = good[got[good] + bound[good // BLOCK] >= floor]
+                open_ = np.zeros(self.n_blocks, bool)
+                open_[good // BLOCK] = True
+                got += self._scores(entry[open_[block]])
+                good = good[got[good] >= floor]
+            docs, scores = np.append(docs, good), np.append(scores, got[good])
+            if len(scores) > k:
+                threshold = max(threshold, np.partition(scores, -k)[-k])
+                keep = scores >= threshold - SLACK
+                docs, scores = docs[keep], scores[keep]
         scores = np.round(scores, 6)
-        best = np.flatnonzero(scores >= max(threshold - 2e-6, 1e-12))
-        best = best[np.lexsort((self.ids[best], self.known[best], -scores[best]))[:k]]
-        return best, scores[best]
+        best = np.lexsort((self.ids[docs], self.known[docs], -scores))[:k]
+        return docs[best], scores[best]
+
+    def _scores(self, entry: np.ndarray) -> np.ndarray:
+        """What the postings of some entries add to each document."""
+        posting = _ranges(self.entry_start[entry], self.entry_start[entry + 1])
+        self.scored += len(posting)
+        return np.bincount(self.docs[posting], weights=self.impact[posting], minlength=self.n)
 
 
 def _document_counts(index: DataFrame) -> DataFrame:
@@ -207,42 +261,50 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = TOP, layout: str | None
     index = build_index(docs, layout)
     total = index.agg(F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n"), F.coalesce(F.sum("n_words"), F.lit(0)).alias("words")).first()
     n, mean = total.n, total.words / max(total.n, 1)
-    terms = ranked(_query_terms(queries), [], ["row"], "nth").withColumn("block", (F.col("nth") / QUERY_BLOCK).cast("int"))
-    each = terms.select("block", "nth", "query_id", F.explode("terms").alias("term"))
+    terms = _query_terms(queries)
+    size = terms.agg(F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()[0]
+    n_batches = -(-size // QUERY_TERMS)
+    each = terms.select("row", "query_id", F.explode("terms").alias("term"))
     counts = _document_counts(index)
     # A query that is no document of the table may have terms that none has: they match nothing.
     known = each.join(counts, "term", "left").withColumn("df", F.coalesce("df", F.lit(1)))
     idf = F.log1p((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighed = known.groupBy("block", "nth", "query_id").agg(F.array_sort(F.collect_list(F.struct("term", idf.alias("idf")))).alias("x"))
-    weighed = stored(weighed.select("block", "nth", "query_id", F.col("x.term").alias("terms"), F.col("x.idf").alias("idf")), "wand-queries")
-    found = None
-    last = weighed.agg(F.max("block")).first()[0]
-    for block in range(-1 if last is None else last + 1):
-        rows = weighed.filter(F.col("block") == block).select("nth", "terms", "idf").toArrow()  # QUERY_BLOCK queries
-        batch = [(i, np.array(t, np.int64).view(np.uint64), np.array(w)) for i, t, w in zip(rows["nth"].to_pylist(), rows["terms"].to_pylist(), rows["idf"].to_pylist())]
-        sent = spark.sparkContext.broadcast(batch)
+    weighed = known.groupBy("row", "query_id").agg(F.array_sort(F.collect_list(F.struct("term", idf.alias("idf")))).alias("x"))
+    batch = F.pmod(F.xxhash64("row"), F.lit(max(n_batches, 1))).alias("batch")
+    weighed = stored(weighed.select(batch, "row", "query_id", F.col("x.term").alias("terms"), F.col("x.idf").alias("idf")), "wand-queries")
+    kind = "row long, doc_id long, score double"
+    folder = f"{shared_dir(spark)}/wand-found-{uuid.uuid4().hex}"
+    for nth in range(n_batches):
+        rows = weighed.filter(F.col("batch") == nth).select("row", "terms", "idf").toArrow()  # about QUERY_TERMS terms
+        found = [(i, np.array(t, np.int64).view(np.uint64)) for i, t in zip(rows["row"].to_pylist(), rows["terms"].to_pylist())]
+        asked, at = np.unique(np.concatenate([t for _, t in found]), return_index=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        weights = rows["idf"].combine_chunks().flatten().to_numpy(zero_copy_only=False)[at]
+        sent = spark.sparkContext.broadcast((found, asked, weights))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            asked_by, asked, weights = sent.value
+            # The k best scores that this task has seen, by query.
+            best: list[np.ndarray] = [np.zeros(k)] * len(asked_by)
             for b in batches:
                 for r in range(b.num_rows):
-                    shard = Shard(b.slice(r, 1).to_pylist()[0], mean)
-                    cols: list[list] = [[], [], [], []]
-                    for nth, t, w in sent.value:
-                        best, scores = shard.search(t, w, k)
-                        cols[0].append(np.full(len(best), nth))
-                        cols[1].append(shard.ids[best])
-                        cols[2].append(shard.known[best])
-                        cols[3].append(scores)
-                    nth, ids, valid, scores = map(np.concatenate, cols)
-                    yield pa.RecordBatch.from_arrays([pa.array(nth, pa.int64()), pa.array(ids, mask=~valid), pa.array(scores)], names=["nth", "doc_id", "score"])
-
-        part = stored(index.mapInArrow(run, "nth long, doc_id long, score double"), "wand-found")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
+                    shard = Shard(b.slice(r, 1).to_pylist()[0], mean, asked, weights)
+                    cols: list[list] = [[np.zeros(0, x)] for x in (np.int64, np.int64, bool, float)]
+                    for q, (row, t) in enumerate(asked_by):
+                        docs_, scores = shard.search(t, k, best[q][0])
+                        if len(docs_):
+                            best[q] = np.sort(np.append(best[q], scores))[-k:]
+                            for c, x in zip(cols, (np.full(len(docs_), row), shard.ids[docs_], shard.known[docs_], scores)):
+                                c.append(x)
+                    row, ids, valid, scores = map(np.concatenate, cols)
+                    yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(ids, mask=~valid), pa.array(scores)], names=["row", "doc_id", "score"])
+
+        index.mapInArrow(run, kind).write.mode("append").parquet(folder)
+        sent.destroy()
+    if not n_batches:
         return spark.createDataFrame([], "query_id long, rank int, doc_id long, score double")
-    best = W.partitionBy("nth").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_first())
-    top = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    return top.join(weighed.select("nth", "query_id"), "nth").select("query_id", "rank", "doc_id", "score")
+    best = W.partitionBy("row").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_first())
+    top = spark.read.schema(kind).parquet(folder).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return top.join(weighed.select("row", "query_id"), "row").select("query_id", "rank", "doc_id", "score")
 
 
 def op3_wand_search(spark: SparkSession, sf_dir: str) -> DataFrame:
