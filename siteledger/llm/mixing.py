@@ -36,6 +36,10 @@ SHARDS = 64
 SEED = 7
 #: A draw looks this many standard deviations to both sides of its mean.
 REACH = 9
+#: Beyond this standard deviation (millions of blocks) a draw is the normal
+#: quantile rounded to a whole number, which is off by less than 1 / WIDE in
+#: probability; sums stay exact, and no draw walks over a window that grows.
+WIDE = 1000
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -98,6 +102,7 @@ def _ln_factorial(n: str) -> str:
 def hypergeometric(good: str, bad: str, n: str, u: str) -> str:
     """SQL for a hypergeometric draw: how many of n items drawn without return
     from good + bad items are good, by inversion of the uniform number u."""
+    # The window's sum is bound once, so the walk is linear in its width.
     lo0, hi0 = f"greatest(0L, {n} - {bad})", f"least({n}, {good})"
     total = f"({good} + {bad})"
     mean = f"(cast({n} as double) * {good} / {total})"
@@ -112,11 +117,14 @@ def hypergeometric(good: str, bad: str, n: str, u: str) -> str:
     weigh = f"transform(sequence({lo}, {hi}), k -> exp({ln_p('k')} - top))"
     weights = f"transform(array({ln_p(mode)}), top -> {weigh})[0]"
     pick = (
-        "transform(array({w}), w -> {lo} + aggregate(w, named_struct('sum', 0D, 'n', 0L), "
-        "(s, x) -> named_struct('sum', s.sum + x, 'n', s.n + if(s.sum + x < {u} * aggregate(w, 0D, (a, b) -> a + b), 1L, 0L)), s -> s.n))[0]"
+        "transform(array({w}), w -> transform(array({u} * aggregate(w, 0D, (a, b) -> a + b)), most -> {lo} + aggregate(w, named_struct('sum', 0D, 'n', 0L), "
+        "(s, x) -> named_struct('sum', s.sum + x, 'n', s.n + if(s.sum + x < most, 1L, 0L)), s -> s.n))[0])[0]"
     )
     drawn = pick.format(w=weights, lo=lo, u=u)
-    return f"(case when {total} <= 0 or {n} <= 0 then 0L when {lo0} = {hi0} then {lo0} else least({hi}, {drawn}) end)"
+    # A second uniform number from the first one's low digits, for a normal one by Box and Muller.
+    normal = f"sqrt(-2D * ln({u})) * cos(2D * pi() * ({u} * 1048576D - floor({u} * 1048576D)))"
+    wide = f"least({hi0}, greatest({lo0}, cast(round({mean} + {sd} * ({normal})) as bigint)))"
+    return f"(case when {total} <= 0 or {n} <= 0 then 0L when {lo0} = {hi0} then {lo0} when {sd} > {WIDE} then {wide} else least({hi}, {drawn}) end)"
 
 
 def split_quotas(quotas: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
@@ -190,18 +198,35 @@ def sized(docs: DataFrame) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """The mix itself: each row of docs as often as it is drawn, all its columns
-    kept; the last document of a source's quota ends where the target is met."""
-    rows = sized(docs)
-    draws = mix(rows, shards, seed)[0].select("doc_id", "source", "__tie", "size", "words", "shard", "position").dropDuplicates(["doc_id", "source", "__tie", "shard", "position"])
-    keyed = docs.withColumn("__tie2", F.xxhash64("text"))
-    same = keyed["doc_id"].eqNullSafe(draws["doc_id"]) & keyed["source"].eqNullSafe(draws["source"]) & (keyed["__tie2"] == draws["__tie"])
-    words = F.regexp_extract_all(keyed["text"], F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    text = F.when(draws["words"] < draws["size"], F.array_join(F.slice(words, F.lit(1), draws["words"].cast("int")), "")).otherwise(keyed["text"])
-    return keyed.join(draws, same).select(*[(text.alias("text") if c == "text" else keyed[f"`{c}`"]) for c in docs.columns])
+    kept; the last document of a source's quota ends where the target is met.
+
+    Rows come shard by shard and shuffled inside each, so files written from the
+    result follow that order. Rows are numbered in a stored copy: equal rows have
+    draws of their own."""
+    columns = docs.columns
+    at = {c: f"c{k}" for k, c in enumerate(columns)}
+    kept = stored(docs.toDF(*at.values()).withColumn("row", F.monotonically_increasing_id()), "mixing-rows")
+    text = F.col(at["text"])
+    rows = kept.select(F.col(at["doc_id"]).alias("doc_id"), F.col(at["source"]).alias("source"), n_words(text).alias("size"), F.xxhash64(text).alias("__tie"), F.col("row").alias("__row"))
+    draws = mix(stored(rows, "mixing-sizes"), shards, seed)[0].select(F.col("__row").alias("row"), "size", "words", "shard", "position")
+    words = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    cut = F.when(F.col("words") < F.col("size"), F.array_join(F.slice(words, F.lit(1), F.col("words").cast("int")), "")).otherwise(text)
+    drawn = kept.join(draws, "row").withColumn(at["text"], cut)
+    # A shard's draws spread evenly over positions, so ranges of (shard, position) are parts of even size.
+    parts = 4 * slices(docs.sparkSession)
+    place = (F.col("shard") + (F.shiftrightunsigned("position", 11) / F.lit(float(1 << 53)))) / shards
+    dealt = drawn.withColumn("part", F.least(F.floor(place * parts), F.lit(parts - 1)).cast("int"))
+    ordered = dealt.repartition(slices(docs.sparkSession), "part").sortWithinPartitions("part", "shard", "position")
+    return ordered.select(*at.values()).toDF(*columns)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's draws are those of its blocks in the tree's leaves: taken
+    sums their words, shards names the leaf and position of each."""
     draws, known = mix(sized(spark.read.parquet(f"{sf_dir}/documents.parquet")))
-    taken = draws.groupBy("__row").agg(F.sum("words").alias("taken"))
+    place = F.struct("shard", "position")
+    taken = draws.groupBy("__row").agg(F.sum("words").alias("taken"), F.array_sort(F.collect_list(place)).alias("places"))  # MAX_EPOCHS draws at most
     out = known.join(taken, "__row", "left")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    shards = F.coalesce(F.array_join(F.transform("places", lambda p: p["shard"].cast("string")), ","), F.lit(""))
+    positions = F.coalesce(F.array_join(F.transform("places", lambda p: p["position"].cast("string")), ","), F.lit(""))
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), shards.alias("shards"), positions.alias("positions"))
