@@ -274,12 +274,14 @@ def _links(reps: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     # First round: each list with its leader.
     one = F.struct("rep", "n", "left")
     leaders = prefix.groupBy("gram").agg(F.max_by(one, F.struct("left", F.xxhash64("rep"))).alias("l"), F.count(F.lit(1)).alias("many")).filter("many > 1")
+    leaders = stored(leaders, "ngrams-leaders")  # so that AQE can split a long list in the join
     met = prefix.join(leaders, (prefix["gram"] == leaders["gram"]) & (prefix["rep"] != F.col("l.rep")) & _could_link(percent))
     links = stored(_linked(_ordered(met), segments, percent), "ngrams-links")
     # Second round: the pairs left between components.
     found = components(links)
     where = prefix.join(found, prefix["rep"] == found["node"], "left").select("rep", "n", "left", "gram", F.coalesce("component", "rep").alias("component"))
     mixed = where.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("gram")
+    mixed = stored(mixed, "ngrams-mixed")
     rest = stored(where.join(mixed, "gram", "left_semi"), "ngrams-rest")
     other = rest.select(F.col("gram").alias("__gram"), F.struct("rep", "n", "left", "component").alias("l"))
     met = rest.join(other, (F.col("gram") == F.col("__gram")) & (F.col("rep") < F.col("l.rep")) & (F.col("component") != F.col("l.component")) & _could_link(percent))
@@ -394,23 +396,25 @@ def _grouped(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Data
     sizes = set_sizes(docs, width)
     may = sizes.filter((F.col("n") > 0) & (100 * (F.col("n") - F.col("alone")) >= percent * F.col("n"))).select("node").distinct()
     sets = _sets(docs, may, width)
-    same = ["n", "s1", "s2"]
-    reps = sets.groupBy(*same).agg(F.min("node").alias("rep"))
-    member = stored(sets.select("node", "doc_id", *same).join(reps, same).select("node", "doc_id", "rep").distinct(), "ngrams-members")
-    own = sets.join(member.select("rep").distinct(), sets["node"] == F.col("rep"), "left_semi").select(F.col("node").alias("rep"), "n", "grams").dropDuplicates(["rep"])
+    # A representative is named by a hash of its set, so no join has to find it.
+    sets = sets.withColumn("rep", F.xxhash64("n", "s1", "s2"))
+    member = stored(sets.select("node", "doc_id", "rep").distinct(), "ngrams-members")
+    first = stored(member.groupBy("rep").agg(F.min("node").alias("node")).select("node"), "ngrams-first")
+    own = sets.join(first, "node", "left_semi").select("rep", "n", "grams").dropDuplicates(["rep"])
     links, per = _links(own, percent)
     found = components(links)
-    joined = member.join(found, member["rep"] == found["node"], "left").select(member["node"], "doc_id", "rep", F.coalesce("component", "rep").alias("component"))
-    return sizes, joined, per, found
+    joined = member.join(found.withColumnRenamed("node", "__rep"), F.col("rep") == F.col("__rep"), "left").select("node", "doc_id", "rep", F.coalesce("component", "rep").alias("component"))
+    return sizes, stored(joined, "ngrams-joined"), per, found
 
 
 def near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """node, doc_id, n_shingles, component_id and n_links of every row of docs."""
     sizes, joined, per, found = _grouped(docs, width, percent)
-    names = joined.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    weights = stored(joined.groupBy("rep").agg(F.count(F.lit(1)).alias("weight")), "ngrams-weights")
-    counts = weights.join(_link_counts(per, found, weights, percent), "rep", "left").select("rep", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    ids = joined.join(names, "component").join(counts, "rep").select("node", "component_id", "n_links").distinct()
+    names = stored(joined.groupBy("component").agg(F.min("doc_id").alias("component_id")), "ngrams-names")
+    weights = stored(joined.groupBy("rep", "component").agg(F.count(F.lit(1)).alias("weight")), "ngrams-weights")
+    counts = weights.join(_link_counts(per, found, weights.select("rep", "weight"), percent), "rep", "left").join(names, "component")
+    counts = stored(counts.select("rep", "component_id", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "ngrams-reps")
+    ids = joined.join(counts, "rep").select("node", "component_id", "n_links").distinct()
     out = sizes.join(ids, "node", "left").select("node", "doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
     return out.withColumns({"component_id": F.coalesce("component_id", "doc_id"), "n_links": F.coalesce("n_links", F.lit(0))})
 
