@@ -137,7 +137,8 @@ def propagate(members: DataFrame, n_rows: int, shards: int = SHARDS) -> tuple[Da
 def shard_rows(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
     """Adds shard and slot to stored rows (row: a number of its own; hub: rows
     with equal ones are linked)."""
-    groups = rows.groupBy("hub").agg(F.count(F.lit(1)).alias("n"))
+    # Stored, so that the join is one of two plain tables, whose skewed parts AQE splits.
+    groups = stored(rows.groupBy("hub").agg(F.count(F.lit(1)).alias("n")), "sharding-sizes")
     known = stored(rows.select("row", "hub").join(groups, "hub"), "sharding-hubs")
     total = rows.count()
     linked, loads = propagate(known.filter("n > 1"), total, shards)
