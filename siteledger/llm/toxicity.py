@@ -9,8 +9,11 @@ offending sentences.
 Training uses at most MAX_TRAIN labelled documents (those with the smallest id
 hash). Features live in a hashed space of FEATURES slots; a first pass counts
 documents by slot, a second one reads only the MAX_USED slots that tell the
-labels apart best. So the training data have a proven bound, and one task
-learns from them, as has the table of weights that is sent to every task. Scoring reads every whole text.
+labels apart best. The number of training documents is bounded, their length is
+not: whole texts are read, and one task learns from the used slots of their
+sentences, 8 bytes each. The table of weights that every task gets has at most
+MAX_USED entries. Scoring reads every whole text, in steps of bounded bytes (a
+longer single text is one step).
 
 Defined cases: a null or empty text has no sentence and gets the score of an
 empty bag, 0; a null id is scored like any other row (held_out is null);
@@ -28,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from siteledger.llm.common import row_key, sheltered, stored
 from siteledger.llm.textops import LOWER, WHITESPACE, Texts, mix, span_hashes, spans, texts
@@ -188,9 +192,12 @@ def _descend(y: np.ndarray, d: np.ndarray, s: np.ndarray, f: np.ndarray, size: i
     return weights, bias
 
 
+OFFENDING = ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType()), StructField("score", DoubleType())]))
+
+
 def with_score(docs: DataFrame, model: Model, keep: list[str], text: str = "text", locate: bool = False) -> DataFrame:
-    """The columns in keep and score; with locate, also the sentences whose own
-    score reaches one half, as byte ranges of the text."""
+    """The columns in keep and score; with locate, also offending: the sentences
+    whose own score reaches one half, as byte ranges of the text."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)  # at most MAX_USED slots
 
@@ -217,8 +224,8 @@ def with_score(docs: DataFrame, model: Model, keep: list[str], text: str = "text
 
     kept = docs.select(*keep, *([] if text in keep else [text]))
     at = kept.columns.index(text)
-    types = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in kept.schema.fields[: len(keep)])
-    return kept.mapInArrow(run, f"{types}, score double" + ", offending array<struct<start: bigint, end: bigint, score: double>>" * locate)
+    more = [StructField("score", DoubleType()), StructField("offending", OFFENDING)]
+    return kept.mapInArrow(run, StructType(kept.schema.fields[: len(keep)] + more[: 1 + locate]))
 
 
 def held_out() -> Column:
@@ -247,5 +254,6 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fit_on(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    out = with_score(docs, model, ["doc_id"])
-    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    out = with_score(docs, model, ["doc_id"], locate=True)
+    where = F.transform("offending", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string")))
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), F.array_join(where, "|").alias("offending"))
