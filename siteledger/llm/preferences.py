@@ -72,14 +72,19 @@ def format_pairs(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
 def reply_pairs(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Chosen and rejected sides for every conversation with an assistant turn:
     it up to its last such turn, and the same with that turn's text taken from
-    the neighbour whose id differs in the last bit (empty where there is none)."""
+    the neighbour whose id differs in the last bit (empty where there is none).
+
+    Null turns come first; of several assistant rows with the last turn's number
+    the largest text is the reply, and all of them are replaced. A null id is a
+    conversation like any other, without a neighbour."""
     turns = conversations.select(F.col("conv_id").alias("pair_id"), "turn", "role", "text")
-    last = turns.filter("role = 'assistant'").groupBy("pair_id").agg(F.max_by("text", "turn").alias("__reply"), F.max("turn").alias("__last"))
+    nth = F.struct(F.col("turn").isNotNull().alias("known"), F.col("turn"))
+    last = turns.filter("role = 'assistant'").groupBy("pair_id").agg(F.max_by("text", F.struct(nth, "text")).alias("__reply"), F.max(nth).alias("__last"))
     other = last.select(F.col("pair_id").bitwiseXOR(F.lit(1).cast("long")).alias("pair_id"), F.col("__reply").alias("__other"))
-    ends = last.join(other, "pair_id", "left").select("pair_id", "__last", "__other")
-    upto = turns.join(ends, "pair_id").filter("turn <= __last")
+    ends = last.join(other, "pair_id", "left").select(F.col("pair_id").alias("__pair"), "__last", "__other")
+    upto = turns.join(ends, turns["pair_id"].eqNullSafe(ends["__pair"])).filter(nth <= F.col("__last"))
     chosen = upto.select("pair_id", "turn", "role", "text")
-    own = (F.col("turn") == F.col("__last")) & (F.col("role") == "assistant")
+    own = nth.eqNullSafe(F.col("__last")) & (F.col("role") == "assistant")
     rejected = upto.select("pair_id", "turn", "role", F.when(own, F.coalesce("__other", F.lit(""))).otherwise(F.col("text")).alias("text"))
     return chosen, rejected
 
