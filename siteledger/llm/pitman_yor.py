@@ -279,11 +279,13 @@ def by_word(docs: DataFrame, contexts: np.ndarray, frequent: np.ndarray) -> tupl
             valid, out = ids.is_valid().to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
             ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
             for t in texts(b.column(2)):
+                if docs_ + len(t) > CHUNK_DOCS:
+                    yield from flush()
                 word, before, mine = _tokens(t, out)
                 rows = slice(t.first, t.first + len(t))
                 held.append((word, before, mine + docs_, ids[rows], valid[rows], out[rows], np.bincount(mine, minlength=len(t))))
                 size, docs_ = size + len(t.data), docs_ + len(t)
-                if size > CHUNK_BYTES or docs_ > CHUNK_DOCS - 12_000:
+                if size > CHUNK_BYTES:
                     yield from flush()
         if held:
             yield from flush()

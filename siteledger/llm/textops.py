@@ -13,8 +13,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text handled at once; a single longer text is handled alone.
+#: Bytes and number of texts handled at once, whatever the size of a batch; a
+#: single longer text is handled alone.
 STEP_BYTES = 2_000_000
+STEP_TEXTS = 8192
 
 WHITESPACE = np.zeros(256, dtype=bool)
 WHITESPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -61,7 +63,8 @@ class Texts:
 
 
 def texts(column: pa.Array, step: int = STEP_BYTES) -> Iterator[Texts]:
-    """Cuts a string column into runs of about step bytes; nulls count as empty."""
+    """Cuts a string column into runs of about step bytes and at most STEP_TEXTS
+    texts; nulls count as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = pc.fill_null(column.cast(pa.large_string()), "")
@@ -74,7 +77,7 @@ def texts(column: pa.Array, step: int = STEP_BYTES) -> Iterator[Texts]:
     at = 0
     while at < n:
         to = int(np.searchsorted(offsets, offsets[at] + step, side="right")) - 1
-        to = min(max(to, at + 1), n)
+        to = min(max(to, at + 1), at + STEP_TEXTS, n)
         yield Texts(at, raw[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
         at = to
 

@@ -299,28 +299,34 @@ def test_search_equals_brute_force(spark, small):
 
 
 def test_search_prunes_and_stays_exact():
-    from siteledger.llm.wand_search import BLOCK, Shard
+    """Topics of frequent and rare terms, a window and a half each, and documents as queries."""
+    from siteledger.llm.wand_search import BLOCK, WINDOW, Shard
 
     rng = np.random.default_rng(5)
-    n, docs, starts, tf = 40 * BLOCK, [], [0], []
-    for t in range(60):
-        d = np.unique(rng.integers(0, n, rng.integers(1, 800)))
-        docs.append(d)
-        tf.append(rng.integers(1, 5, len(d)))
-        starts.append(starts[-1] + len(d))
-    row = {"n_docs": n, "ids": np.arange(n, dtype=np.int64).tobytes(), "known": np.ones(n, bool).tobytes(), "lengths": np.full(n, 50, "<i8").tobytes(), "terms": np.arange(60, dtype=np.uint64).tobytes(), "starts": np.array(starts, "<u4").tobytes(), "postings": np.concatenate(docs).astype("<u2").tobytes(), "counts": np.concatenate(tf).astype("<u4").tobytes()}
-    shard = Shard(row, 50.0)
-    for _ in range(20):
-        q = np.unique(rng.integers(0, 70, 6)).astype(np.uint64)
-        w = rng.random(len(q)) * 5
-        full = np.zeros(n)
-        for t, x in zip(q.astype(int), w):
-            if t < 60:
-                np.add.at(full, docs[t], shard.impact[starts[t] : starts[t + 1]] * x)
-        full = np.round(full, 6)
-        best, scores = shard.search(q, w, 10)
+    blocks, n_terms = 6 * WINDOW, 2400
+    n, docs, starts = blocks * BLOCK, [], [0]
+    for t in range(n_terms):
+        low, wide = (n // 4 * (t % 4), n // 4) if t > 40 else (0, n)
+        docs.append(np.unique(low + rng.integers(0, wide, max(2, int(0.3 * wide / (t // 4 + 1) ** 0.8 if t <= 40 else wide / (t // 4) ** 0.8)))))
+        starts.append(starts[-1] + len(docs[-1]))
+    of_term, doc = np.repeat(np.arange(n_terms), np.diff(starts)), np.concatenate(docs)
+    idf = np.log1p((n - np.diff(starts) + 0.5) / (np.diff(starts) + 0.5))
+    row = {"n_docs": n, "ids": np.arange(n, dtype=np.int64).tobytes(), "known": np.ones(n, bool).tobytes(), "lengths": np.full(n, 50, "<i8").tobytes(), "terms": np.arange(n_terms, dtype=np.uint64).tobytes(), "starts": np.array(starts, "<u4").tobytes(), "postings": doc.astype("<u2").tobytes(), "counts": rng.integers(1, 4, len(doc)).astype("<u4").tobytes()}
+    shard = Shard(row, 50.0, np.arange(n_terms + 9, dtype=np.uint64), np.append(idf, np.ones(9)))
+    every = 0
+    for q in rng.integers(0, n, 12):
+        q = np.append(np.unique(of_term[doc == q]), n_terms + 5).astype(np.uint64)
+        mine = np.isin(of_term, q)
+        full = np.round(np.bincount(doc[mine], weights=shard.impact[mine], minlength=n), 6)
+        best, scores = shard.search(q, 10)
         want = np.lexsort((np.arange(n), -full))[:10]
-        assert np.allclose(scores, full[want][full[want] > 0]) and list(best) == list(want[full[want] > 0])
+        assert np.allclose(scores, full[want]) and list(best) == list(want)
+        every += mine.sum()
+        spent = shard.scored
+        assert list(shard.search(q, 10, scores[-1])[0]) == list(best)
+        assert len(shard.search(q, 10, scores[0] + 1)[0]) == 0
+        shard.scored = spent
+    assert shard.scored < 0.8 * every, (shard.scored, every)
 
 
 def test_search_of_odd_rows(spark, odd):
@@ -729,6 +735,74 @@ def test_outliers_are_found_by_group(spark):
     assert sum(got[i] for i in range(300)) >= 297 and not any(got[1000 + i] for i in range(20))
 
 
+def plain_mcd(z):
+    """Squared distances of rows z by group, straight from the definition."""
+    from siteledger.llm import quality_outliers as q
+
+    floor = np.array(q.FLOORS)
+    cuts = lambda x: np.quantile(np.round(x, 2), [0.25, 0.5, 0.75], axis=0)
+    every = cuts(np.concatenate(list(z.values())))
+    est = {}
+    for g, x in z.items():
+        share = len(x) / (len(x) + q.PRIOR_ROWS)
+        c = cuts(x) * share + every * (1 - share)
+        spread = np.maximum((c[2] - c[0]) / 1.349, floor)
+        est[g] = [(c[k], np.diag(1 / spread**2), 0) for k in range(3)]
+    far = lambda x, e: np.einsum("ni,ij,nj->n", x - e[0], e[1], x - e[0])
+
+    def step(est):
+        near = {}
+        for g, x in z.items():
+            for k, e in enumerate(est[g]):
+                c = np.floor(np.log2(np.clip(far(x, e), q.LEAST, q.MOST)) * q.CLASSES)
+                last = min(v for v in set(c) if (c <= v).sum() >= q.SUPPORT * len(x))
+                near[g, k] = x[c <= last]
+        out = {}
+        for g in z:
+            out[g] = []
+            for k in range(len(est[g])):
+                all_ = [near[h, k] for h in z]
+                n_all = sum(map(len, all_))
+                mean, scatter = np.concatenate(all_).mean(axis=0), sum((x - x.mean(axis=0)).T @ (x - x.mean(axis=0)) for x in all_) / n_all
+                x, p = near[g, k], q.PRIOR_ROWS
+                cov = ((x - x.mean(axis=0)).T @ (x - x.mean(axis=0)) + p * scatter) / (len(x) + p) * q.CONSISTENCY
+                cov += np.diag(np.maximum(floor**2 - np.diag(cov), 0) + 1e-3 * floor**2)
+                out[g].append(((x.sum(axis=0) + p * mean) / (len(x) + p), np.linalg.inv(cov), round(np.linalg.slogdet(cov)[1], 9)))
+        return out
+
+    for _ in range(q.TRIAL_STEPS):
+        est = step(est)
+    est = {g: [min(e, key=lambda x: x[2])] for g, e in est.items()}
+    for _ in range(q.LAST_STEPS):
+        est = step(est)
+    return {g: far(x, est[g][0]) for g, x in z.items()}
+
+
+def test_verdicts_equal_the_plain_estimate(spark):
+    """Two big groups, and small ones down to one row, with odd rows in each."""
+    from siteledger.llm.quality_outliers import CUTOFF, DIMS, _transformed, with_distance
+
+    rng = np.random.default_rng(8)
+    rows = []
+    for g, n in (("a", 400), ("b", 150), ("c", 9), ("d", 3), ("e", 1)):
+        for k in range(n):
+            words = int(rng.integers(30, 600))
+            odd = k % 17 == 0
+            rows.append((len(rows), "x", g, words, int(words * (9 if odd and g != "e" else rng.normal(5, 0.4))), int(words * 0.7) if odd else 0, int(rng.integers(0, 2)), int(words * 0.25) if k % 29 == 0 else 0))
+    stats = spark.createDataFrame(rows, "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long")
+    z = {}
+    for r in _transformed(stats).orderBy("doc_id").collect():
+        z.setdefault(r.source, []).append((r.doc_id, *[r[d] for d in DIMS]))
+    want = {}
+    for g, d in plain_mcd({g: np.array(x)[:, 1:] for g, x in z.items()}).items():
+        want |= {int(x[0]): v for x, v in zip(z[g], d)}
+    got = {r.doc_id: r.distance for r in with_distance(stats, ["lang", "source"]).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-6) for i in want)
+    odd, repeats = {r[0] for r in rows if r[5] > 10}, {r[0] for r in rows if r[7]}
+    assert all(got[i] > CUTOFF for i in odd if rows[i][2] in "abc")
+    assert sum(got[i] <= CUTOFF for i in got if i not in odd | repeats) >= 0.99 * len(got.keys() - odd - repeats)
+
+
 def test_outliers_go_row_by_row(spark):
     """A rejected row takes no other row of its id with it, null ids included."""
     from siteledger.llm.quality_outliers import reject_outliers
