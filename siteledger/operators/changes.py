@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from siteledger.functions.rules import finding_rules, fix_targets
 
@@ -16,14 +15,17 @@ def tier_of(rows: DataFrame, tier: int) -> DataFrame:
     return rows.join(F.broadcast(rules), "finding_type", "left_semi")  # 23 rules
 
 
-def tier1_plan(ledger: DataFrame, changes: DataFrame, graduation: DataFrame, cap: int = CAP, targets: DataFrame | None = None) -> DataFrame:
+def tier1_plan(ledger: DataFrame, changes: DataFrame, graduation: DataFrame, cap: int | None = CAP, targets: DataFrame | None = None) -> DataFrame:
     """What to do about open tier-1 rows, by priority, then key: open, skip as a
     duplicate, or skip for want of a fixer; and whether to merge at once.
 
     A row is a duplicate if a change of its key is open, if another type's
     change to the same file is open, or if another type took the file earlier
     in this plan (the first type to be opened for a file keeps it). After cap
-    openings the plan ends, so later rows are not in it."""
+    openings the plan ends, so later rows are not in it; without a cap it goes on.
+
+    Nothing is ordered as a whole: who takes a file is the least row of the file,
+    and where the plan ends is the last of the first cap openings."""
     spark = ledger.sparkSession
     rows = tier_of(ledger.filter("status = 'open'"), 1).select("stable_key", "finding_type", "priority_score")
     rows = rows.join(F.broadcast(targets if targets is not None else fix_targets(spark)), "finding_type", "left")
@@ -36,17 +38,18 @@ def tier1_plan(ledger: DataFrame, changes: DataFrame, graduation: DataFrame, cap
     blocked = F.coalesce("__same", F.lit(False)) | other
     can = ~blocked & F.coalesce("has_fixer", F.lit(False))
     rows = rows.withColumn("__blocked", blocked).withColumn("__can", can)
-    order = [F.desc("priority_score"), F.col("stable_key")]
-    w = W.partitionBy("target_file").orderBy(*order)
-    taker = F.first(F.when(F.col("__can"), F.col("finding_type")), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
-    rows = rows.withColumn("__taker", taker)
+    rows = rows.withColumn("__at", F.struct((-F.col("priority_score")).alias("p"), "stable_key"))
+    first = rows.filter("__can").groupBy("target_file").agg(F.min(F.struct("__at", "finding_type")).alias("__first"))
+    rows = rows.join(F.broadcast(first), "target_file", "left")  # a row a target file
+    rows = rows.withColumn("__taker", F.when(F.col("__first.__at") <= F.col("__at"), F.col("__first.finding_type")))
     late = F.col("__can") & (F.col("__taker") != F.col("finding_type"))
     # A row without a fixer is a duplicate too if the file was taken before it.
     taken = ~F.col("__blocked") & F.col("__taker").isNotNull() & (F.col("__taker") != F.col("finding_type"))
     action = F.when(F.col("__blocked") | late | taken, "skippedDuplicate").when(F.col("__can"), "open").otherwise("skippedNoFixer")
     rows = rows.withColumn("action", action)
-    opened = F.sum((F.col("action") == "open").cast("int")).over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
-    rows = rows.withColumn("__before", F.coalesce(opened, F.lit(0))).filter(F.col("__before") < cap)
+    if cap is not None:
+        end = rows.filter("action = 'open'").select("__at").orderBy("__at").limit(cap).agg(F.max("__at").alias("__end"), F.count(F.lit(1)).alias("__n"))
+        rows = rows.crossJoin(F.broadcast(end)).filter((F.col("__n") < cap) | (F.col("__at") <= F.col("__end")))  # one row
     ready = graduation.filter("auto_merge_eligible").select("finding_type", F.lit(True).alias("__ready"))
     rows = rows.join(F.broadcast(ready), "finding_type", "left")  # a row a finding type
     merge = (F.col("action") == "open") & F.coalesce("__ready", F.lit(False))

@@ -176,9 +176,8 @@ def audit_structured_data(extracted: DataFrame) -> DataFrame:
     blocks = extracted.filter(~failed).select("url", F.explode("blocks").alias("b")).select("url", F.try_parse_json("b").alias("v"))
     shape = F.coalesce(F.schema_of_variant("v"), F.lit(""))
     blocks = blocks.withColumn("k", F.when(shape.startswith("ARRAY"), "array").when(shape.startswith("OBJECT"), "object").otherwise("bad"))
-    blocks.createOrReplaceTempView("__structured_blocks")
-    spark = extracted.sparkSession
-    items = spark.sql("SELECT b.url, x.value AS v FROM __structured_blocks b, LATERAL variant_explode(b.v) AS x WHERE b.k = 'array'")
+    arrays = blocks.filter("k = 'array'").select("url", F.col("v").alias("block"))
+    items = arrays.lateralJoin(extracted.sparkSession.tvf.variant_explode(F.col("block").outer())).select("url", F.col("value").alias("v"))
     objects = blocks.filter("k = 'object'").select("url", "v").unionByName(items)
     is_object = F.coalesce(F.schema_of_variant("v"), F.lit("")).startswith("OBJECT")
     kind = F.coalesce(F.try_variant_get("v", "$['@type']", "string"), F.lit("unknown"))

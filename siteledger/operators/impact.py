@@ -126,6 +126,25 @@ def impact_actions(steps: DataFrame, changes: DataFrame) -> DataFrame:
     return steps.join(known, "change_id").select("change_id", "finding_type", "merged_on", F.explode(F.array_compact(kinds)).alias("kind"))
 
 
+def alert_texts(actions: DataFrame, changes: DataFrame) -> DataFrame:
+    """actions with the subject and body of their alert; changes give pr_url."""
+    kind, of = F.col("kind"), F.col("finding_type")
+    change = F.concat(F.lit("El cambio "), F.coalesce("pr_url", F.lit("")), F.lit(" (findingType: "), of, F.lit(")"))
+    # Subjects and bodies of alerts.
+    subject = (
+        F.when(kind == "revoked", F.concat(F.lit("Graduación revocada: "), of)).when(kind == "graduated", F.concat(F.lit("Graduación conseguida: "), of))
+        .when(kind == "negative-impact", "Impacto negativo detectado — PR de reversión abierto").otherwise("Impacto negativo detectado — reversión manual necesaria")
+    )
+    body = (
+        F.when(kind == "revoked", F.concat(change, F.lit(" mostró un impacto negativo tras el merge. Se revoca autoMergeEligible para este tipo de hallazgo — volverá a necesitar 10 instancias limpias consecutivas.")))
+        .when(kind == "graduated", F.concat(of, F.lit(" ha completado 10 instancias consecutivas sin impacto negativo. A partir de ahora, los PRs de este tipo se auto-mergean sin esperar revisión.")))
+        .when(kind == "negative-impact", F.concat(change, F.lit(" mostró impacto negativo. Se abrió un PR de reversión. Revísalo y decide si mergearlo — el sistema nunca lo mergea solo.")))
+        .otherwise(F.concat(change, F.lit(" mostró impacto negativo, pero no tiene contenido previo capturado (cambio de una fase anterior a Fase 6). Se requiere reversión manual necesaria.")))
+    )
+    known = changes.select(F.col("id").alias("change_id"), "pr_url")
+    return actions.join(known, "change_id").select("change_id", "finding_type", "kind", subject.alias("subject"), body.alias("body"))
+
+
 def revert_plan(actions: DataFrame, changes: DataFrame) -> DataFrame:
     """A change to open for each negative one whose earlier content is known."""
     due = actions.filter("kind = 'negative-impact'").select(F.col("change_id").alias("id"))

@@ -66,6 +66,11 @@ def workflow_health(steps: DataFrame, by: list[str] | None = None) -> DataFrame:
     return steps.groupBy(*keys).agg(F.when(F.bool_or(F.coalesce(bad, F.lit(False))), "failed").otherwise("ok").alias("status"), F.count_if(bad).alias("failed_steps"))
 
 
+def collection_counts(audits: DataFrame) -> DataFrame:
+    """One row: how many rows a batch has, and how many of them could not be collected."""
+    return audits.agg(F.count(F.lit(1)).alias("checked"), F.count_if(F.size("errors") > 0).alias("failing"))
+
+
 def alert_rows(rows: DataFrame, kind: Column, subject: Column, body: Column, now: dt.datetime) -> DataFrame:
     return rows.select(kind.alias("type"), subject.alias("subject"), body.alias("body"), F.lit(False).alias("acknowledged"), F.lit(now).cast("timestamp").alias("created_at"))
 

@@ -68,6 +68,11 @@ def near_duplicate_pairs(articles: DataFrame, at_least: float = NEAR_DUPLICATE,
     return _blocked(articles, blocks or blocks_for(articles), match)
 
 
+def in_order(pairs: DataFrame) -> DataFrame:
+    """Pairs from the most similar on; ties by slug."""
+    return pairs.orderBy(F.desc(F.rint(F.col("similarity") * 1e9)), "slug_a", "slug_b")
+
+
 def top_similar(articles: DataFrame, top: int = TOP, blocks: int | None = None) -> DataFrame:
     """source_slug, target_slug, similarity, rank: each article's most similar
     others; ties by slug. Only slugs with a / are sources."""
@@ -117,6 +122,14 @@ def change_set(articles: DataFrame, known: DataFrame) -> DataFrame:
     return now.join(was, "slug", "left").select("slug", "content_hash", action.alias("action"))
 
 
+def refresh_counts(articles: DataFrame, known: DataFrame) -> DataFrame:
+    """One row: how many articles a refresh embeds, skips, and cannot read (null text)."""
+    actions = change_set(articles.filter("text is not null"), known)
+    failed = articles.agg(F.count_if(F.col("text").isNull()).alias("failed"))
+    counts = actions.agg(F.count_if(F.col("action") != "unchanged").alias("embedded"), F.count_if(F.col("action") == "unchanged").alias("skipped"))
+    return counts.crossJoin(failed)  # one row each
+
+
 def hashing_embedder(dims: int = 256) -> Callable[[Column], Column]:
     """The default embedder: counts of hashed words, at length 1; no model needed."""
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from siteledger.functions.rules import region_terms
 from siteledger.functions.scalars import content_hash, stable_key
 from siteledger.operators import architecture, changes, documents, findings, impact, ledger, metrics, reporting, similarity
+from siteledger.plans import runs
 from siteledger.sources import landing
 from siteledger.sources import views as v
 from siteledger.sources.views import AS_OF, BASE, LEDGER_AS_OF, table, view
@@ -178,7 +179,7 @@ def graduation_alerts(spark: SparkSession, d: str) -> DataFrame:
 
 def tier1_plan(spark: SparkSession, d: str) -> DataFrame:
     ready = view(spark, d, v.TIER_CHANGES).filter("status = 'merged'").select("finding_type").distinct().select("finding_type", F.lit(10).cast("long").alias("consecutive_good"), F.lit(True).alias("auto_merge_eligible"))
-    return changes.tier1_plan(view(spark, d, v.TIER_LEDGER), view(spark, d, v.TIER_CHANGES), ready, cap=1_000_000_000).select("stable_key", "finding_type", "action", "auto_merge")
+    return changes.tier1_plan(view(spark, d, v.TIER_LEDGER), view(spark, d, v.TIER_CHANGES), ready, cap=None).select("stable_key", "finding_type", "action", "auto_merge")
 
 
 def change_sync(spark: SparkSession, d: str) -> DataFrame:
@@ -298,3 +299,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     embedding_refresh, workflow_health, workflow_alerts, expiry_alerts, last_changes, article_text, existing_links, structured_data_audit, structured_data_findings,
     robots_audit, robots_findings, sitemap_audit, sitemap_findings, published_articles,
 )}
+QUERIES |= runs.QUERIES

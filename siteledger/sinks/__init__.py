@@ -3,34 +3,40 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
+from pyspark.sql.types import StructType
 
-from siteledger.operators.ledger import upsert
 
+def read_or_empty(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The table at path, or an empty one if there is none yet; other errors are raised."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
 
-def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
 
-
-def upsert_by_date(rows: DataFrame, path: str, keys: list[str], arrival: Column | None = None) -> None:
+def upsert_by_date(rows: DataFrame, path: str, keys: list[str], arrival: list[str] | None = None) -> None:
     """Upserts into a table partitioned by date: only partitions with new rows are
-    rewritten. The new content is stored beside the table first, so no file is
-    overwritten while it is read."""
+    rewritten. Of rows with one key the last in the order of the arrival columns
+    wins, which are not stored; without them the largest row does. Rows without a
+    date are kept together. The new content is stored beside the table first, under
+    a name of its own, so no file is overwritten while it is read."""
     spark = rows.sparkSession
-    rest = [c for c in rows.columns if c not in keys]
-    one = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), arrival if arrival is not None else F.struct(*rest)).alias("x")).select(*keys, "x.*")
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
-    old = read_or_empty(spark, path, schema).select(*rows.columns)
-    days = one.select("date").distinct()
-    merged = upsert(old.join(F.broadcast(days), "date", "left_semi"), one, keys)  # a row a day of the batch
-    aside = f"{path.rstrip('/')}-next"
-    merged.write.mode("overwrite").parquet(aside)
+    columns = [c for c in rows.columns if c not in (arrival or [])]
+    rest = [c for c in columns if c not in keys]
+    one = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*(arrival or rest))).alias("x")).select(*keys, "x.*")
+    old = read_or_empty(spark, path, one.select(*columns).schema).select(*columns)
+    days = one.select(F.col("date").alias("__day")).distinct()
+    touched = old.join(F.broadcast(days), F.col("date").eqNullSafe(F.col("__day")), "left_semi")  # a row a day of the batch
+    now = one.select(*[F.col(k).alias(f"__{k}") for k in keys])
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    merged = touched.join(now, same, "left_anti").unionByName(one)
+    aside = f"{path.rstrip('/')}-next-{uuid.uuid4().hex}"
+    merged.write.parquet(aside)
     (spark.read.parquet(aside).repartition("date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path))
 
 
@@ -41,8 +47,7 @@ def append_batch(rows: DataFrame, path: str, run_at: dt.datetime) -> None:
 
 def append_once(rows: DataFrame, path: str, key: str) -> None:
     """Appends rows whose key is not there yet."""
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
-    known = read_or_empty(rows.sparkSession, path, schema).select(key)
+    known = read_or_empty(rows.sparkSession, path, rows.schema).select(key)
     rows.dropDuplicates([key]).join(known, key, "left_anti").write.mode("append").parquet(path)
 
 

@@ -18,20 +18,27 @@ def _key(k: int) -> Column:
     return F.coalesce(F.get("r.keys", F.lit(k)), F.lit(""))
 
 
-def search_rows(responses: DataFrame) -> DataFrame:
+def _rows(responses: DataFrame, keep_place: bool) -> tuple[DataFrame, list[str]]:
+    """r, a response's row; with keep_place also arrived and its place in the response."""
+    if not keep_place:
+        return responses.select(F.explode("rows").alias("r")), []
+    return responses.select("arrived", F.posexplode("rows").alias("place", "r")), ["arrived", "place"]
+
+
+def search_rows(responses: DataFrame, keep_place: bool = False) -> DataFrame:
     """Search snapshot rows of responses (SEARCH_RESPONSE); missing text is empty,
     missing numbers are 0, a missing or unreadable date is null."""
-    r = responses.select(F.explode("rows").alias("r"))
+    r, place = _rows(responses, keep_place)
     number = lambda c, kind: F.coalesce(F.col(f"r.{c}"), F.lit(0.0)).cast(kind).alias(c)
-    return r.select(F.expr("try_cast(get(r.keys, 0) AS DATE)").alias("date"), _key(1).alias("page"), _key(2).alias("query"), number("clicks", "int"), number("impressions", "int"), number("ctr", "double"), number("position", "double"))
+    return r.select(F.expr("try_cast(get(r.keys, 0) AS DATE)").alias("date"), _key(1).alias("page"), _key(2).alias("query"), number("clicks", "int"), number("impressions", "int"), number("ctr", "double"), number("position", "double"), *place)
 
 
-def traffic_rows(responses: DataFrame) -> DataFrame:
+def traffic_rows(responses: DataFrame, keep_place: bool = False) -> DataFrame:
     """Traffic snapshot rows of responses (TRAFFIC_RESPONSE)."""
-    r = responses.select(F.explode("rows").alias("r"))
+    r, place = _rows(responses, keep_place)
     text = lambda k: F.coalesce(F.get("r.dimensionValues", F.lit(k))["value"], F.lit(""))
     number = lambda k: F.coalesce(F.get("r.metricValues", F.lit(k))["value"].try_cast("int"), F.lit(0))
-    return r.select(compact_date(text(0)).alias("date"), text(1).alias("page"), text(2).alias("channel"), number(0).alias("sessions"), number(1).alias("engaged_sessions"), number(2).alias("conversions"))
+    return r.select(compact_date(text(0)).alias("date"), text(1).alias("page"), text(2).alias("channel"), number(0).alias("sessions"), number(1).alias("engaged_sessions"), number(2).alias("conversions"), *place)
 
 
 def read_search(spark: SparkSession, path: str) -> DataFrame:

@@ -12,20 +12,25 @@ from siteledger.sinks import upsert_by_date
 from siteledger.sources.landing import SEARCH_RESPONSE, TRAFFIC_RESPONSE, search_rows, traffic_rows
 
 LATENESS = "3 days"
+ARRIVAL = ["arrived", "place"]
 
 
 def stream_responses(spark: SparkSession, folder: str, kind: str = "search") -> DataFrame:
-    """Snapshot rows of response files as they land."""
+    """Snapshot rows of response files as they land, with when the file arrived
+    and the row's place in it (ARRIVAL)."""
     schema, rows = (SEARCH_RESPONSE, search_rows) if kind == "search" else (TRAFFIC_RESPONSE, traffic_rows)
-    return rows(spark.readStream.schema(schema).option("multiLine", True).json(folder))
+    files = spark.readStream.schema(schema).option("multiLine", True).json(folder)
+    return rows(files.withColumn("arrived", F.struct("_metadata.file_modification_time", "_metadata.file_path")), keep_place=True)
 
 
 def upsert_stream(rows: DataFrame, path: str, keys: list[str], checkpoint: str) -> StreamingQuery:
-    """Upserts each batch by key; a batch that is run again writes the same rows."""
+    """Upserts each batch by key; a batch that is run again writes the same rows.
+    Of a key's rows in a batch the one that arrived last wins."""
+    arrival = [c for c in ARRIVAL if c in rows.columns]
 
     def one(batch: DataFrame, _: int) -> None:
         if not batch.isEmpty():
-            upsert_by_date(batch, path, keys)
+            upsert_by_date(batch, path, keys, arrival or None)
 
     return rows.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -2,6 +2,8 @@ import datetime as dt
 import json
 
 from siteledger.operators import documents
+from pyspark.sql import functions as F
+
 from siteledger.sinks import append_batch, append_once, upsert_by_date, write_text
 from siteledger.sources import landing
 from siteledger.streaming import daily_totals, latest_health, run_to_end, stream_responses, upsert_stream
@@ -114,6 +116,15 @@ def test_upsert_by_date(spark, tmp_path):
     assert read() == [(1, "a", 5), (2, "a", 9), (2, "b", 1)]
 
 
+def test_upsert_keeps_what_arrived_last(spark, tmp_path):
+    """Lower corrections count, and rows without a date are found again."""
+    path = str(tmp_path / "t")
+    rows = spark.createDataFrame([(dt.date(2026, 7, 2), "p", "a", 9, 1), (dt.date(2026, 7, 2), "p", "a", 4, 2), (None, "p", "a", 7, 1)], "date date, page string, query string, clicks int, place int")
+    upsert_by_date(rows, path, KEYS, ["place"])
+    upsert_by_date(rows.filter("date is null").withColumn("clicks", F.lit(3)), path, KEYS, ["place"])
+    assert sorted((str(r.date), r.clicks) for r in spark.read.parquet(path).collect()) == [("2026-07-02", 4), ("None", 3)]
+
+
 def test_appends(spark, tmp_path):
     path, once = str(tmp_path / "a"), str(tmp_path / "o")
     rows = spark.createDataFrame([("x",), ("y",)], "change_id string")
