@@ -648,6 +648,27 @@ def test_mixing_of_odd_rows(spark, odd):
     assert mixed_documents(empty(spark)).count() == 0
 
 
+def test_repeated_rows_have_draws_of_their_own(spark):
+    """Each row twice: the mix meets its target and no row is drawn more than another."""
+    from siteledger.llm.mixing import mixed_documents, n_words
+
+    rows = [(i // 2, " ".join(f"w{i // 2}x{k}" for k in range(100)), "s") for i in range(200)]
+    got = mixed_documents(frame(spark, rows)).select("doc_id", n_words(F.col("text")).alias("n")).collect()
+    assert sum(r.n for r in got) == 20_000 and set(Counter(r.doc_id for r in got).values()) == {2}
+
+
+def test_the_tree_places_draws_and_leaves_totals(spark, small):
+    from siteledger.llm.mixing import mix, sized
+
+    rows = sized(spark.read.parquet(f"{small}/documents.parquet"))
+    seen = []
+    for shards, seed in ((64, 7), (64, 8), (3, 7)):
+        draws = mix(rows, shards, seed)[0].collect()
+        assert max(r.shard for r in draws) < shards
+        seen.append((sum(r.words for r in draws), sorted((r.doc_id, r.epoch, r.shard) for r in draws)))
+    assert seen[0][0] == seen[1][0] == seen[2][0] and seen[0][1] != seen[1][1] != seen[2][1]
+
+
 # --- 9: preferences -------------------------------------------------------
 
 
@@ -679,6 +700,17 @@ def test_preferences(spark):
     assert format_pairs(odd.filter("false"), odd.filter("false")).count() == 0
 
 
+def test_reply_pairs_of_odd_rows(spark):
+    """Null ids and turns stay; of two last replies the largest text is handed on."""
+    from siteledger.llm.preferences import format_pairs, reply_pairs
+
+    rows = [(None, 1, "user", "q"), (None, 2, "assistant", "a"), (4, None, "user", "first"), (4, 1, "assistant", "x"), (4, 1, "assistant", "y"), (5, 1, "assistant", "z"), (6, None, "assistant", "n"), (7, 1, "user", "no reply")]
+    got = {r.pair_id: r for r in format_pairs(*reply_pairs(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))).collect()}
+    assert set(got) == {None, 4, 5, 6}
+    assert "q" in got[None].prompt and "a<|end|>" in got[None].chosen and "a<|end|>" not in got[None].rejected
+    assert "first" in got[4].prompt and got[4].rejected.count("z<|end|>") == 2 and "y<|end|>" in got[5].rejected and "n<|end|>" in got[6].chosen
+
+
 def test_preference_query(spark, small):
     from siteledger.llm.preferences import op9_preferences
 
@@ -815,6 +847,44 @@ def test_outliers_go_row_by_row(spark):
     assert Counter((r.doc_id, r.text) for r in got) == Counter((i, t) for i, t, _ in good)
 
 
+@pytest.mark.parametrize("batch", [1, 100_000])
+def test_results_do_not_depend_on_batches(spark, batch):
+    """Many short texts, in the smallest batches and in one: the same sets, links and scores."""
+    from siteledger.llm.ngram_join import near_duplicates
+    from siteledger.llm.pitman_yor import score_documents
+    from siteledger.llm.wand_search import top_k
+
+    n = 400 if batch == 1 else 80_000
+    rows = spark.range(0, n, 1, 1).select(F.col("id").alias("doc_id"), F.concat(F.lit("a"), F.col("id") % (n - n // 16), F.lit(" b"), F.col("id") % (n - n // 16), F.lit(" c")).alias("text"), F.lit(False).alias("held_out"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        got = near_duplicates(rows, 3, 90).agg(F.sum("n_links").alias("links"), F.max("n_shingles").alias("most"), F.count(F.lit(1)).alias("n")).first()
+        assert (got.links, got.most, got.n) == (2 * (n // 16), 1, n)
+        q = rows.filter("doc_id in (3, 390)").select(F.col("doc_id").alias("query_id"), "text")
+        best = {r.query_id: r.doc_id for r in top_k(rows, q, 2).filter("rank = 2").collect()}
+        assert best[3] == 3 + n - n // 16
+        tokens = score_documents(rows).agg(F.sum("n_tokens").alias("t"), F.max("n_tokens").alias("m"), F.count(F.lit(1)).alias("n")).first()
+        assert (tokens.t, tokens.m, tokens.n) == (4 * n, 4, n)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_no_shared_folder_on_a_cluster():
+    from siteledger.llm.common import shared_dir
+
+    class Context:
+        master, applicationId = "spark://host:7077", "app"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext, conf = Context(), {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session())
+
+
 # --- pipeline -------------------------------------------------------------
 
 
@@ -832,3 +902,23 @@ def test_pipeline(spark, small):
         if nth < len(p.STAGES) - 1:
             assert docs.columns == columns
     assert seen[0] > seen[1] > seen[2] >= seen[3] > 0.5 * seen[0]
+
+
+def test_pipeline_of_odd_rows(spark, small, odd):
+    """Nulls, repeats and clashing columns through every stage, row by row."""
+    import corpus_pipeline as p
+
+    key = lambda df: Counter((r.doc_id, r.text) for r in df.collect())
+    rows = key(odd)
+    stages = [f for _, f in p.STAGES]
+    assert key(stages[0](spark, odd, small)) == rows
+    long = {k: n for k, n in rows.items() if k[1] and len(WORD.findall(k[1])) >= 20}
+    kept = key(stages[1](spark, odd, small))
+    assert not kept - Counter(long)  # all others have too few words
+    assert key(stages[2](spark, odd, small)) == Counter(dict.fromkeys(rows, 1))
+    mixed = stages[3](spark, odd, small)
+    assert mixed.columns == odd.columns and {k[0] for k in key(mixed)} <= {k[0] for k in rows}
+    pieces = stages[4](spark, odd, small).groupBy("doc_id").agg(F.count_if(F.col("piece") == 0).alias("n")).collect()
+    assert {r.doc_id: r.n for r in pieces} == Counter(i for i, _ in rows.elements())
+    for stage in stages:
+        assert stage(spark, odd.filter("false"), small).count() == 0
