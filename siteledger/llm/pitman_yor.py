@@ -1,34 +1,38 @@
 """Hierarchical Pitman-Yor language model (operator 4).
 
-Every frequent word (at least 1/SHARE of all training tokens) and the start of
-a text is a context with a restaurant of its own; all restaurants share one
-parent, over words, which other contexts use directly. Its base is uniform over
-the known words and one unknown word. A restaurant's customers are the tokens
-seen in its context; each of its tables is a customer of the parent. Numbers of
-tables are sampled by Gibbs: given the parent's probability of a word and the
-restaurant's total of tables, the seating of a word's customers is drawn afresh
-(from its exact conditional up to EXACT customers, by seating the others in
-doubling groups), then the parent's seating. Predictive probabilities of SAMPLES
-sweeps are averaged.
-
-Tokens are shuffled once, by the word they are: a word's tokens in all contexts
-and documents meet in one part, so word counts, seating and the log
-probabilities of its tokens are all found there, and only sums by document and
-by context leave it. Totals by context are a bounded table (at most SHARE
-contexts), summed by Spark between sweeps and sent to every task. A sweep is
-drawn again from its seed where its totals are needed, so restaurants are
+Every word seen in training and the start of a text is a context with a
+restaurant of its own; all restaurants share one parent, over words. Its base is
+uniform over the known words and one unknown word. A restaurant's customers are
+the tokens seen in its context; each of its tables is a customer of the parent.
+Numbers of tables are sampled by Gibbs: given the parent's probability of a word
+and the restaurant's total of tables, the seating of a word's customers is drawn
+afresh (from its exact conditional up to EXACT customers, by seating the others
+in doubling groups), then the parent's seating. Predictive probabilities of
+SAMPLES sweeps are averaged.
+
+Tokens are shuffled by the word they are: a word's tokens in all contexts and
+documents meet in one part, so word counts, seating and the log probabilities of
+its tokens are all found there. A word that holds more than half a part's share
+of tokens is spread over parts by its contexts; the parent's customers of these
+words, at most 8 for each shuffle partition, are summed by Spark and their
+parent tables drawn on the driver. Totals of restaurants are summed between
+sweeps: each part sends one number for each context it has, tasks that hold a
+range of contexts add them, and the sums go back to the parts that asked. So a
+context sends at most one number from each part, however frequent it is. A sweep
+is drawn again from its seed where its totals are needed, so restaurants are
 normalised exactly by the totals of their own sample.
 
 Defined cases: a null or empty text is the end token alone; a null id is never
 held out; repeated ids are scored row by row; without training documents every
 score is the uniform base; an empty table gives an empty result; other columns
-are ignored.
+are ignored. Very long texts are cut nowhere: a longer text is a chunk of its own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,13 +41,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteledger.llm.common import slices, stored
-from siteledger.llm.textops import span_hashes, spans, texts
+from siteledger.llm.textops import mix, span_hashes, spans, texts
 
-SHARE = 65_000
 STRENGTH = 1.0
 BURN_IN = 2
 SAMPLES = 3
-EXACT = 24
+EXACT = 64
 SEED = 11
 CHUNK_BYTES = 5_000_000
 #: Documents whose sums a task holds before it sends them on.
@@ -53,18 +56,44 @@ _END = np.uint64(0xE9D0000000000001)
 _START = np.uint64(0x57A4000000000001)
 
 
+@dataclass
+class Root:
+    """The parent's customers and tables: of all words, and of each hot word."""
+
+    customers: float
+    tables: float
+    hot_customers: np.ndarray
+    hot_tables: np.ndarray
+
+
 @dataclass
 class Totals:
-    """What all parts share: contexts by hash, and sums over the whole corpus."""
+    """What all parts share: the hot words, and sums over the whole corpus."""
 
-    contexts: np.ndarray  # hashes in ascending order; context k+1 is contexts[k]
+    parts: int
+    hot: np.ndarray  # hashes of the words that are spread over parts, in ascending order
+    hot_counts: np.ndarray
     tokens: int = 0
     words: int = 0
     leaf_discount: float = 0.5
     root_discount: float = 0.5
-    customers: np.ndarray | None = None  # by context, 0 for the parent itself
-    tables: np.ndarray | None = None
-    by_sample: tuple = ()
+    root: Root | None = None
+    samples: tuple[Root, ...] = ()
+
+    def subs(self) -> np.ndarray:
+        """How many parts each hot word is spread over; at most one part's share of tokens each."""
+        return np.maximum(-(-self.hot_counts * self.parts // max(self.tokens, 1)), 1)
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """Whole numbers from 0, in the least number of bytes that holds them all."""
+    most = int(values.max(initial=0))
+    size = next(k for k in (1, 2, 4, 8) if most < 1 << (8 * k))
+    return bytes([size]) + values.astype(f"<u{size}").tobytes()
+
+
+def _unpack(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1)
 
 
 def _tokens(t, held_rows: np.ndarray):
@@ -85,6 +114,7 @@ def _tokens(t, held_rows: np.ndarray):
     return word, before, mine
 
 
+@lru_cache(maxsize=4)
 def _stirling(discount: float) -> list[np.ndarray]:
     """Logs of generalised Stirling numbers: ways to seat c customers at t tables."""
     rows = [np.full(EXACT + 2, -np.inf)]
@@ -107,8 +137,8 @@ def sample_tables(c: np.ndarray, pull: np.ndarray, discount: float, rng: np.rand
     logs = _stirling(discount)
     for k in range(2, EXACT + 1):
         at = order[cut[k] : cut[k + 1] if k < EXACT else len(order)]
-        for i in range(0, len(at), 40_000):
-            some = at[i : i + 40_000]
+        for i in range(0, len(at), 400_000 // k):
+            some = at[i : i + 400_000 // k]
             w = logs[k][1 : k + 1] + np.arange(1, k + 1) * np.log(np.maximum(pull[some], 1e-300))[:, None]
             w = np.cumsum(np.exp(w - w.max(axis=1, keepdims=True)), axis=1)
             u = rng.random(len(some)) * w[:, -1]
@@ -126,55 +156,88 @@ def sample_tables(c: np.ndarray, pull: np.ndarray, discount: float, rng: np.rand
     return out
 
 
-STATE = "part int, words binary, word_of binary, context binary, place binary, train binary, chunks binary, n_docs binary"
+STATE = "part int, words binary, pairs binary, contexts binary, context binary, runs binary, place binary, train binary, chunks binary, n_docs binary"
+#: What parts are told: tag 0 has customers of each context and its tables at first, 1 the tables after the burn-in, 2 the tables of each sample.
+TOLD = "part int, home int, tag int, told binary"
+ROWS = (2, 1, SAMPLES)
 
 
 class Part:
-    """All tokens of some words."""
+    """All tokens of some words, or those of one hot word in some contexts."""
 
-    def __init__(self, row: dict) -> None:
+    def __init__(self, row: dict, told: dict[int, list]) -> None:
         self.part = row["part"]
-        word_of, context = np.frombuffer(row["word_of"], "<u4"), np.frombuffer(row["context"], "<u2")
-        self.place = np.frombuffer(row["place"], "<u4")
-        train = np.unpackbits(np.frombuffer(row["train"], np.uint8), count=len(word_of)).view(bool)
+        self.words, self.contexts = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["contexts"], np.uint64)
+        self.n = len(self.words)
+        self.pair_word = np.repeat(np.arange(self.n), _unpack(row["pairs"]))
+        self.pair_context, self.runs = _unpack(row["context"]).astype(np.int64), _unpack(row["runs"]).astype(np.int64)
+        self.place = _unpack(row["place"])
+        train = np.unpackbits(np.frombuffer(row["train"], np.uint8), count=len(self.place))
         self.chunks = np.frombuffer(row["chunks"], "<i8")
         self.n_docs = np.frombuffer(row["n_docs"], "<i8")
-        self.n = len(np.frombuffer(row["words"], np.uint64))
-        # Pairs of word and context; tokens are sorted by them.
-        new = np.ones(len(word_of), bool)
-        new[1:] = (word_of[1:] != word_of[:-1]) | (context[1:] != context[:-1])
-        first = np.flatnonzero(new)
-        self.runs = np.diff(np.append(first, len(word_of)))
-        self.pair_word, self.pair_context = word_of[first].astype(np.int64), context[first].astype(np.int64)
+        first = np.cumsum(self.runs) - self.runs
         self.count = np.add.reduceat(train, first, dtype=np.int64) if len(first) else np.zeros(0, np.int64)
         self.seen = np.bincount(self.pair_word, weights=self.count, minlength=self.n).astype(np.int64)
-        self.own = np.flatnonzero((self.count > 0) & (self.pair_context > 0))  # pairs that have customers of a restaurant
-        direct = (self.count > 0) & (self.pair_context == 0)
-        self.direct = np.bincount(self.pair_word[direct], weights=self.count[direct], minlength=self.n).astype(np.int64)
+        self.own = np.flatnonzero(self.count > 0)  # pairs that have customers
+        self.told = {tag: np.concatenate([_unpack(x).reshape(ROWS[tag], -1) for _, x in sorted(got)], axis=1) for tag, got in told.items()}
 
-    def sweeps(self, totals: Totals, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """n Gibbs sweeps: tables of each own pair; customers and tables of the parent by word."""
-        rng = np.random.default_rng([SEED, self.part, len(totals.by_sample)])
+    def is_hot(self, totals: Totals) -> bool:
+        return self.part >= totals.parts
+
+    def hot(self, totals: Totals) -> int:
+        return int(np.searchsorted(totals.hot, self.words[0]))
+
+    def parent(self, totals: Totals, root: Root, c0: np.ndarray, t0: np.ndarray) -> np.ndarray:
+        """The parent's probability of each word."""
+        if self.is_hot(totals):
+            k = self.hot(totals)
+            c0, t0 = root.hot_customers[k : k + 1], root.hot_tables[k : k + 1]
+        new = (STRENGTH + totals.root_discount * root.tables) / (totals.words + 1)
+        return (c0 - totals.root_discount * t0 + new) / (STRENGTH + root.customers)
+
+    def sweeps(self, totals: Totals, stage: int, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """n Gibbs sweeps: tables of each own pair; customers and tables of the parent by word.
+
+        Stage 0 starts from one table for each context, stage 1 from the tables after the burn-in."""
+        rng = np.random.default_rng([SEED, self.part, stage])
         word, context, c = self.pair_word[self.own], self.pair_context[self.own], self.count[self.own]
-        base = 1.0 / (totals.words + 1)
+        tables = self.told[1][0] if stage else self.told[0][1]
         d, d0 = totals.leaf_discount, totals.root_discount
-        new_leaf = STRENGTH + d * totals.tables
-        new_root = (STRENGTH + d0 * totals.tables[0]) * base
-        t = np.ones(len(c), np.int64)
-        t0 = np.minimum(self.seen, 1)
+        new_leaf = (STRENGTH + d * tables.astype(float))[context]
+        new_root = np.full(self.n, (STRENGTH + d0 * totals.root.tables) / (totals.words + 1))
+        t, t0 = np.ones(len(c), np.int64), np.minimum(self.seen, 1)
         for _ in range(n):
-            c0 = np.bincount(word, weights=t, minlength=self.n).astype(np.int64) + self.direct
-            parent = (c0 - d0 * t0 + new_root) / (STRENGTH + totals.customers[0])
-            t = sample_tables(c, new_leaf[context] * parent[word], d, rng)
-            c0 = np.bincount(word, weights=t, minlength=self.n).astype(np.int64) + self.direct
-            t0 = sample_tables(c0, np.full(self.n, new_root), d0, rng)
+            c0 = np.bincount(word, weights=t, minlength=self.n).astype(np.int64)
+            t = sample_tables(c, new_leaf * self.parent(totals, totals.root, c0, t0)[word], d, rng)
+            c0 = np.bincount(word, weights=t, minlength=self.n).astype(np.int64)
+            if not self.is_hot(totals):
+                t0 = sample_tables(c0, new_root, d0, rng)
             yield t, c0, t0
 
+    def by_context(self, values: np.ndarray) -> np.ndarray:
+        return np.bincount(self.pair_context[self.own], weights=values, minlength=len(self.contexts)).astype(np.int64)
+
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[Part]:
+    """The parts of a task, each with all that it was told."""
+    states: dict[int, dict] = {}
+    told: dict[int, dict[int, list]] = {}
     for b in batches:
         for k in range(b.num_rows):
-            yield Part(b.slice(k, 1).to_pylist()[0])
+            r = b.slice(k, 1).to_pylist()[0]
+            if r["words"] is None:
+                told.setdefault(r["part"], {}).setdefault(r["tag"], []).append((r["home"], r["told"]))
+            else:
+                states[r["part"]] = r
+    for part in sorted(states):
+        yield Part(states.pop(part), told.pop(part, {}))
+
+
+def _told(state: DataFrame, parts: int, *answers: DataFrame) -> DataFrame:
+    """Rows of the state beside the sums sent to them, dealt by part."""
+    for a in answers:
+        state = state.unionByName(a, allowMissingColumns=True)
+    return state.repartition(parts, "part") if answers else state
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -226,18 +289,15 @@ def _discount(once: float, twice: float) -> float:
     return float(np.clip(once / (once + 2 * twice), 0.05, 0.95)) if once else 0.5
 
 
-def by_word(docs: DataFrame, contexts: np.ndarray, frequent: np.ndarray) -> tuple[DataFrame, DataFrame]:
+def by_word(docs: DataFrame, totals: Totals) -> tuple[DataFrame, DataFrame]:
     """Tokens by word, a row (STATE) a part; and rows of documents by chunk.
 
-    A part holds the words of a range of hashes; each of the frequent words,
-    which hold more than half a part's share of tokens, is a part of its own."""
-    spark = docs.sparkSession
-    parts = 4 * slices(spark)
-    known = spark.sparkContext.broadcast((contexts, np.sort(frequent)))  # at most SHARE hashes
-    columns = ["part", "chunk", "words", "counts", "context", "place", "train", "ids", "known", "held", "tokens"]
+    A part holds the words of a range of hashes; a hot word has parts of its own."""
+    parts, hot, subs = totals.parts, totals.hot, totals.subs()
+    own = parts + np.cumsum(subs) - subs  # the first part of each hot word
+    columns = ["part", "chunk", "words", "counts", "contexts", "context", "place", "train", "ids", "known", "held", "tokens"]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, hot = known.value
         base, n_chunks = TaskContext.get().partitionId() << 24, 0
         held: list[tuple] = []
         size = docs_ = 0
@@ -246,23 +306,29 @@ def by_word(docs: DataFrame, contexts: np.ndarray, frequent: np.ndarray) -> tupl
             nonlocal held, size, docs_, n_chunks
             word, before, place = (np.concatenate([x[k] for x in held]) for k in range(3))
             ids, valid, out, tokens = (np.concatenate([x[k] for x in held]) for k in range(3, 7))
-            at = np.minimum(np.searchsorted(names, before), max(len(names) - 1, 0))
-            context = np.where(names[at] == before, at + 1, 0) if len(names) else np.zeros(len(before), np.int64)
             order = np.argsort(word, kind="stable")
-            word, context, place = word[order], context[order].astype("<u2"), place[order].astype("<u2")
+            word = word[order]
+            lo, hi = np.searchsorted(word, hot), np.searchsorted(word, hot, side="right")
+            for k in np.flatnonzero(subs > 1):
+                some = order[lo[k] : hi[k]]
+                order[lo[k] : hi[k]] = some[np.argsort(mix(before[some]) % np.uint64(subs[k]), kind="stable")]
+            before, place = before[order], place[order].astype("<u2")
             first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
             chunk, train = base + n_chunks, np.packbits(~out).tobytes()
             n_chunks += 1
-            rows = [(chunk % parts, chunk, None, None, None, None, None, ids.tobytes(), valid.tobytes(), out.tobytes(), tokens.astype("<i8").tobytes())]
+            rows = [(chunk % parts, chunk, None, None, None, None, None, None, ids.tobytes(), valid.tobytes(), out.tobytes(), tokens.astype("<i8").tobytes())]
 
             def add(part: int, a: int, b: int) -> None:
                 if b > a:
                     f = first[np.searchsorted(first, a) : np.searchsorted(first, b)]
-                    rows.append((part, chunk, word[f].tobytes(), np.diff(np.append(f, b)).astype("<u4").tobytes(), context[a:b].tobytes(), place[a:b].tobytes(), train, None, None, None, len(ids).to_bytes(8, "little")))
+                    f = f if len(f) and f[0] == a else np.append(a, f)
+                    names, context = np.unique(before[a:b], return_inverse=True)
+                    rows.append((part, chunk, word[f].tobytes(), _pack(np.diff(np.append(f, b))), names.tobytes(), _pack(context), place[a:b].tobytes(), train, None, None, None, len(ids).to_bytes(8, "little")))
 
-            lo, hi = np.searchsorted(word, hot), np.searchsorted(word, hot, side="right")
             for k, (a, b) in enumerate(zip(lo, hi)):
-                add(parts + k, a, b)
+                at = a + np.searchsorted(mix(before[a:b]) % np.uint64(subs[k]), np.arange(subs[k] + 1, dtype=np.uint64))
+                for sub, (i, j) in enumerate(zip(at[:-1], at[1:])):
+                    add(int(own[k]) + sub, i, j)
             # Ranges of hashes, cut again wherever a frequent word stands.
             cut = np.searchsorted(word >> np.uint64(32), (np.arange(parts + 1) * (1 << 32) // parts).astype(np.uint64))
             for k, (a, b) in enumerate(zip(cut[:-1], cut[1:])):
@@ -298,7 +364,7 @@ def by_word(docs: DataFrame, contexts: np.ndarray, frequent: np.ndarray) -> tupl
                     heads.append(r)
                 else:
                     by_part.setdefault(r["part"], []).append(r)
-        empty = (None,) * 6
+        empty = (None,) * 8
         rows = [(*empty, np.array([r["chunk"]], "<i8").tobytes(), r["ids"], r["known"], r["held"], r["tokens"]) for r in heads]
         if rows:
             yield batch(rows)
@@ -307,7 +373,7 @@ def by_word(docs: DataFrame, contexts: np.ndarray, frequent: np.ndarray) -> tupl
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         cols = list(zip(*rows))
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["part", "words", "word_of", "context", "place", "train", "chunks", "n_docs", "known", "held", "tokens"])
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=[*[x.split()[0] for x in STATE.split(", ")], "known", "held", "tokens"])
 
     def merged(part: int, got: list[dict]) -> tuple:
         """One row of all messages of a part; a chunk may have sent several."""
@@ -317,15 +383,22 @@ def by_word(docs: DataFrame, contexts: np.ndarray, frequent: np.ndarray) -> tupl
         for r, k in zip(got, nth):
             docs_of[k] = int.from_bytes(r["tokens"], "little")
         before = np.concatenate([[0], np.cumsum(docs_of)[:-1]])
-        n = [np.frombuffer(r["counts"], "<u4") for r in got]
         words = np.unique(np.concatenate([np.frombuffer(r["words"], np.uint64) for r in got]))
-        of = np.concatenate([np.repeat(np.searchsorted(words, np.frombuffer(r["words"], np.uint64)).astype("<u4"), k) for r, k in zip(got, n)])
-        context = np.concatenate([np.frombuffer(r["context"], "<u2") for r in got])
+        of = np.concatenate([np.repeat(np.searchsorted(words, np.frombuffer(r["words"], np.uint64)), _unpack(r["counts"])) for r in got])
+        names = [np.frombuffer(r["contexts"], np.uint64) for r in got]
+        contexts, at = np.unique(np.concatenate(names), return_inverse=True)
+        at = np.split(at, np.cumsum([len(x) for x in names])[:-1])
+        context = np.concatenate([x[_unpack(r["context"])] for x, r in zip(at, got)])
         local = [np.frombuffer(r["place"], "<u2") for r in got]
         train = np.concatenate([np.unpackbits(np.frombuffer(r["train"], np.uint8))[x] for r, x in zip(got, local)])
-        place = np.concatenate([x + np.uint32(before[k]) for x, k in zip(local, nth)])
-        order = np.argsort((of.astype(np.uint64) << np.uint64(16)) | context, kind="stable")
-        return part, words.tobytes(), of[order].tobytes(), context[order].tobytes(), place[order].astype("<u4").tobytes(), np.packbits(train[order]).tobytes(), chunks.tobytes(), docs_of.tobytes(), None, None, None
+        place = np.concatenate([x + before[k] for x, k in zip(local, nth)])
+        pair = of * len(contexts) + context
+        order = np.argsort(pair, kind="stable")
+        pair = pair[order]
+        first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+        pairs = np.bincount(pair[first] // len(contexts), minlength=len(words))
+        arrays = (_pack(pairs), contexts.tobytes(), _pack(pair[first] % len(contexts)), _pack(np.diff(np.append(first, len(pair)))), _pack(place[order]))
+        return part, words.tobytes(), *arrays, np.packbits(train[order]).tobytes(), chunks.tobytes(), docs_of.tobytes(), None, None, None
 
     sent = docs.mapInArrow(send, ", ".join([f"{columns[0]} int", f"{columns[1]} long", *[f"{c} binary" for c in columns[2:]]])).repartition(parts, "part")
     both = stored(sent.mapInArrow(merge, STATE + ", known binary, held binary, tokens binary"), "lm-tokens")
@@ -334,65 +407,107 @@ def by_word(docs: DataFrame, contexts: np.ndarray, frequent: np.ndarray) -> tupl
     return state, heads
 
 
-def _sum_rows(rows: DataFrame, n: int, samples: int) -> tuple[np.ndarray, ...]:
-    """Sums of x and y by sample and context: at most samples * (n + 1) rows."""
-    x, y = np.zeros((samples, n + 1)), np.zeros((samples, n + 1))
-    sums = rows.groupBy("sample", "context").agg(F.sum("x").alias("x"), F.sum("y").alias("y")).toArrow()
-    s, k = sums["sample"].to_numpy(), sums["context"].to_numpy()
-    x[s, k], y[s, k] = sums["x"].to_numpy(), sums["y"].to_numpy()
-    return x, y
+SENT = "home int, part int, names binary, told binary, sample int, key long, x double"
+_TABLES, _CUSTOMERS, _ONCE, _TWICE = -1, -2, -3, -4  # keys of sums over all; others are hot words
+
+
+def _messages(p: Part, homes: int, values: np.ndarray, sums: list[tuple[int, int, float]]) -> pa.RecordBatch:
+    """What a part sends: values (a row each) of its contexts to those that add them, and sums over all."""
+    cut = np.searchsorted(p.contexts >> np.uint64(32), (np.arange(homes + 1) * (1 << 32) // homes).astype(np.uint64))
+    rows = [(k, p.part, p.contexts[a:b].tobytes(), _pack(values[:, a:b].ravel()), None, None, None) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
+    rows += [(p.part % homes, p.part, None, None, *x) for x in sums]
+    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.float64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[x.split()[0] for x in SENT.split(", ")])
+
+
+def _exchange(sent: DataFrame, tag: int) -> tuple[DataFrame, dict[tuple[int, int], float]]:
+    """Sums by context, sent back to each part that has the context (TOLD); and
+    sums over all parts by sample and key, a bounded number."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, values, back, sums = [], [], [], []
+        for b in batches:
+            for r in b.to_pylist():
+                if r["names"] is None:
+                    sums.append((None, None, None, None, r["sample"], r["key"], r["x"]))
+                else:
+                    names.append(np.frombuffer(r["names"], np.uint64))
+                    values.append(_unpack(r["told"]).reshape(ROWS[tag], -1))
+                    back.append((r["part"], r["home"], tag))
+        rows = sums
+        if names:
+            _, of = np.unique(np.concatenate(names), return_inverse=True)
+            total = np.stack([np.bincount(of, weights=np.concatenate([v[k] for v in values]))[of].astype(np.int64) for k in range(ROWS[tag])])
+            at = np.cumsum([0] + [len(x) for x in names])
+            rows += [(*r, _pack(total[:, a:b].ravel()), None, None, None) for r, a, b in zip(back, at[:-1], at[1:])]
+        if rows:
+            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["part", "home", "tag", "told", "sample", "key", "x"])
+
+    out = stored(sent.repartition(slices(sent.sparkSession), "home").mapInArrow(add, TOLD + ", sample int, key long, x double"), "lm-totals")
+    sums = out.filter("part is null").groupBy("sample", "key").agg(F.sum("x").alias("x")).collect()  # a row a sample and hot word
+    return out.filter("part is not null").select("part", "home", "tag", "told"), {(r.sample, r.key): r.x for r in sums}
 
 
-SUMS = "sample int, context int, x double, y double"
+def _roots(totals: Totals, sums: dict[tuple[int, int], float], samples: int, stage: int) -> tuple[Root, ...]:
+    """The parent's totals by sample; tables of hot words are drawn here."""
+    rng = np.random.default_rng([SEED, stage])
+    out = []
+    for k in range(samples):
+        c = np.array([sums.get((k, h), 0) for h in range(len(totals.hot))], dtype=np.int64)
+        new = (STRENGTH + totals.root_discount * totals.root.tables) / (totals.words + 1) if totals.root else 0.0
+        t = sample_tables(c, np.full(len(c), new), totals.root_discount, rng) if totals.root else np.minimum(c, 1)
+        out.append(Root(sums.get((k, _CUSTOMERS), 0.0) + c.sum(), sums.get((k, _TABLES), 0.0) + t.sum(), c, t))
+    return tuple(out)
 
 
-def _sum_batch(sample: int, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
-    at = np.flatnonzero((x != 0) | (y != 0))
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), sample, np.int32)), pa.array(at.astype(np.int32)), pa.array(x[at].astype(float)), pa.array(y[at].astype(float))], names=["sample", "context", "x", "y"])
+def _of_parent(p: Part, totals: Totals, sample: int, c0: np.ndarray, t0: np.ndarray) -> list[tuple[int, int, float]]:
+    if p.is_hot(totals):
+        return [(sample, p.hot(totals), float(c0.sum()))]
+    return [(sample, _CUSTOMERS, float(c0.sum())), (sample, _TABLES, float(t0.sum()))]
 
 
-def _initial(state: DataFrame, totals: Totals) -> None:
-    """Customers of each restaurant, the words it has seen, and the leaf discount."""
-    n = len(totals.contexts)
+def _initial(state: DataFrame, totals: Totals) -> DataFrame:
+    """Customers of each restaurant and the words it has seen; sets the parent's totals and the leaf discount."""
+    homes = slices(state.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in _parts(batches):
-            k, c = p.pair_context[p.own], p.count[p.own]
-            x, y = np.bincount(k, weights=c, minlength=n + 1), np.bincount(k, minlength=n + 1)
-            x[0], y[0] = len(p.own) + p.direct.sum(), (p.seen > 0).sum()
-            yield _sum_batch(0, x, y)
-            yield _sum_batch(1, np.eye(1, n + 1)[0] * (c == 1).sum(), np.eye(1, n + 1)[0] * (c == 2).sum())
+            c = p.count[p.own]
+            c0 = np.bincount(p.pair_word[p.own], minlength=p.n)
+            sums = _of_parent(p, totals, 0, c0, np.minimum(c0, 1))
+            sums += [(0, _ONCE, float((c == 1).sum())), (0, _TWICE, float((c == 2).sum()))]
+            yield _messages(p, homes, np.stack([p.by_context(c), p.by_context(np.ones(len(c)))]), sums)
 
-    x, y = _sum_rows(state.mapInArrow(run, SUMS), n, 2)
-    totals.customers, totals.tables = x[0], y[0]
-    totals.leaf_discount = _discount(x[1, 0], y[1, 0])
+    told, sums = _exchange(state.mapInArrow(run, SENT), 0)
+    totals.leaf_discount = _discount(sums.get((0, _ONCE), 0), sums.get((0, _TWICE), 0))
+    totals.root = _roots(totals, sums, 1, 0)[0]
+    return told
 
 
-def _sweep_totals(state: DataFrame, totals: Totals, burn_in: int, samples: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tables by sample and context (0: the parent's), and the parent's customers."""
-    n = len(totals.contexts)
-    sent = state.sparkSession.sparkContext.broadcast(totals)
+def _sweep_totals(state: DataFrame, totals: Totals, stage: int, skip: int, samples: int) -> tuple[DataFrame, tuple[Root, ...]]:
+    """Tables of each context and the parent's totals, for each sample after the skipped sweeps."""
+    homes, now = slices(state.sparkSession), replace(totals)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in _parts(batches):
-            for k, (t, c0, t0) in enumerate(p.sweeps(sent.value, burn_in + samples)):
-                if k >= burn_in:
-                    x = np.bincount(p.pair_context[p.own], weights=t, minlength=n + 1)
-                    x[0] = t0.sum()
-                    yield _sum_batch(k - burn_in, x, np.eye(1, n + 1)[0] * c0.sum())
+            values, sums = [], []
+            for k, (t, c0, t0) in enumerate(p.sweeps(now, stage, skip + samples)):
+                if k >= skip:
+                    values.append(p.by_context(t))
+                    sums += _of_parent(p, now, k - skip, c0, t0)
+            yield _messages(p, homes, np.stack(values), sums)
 
-    x, y = _sum_rows(state.mapInArrow(run, SUMS), n, samples)
-    return x, y[:, 0]
+    told, sums = _exchange(state.mapInArrow(run, SENT), 1 + stage)
+    return told, _roots(totals, sums, samples, 1 + stage)
 
 
 def _scored(state: DataFrame, heads: DataFrame, totals: Totals) -> DataFrame:
     """Sums by document, from every part that has some of its tokens."""
-    sent = state.sparkSession.sparkContext.broadcast(totals)
+    totals = replace(totals)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        d, d0, base = m.leaf_discount, m.root_discount, 1.0 / (m.words + 1)
-        plain = Totals(m.contexts, m.tokens, m.words, d, d0, m.customers, m.tables)
+        d = totals.leaf_discount
         held: dict[int, np.ndarray] = {}  # by chunk: three sums of each document
         first, docs = None, 0
         for p in _parts(batches):
@@ -401,17 +516,18 @@ def _scored(state: DataFrame, heads: DataFrame, totals: Totals) -> DataFrame:
             own = np.full(len(p.count), -1)
             own[p.own] = np.arange(len(p.own))
             total = np.zeros(len(p.count))
-            for k, (t, c0, t0) in enumerate(p.sweeps(plain, 1 + SAMPLES)):
+            customers = p.told[0][0].astype(float)[p.pair_context]
+            for k, (t, c0, t0) in enumerate(p.sweeps(totals, 1, 1 + SAMPLES)):
                 if not k:
                     continue
-                tables, customers = m.by_sample[0][k - 1], m.by_sample[1][k - 1]
-                parent = (c0 - d0 * t0 + (STRENGTH + d0 * tables[0]) * base) / (STRENGTH + customers)
-                there = parent[p.pair_word]
+                there = p.parent(totals, totals.samples[k - 1], c0, t0)[p.pair_word]
+                tables = p.told[2][k - 1].astype(float)[p.pair_context]
                 seats = np.where(own >= 0, p.count - d * np.append(t, 0)[own], 0.0)
-                leaf = (seats + (STRENGTH + d * tables[p.pair_context]) * there) / (STRENGTH + m.customers[p.pair_context])
-                total += np.where((p.pair_context > 0) & (m.customers[p.pair_context] > 0), leaf, there)
+                leaf = (seats + (STRENGTH + d * tables) * there) / (STRENGTH + customers)
+                total += np.where(customers > 0, leaf, there)
+            seen = totals.hot_counts[[p.hot(totals)]] if p.is_hot(totals) else p.seen
             n = int(p.n_docs.sum())
-            by_pair = (np.log10(total / SAMPLES), np.log10(p.seen + 0.5)[p.pair_word], (p.seen > 0)[p.pair_word].astype(float))
+            by_pair = (np.log10(total / SAMPLES), np.log10(seen + 0.5)[p.pair_word], (seen > 0)[p.pair_word].astype(float))
             sums = np.stack([np.bincount(p.place, weights=np.repeat(w, p.runs), minlength=n) for w in by_pair])
             cut = np.concatenate([[0], np.cumsum(p.n_docs)])
             for c, a, b in zip(p.chunks.tolist(), cut[:-1], cut[1:]):
@@ -445,7 +561,7 @@ def _scored(state: DataFrame, heads: DataFrame, totals: Totals) -> DataFrame:
         for b in batches:
             for r in b.to_pylist():
                 chunks.setdefault(r["chunk"], []).append(r)
-        m = sent.value
+        m = totals
         for rows in chunks.values():
             first, *rest = sorted(rows, key=lambda r: r["part"])
             ids, valid, out = np.frombuffer(first["a"], np.int64), np.frombuffer(first["b"], bool), np.frombuffer(first["c"], bool)
@@ -464,19 +580,19 @@ def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score
     (log10 probability of the text) of rows (doc_id, held_out, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("held_out", F.lit(False)).alias("held_out"), "text")
+    spark = docs.sparkSession
     words = count_words(docs)
     sums = words.filter("hash is null").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "words", "once", "twice")]).first()
-    often = words.filter((F.col("hash").isNotNull()) & (F.col("n") * SHARE >= sums.n)).select("hash", "n").toArrow()  # at most SHARE rows
-    hashes, counts = often["hash"].to_numpy().view(np.uint64), often["n"].to_numpy()
-    totals = Totals(np.unique(np.append(hashes[hashes != _END], _START)), sums.n, sums.words)
-    totals.root_discount = _discount(sums.once, sums.twice)
-    state, heads = by_word(docs, totals.contexts, hashes[counts * 8 * slices(docs.sparkSession) > sums.n])
-    _initial(state, totals)
-    tables, customers = _sweep_totals(state, totals, BURN_IN, 1)
-    totals.tables = tables[0]
-    totals.customers = np.concatenate([customers[:1], totals.customers[1:]])
-    totals.by_sample = _sweep_totals(state, totals, 1, SAMPLES)
-    return _scored(state, heads, totals)
+    parts = 4 * slices(spark)
+    hot = words.filter(F.col("hash").isNotNull() & (F.col("n") * 2 * parts > sums.n)).select("hash", "n").toArrow()  # fewer than 2 * parts rows
+    hashes, counts = hot["hash"].to_numpy().view(np.uint64), hot["n"].to_numpy()
+    order = np.argsort(hashes)
+    totals = Totals(parts, hashes[order], counts[order], sums.n, sums.words, root_discount=_discount(sums.once, sums.twice))
+    state, heads = by_word(docs, totals)
+    first = _initial(state, totals)
+    burnt, (totals.root,) = _sweep_totals(_told(state, parts, first), totals, 0, BURN_IN, 1)
+    tables, totals.samples = _sweep_totals(_told(state, parts, first, burnt), totals, 1, 1, SAMPLES)
+    return _scored(_told(state, parts, first, burnt, tables), heads, totals)
 
 
 def op4_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:

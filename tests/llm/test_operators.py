@@ -371,6 +371,29 @@ def test_probabilities_sum_to_one(spark):
     assert sum(10 ** got[1000 + k] for k in range(5)) + end_after_start < 1.0 + 1e-9
 
 
+@pytest.mark.parametrize("n", [10, 200])
+def test_scores_against_brute_force(spark, n):
+    """Words that occur once each, so that no seating is drawn: with 10 all of them are spread over parts, with 200 none."""
+    from siteledger.llm.pitman_yor import score_documents
+
+    words = [f"w{k}" for k in range(n)]
+    texts_ = [" ".join(words), " ".join(words[::-1]), "w3 w4", "w4 other w3", "w9", None]
+    rows = spark.createDataFrame([(k, k > 0, t) for k, t in enumerate(texts_)], "doc_id long, held_out boolean, text string")
+    tokens = [*words, "\0"]
+    d, total, seen = 0.95, len(tokens), set(zip(["\1", *tokens], tokens))
+    contexts = {u for u, _ in seen}
+
+    def p(u, w):
+        known = w in tokens
+        parent = ((1 - d) * known + (1 + d * total) / (total + 1)) / (1 + total)
+        return ((1 - d) * ((u, w) in seen) + (1 + d) * parent) / 2 if u in contexts else parent
+
+    for r in score_documents(rows).collect():
+        t = [*WORD.findall(texts_[r.doc_id] or ""), "\0"]
+        assert math.isclose(r.score, sum(math.log10(p(u, w)) for u, w in zip(["\1", *t], t)), rel_tol=1e-9)
+        assert math.isclose(r.base_score, sum(math.log10(((w in tokens) + 0.5) / (total + 0.5 * (total + 1))) for w in t), rel_tol=1e-9)
+
+
 def test_language_model_of_odd_rows(spark, odd):
     from siteledger.llm.pitman_yor import score_documents
 
