@@ -48,7 +48,7 @@ BURN_IN = 2
 SAMPLES = 3
 EXACT = 64
 SEED = 11
-CHUNK_BYTES = 5_000_000
+CHUNK_BYTES = 10_000_000
 #: Documents whose sums a task holds before it sends them on.
 HELD_DOCS = 1_000_000
 CHUNK_DOCS = 60_000
@@ -86,14 +86,28 @@ class Totals:
 
 
 def _pack(values: np.ndarray) -> bytes:
-    """Whole numbers from 0, in the least number of bytes that holds them all."""
+    """Whole numbers from 0, in the least number of bytes that holds them all, byte by byte and compressed."""
     most = int(values.max(initial=0))
-    size = next(k for k in (1, 2, 4, 8) if most < 1 << (8 * k))
-    return bytes([size]) + values.astype(f"<u{size}").tobytes()
+    size = next(k for k in range(1, 9) if most < 1 << (8 * k))
+    planes = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].T.tobytes()
+    return bytes([size]) + len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
 
 def _unpack(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, f"<u{raw[0]}", offset=1)
+    n = int.from_bytes(raw[1:9], "little")
+    planes = np.frombuffer(pa.decompress(raw[9:], decompressed_size=n, codec="zstd", asbytes=True), np.uint8)
+    size = next(k for k in (1, 2, 4, 8) if raw[0] <= k)
+    out = np.zeros((n // raw[0], size), np.uint8)
+    out[:, : raw[0]] = planes.reshape(raw[0], -1).T
+    return out.view(f"<u{size}").ravel()
+
+
+def _pack_hashes(ascending: np.ndarray) -> bytes:
+    return _pack(np.diff(ascending, prepend=np.uint64(0)))
+
+
+def _unpack_hashes(raw: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(raw), dtype=np.uint64)
 
 
 def _tokens(t, held_rows: np.ndarray):
@@ -167,7 +181,7 @@ class Part:
 
     def __init__(self, row: dict, told: dict[int, list]) -> None:
         self.part = row["part"]
-        self.words, self.contexts = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["contexts"], np.uint64)
+        self.words, self.contexts = _unpack_hashes(row["words"]), _unpack_hashes(row["contexts"])
         self.n = len(self.words)
         self.pair_word = np.repeat(np.arange(self.n), _unpack(row["pairs"]))
         self.pair_context, self.runs = _unpack(row["context"]).astype(np.int64), _unpack(row["runs"]).astype(np.int64)
@@ -254,7 +268,7 @@ def count_words(docs: DataFrame) -> DataFrame:
             h, n = np.unique(np.concatenate(held), return_counts=True)
             held, size = [], 0
             cut = np.searchsorted(h >> np.uint64(32), (np.arange(parts + 1) * (1 << 32) // parts).astype(np.uint64))
-            rows = [(k, h[a:b].tobytes(), n[a:b].astype("<u4").tobytes()) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
+            rows = [(k, _pack_hashes(h[a:b]), _pack(n[a:b])) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2)]], names=["part", "words", "counts"])
 
         for b in batches:
@@ -271,8 +285,8 @@ def count_words(docs: DataFrame) -> DataFrame:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, counts = [], []
         for b in batches:
-            words += [np.frombuffer(x, np.uint64) for x in b.column(1).to_pylist()]
-            counts += [np.frombuffer(x, "<u4") for x in b.column(2).to_pylist()]
+            words += [_unpack_hashes(x) for x in b.column(1).to_pylist()]
+            counts += [_unpack(x) for x in b.column(2).to_pylist()]
         if words:
             h, of = np.unique(np.concatenate(words), return_inverse=True)
             n = np.bincount(of, weights=np.concatenate(counts)).astype(np.int64)
@@ -323,7 +337,7 @@ def by_word(docs: DataFrame, totals: Totals) -> tuple[DataFrame, DataFrame]:
                     f = first[np.searchsorted(first, a) : np.searchsorted(first, b)]
                     f = f if len(f) and f[0] == a else np.append(a, f)
                     names, context = np.unique(before[a:b], return_inverse=True)
-                    rows.append((part, chunk, word[f].tobytes(), _pack(np.diff(np.append(f, b))), names.tobytes(), _pack(context), place[a:b].tobytes(), train, None, None, None, len(ids).to_bytes(8, "little")))
+                    rows.append((part, chunk, _pack_hashes(word[f]), _pack(np.diff(np.append(f, b))), _pack_hashes(names), _pack(context), _pack(place[a:b]), train, None, None, None, len(ids).to_bytes(8, "little")))
 
             for k, (a, b) in enumerate(zip(lo, hi)):
                 at = a + np.searchsorted(mix(before[a:b]) % np.uint64(subs[k]), np.arange(subs[k] + 1, dtype=np.uint64))
@@ -383,13 +397,13 @@ def by_word(docs: DataFrame, totals: Totals) -> tuple[DataFrame, DataFrame]:
         for r, k in zip(got, nth):
             docs_of[k] = int.from_bytes(r["tokens"], "little")
         before = np.concatenate([[0], np.cumsum(docs_of)[:-1]])
-        words = np.unique(np.concatenate([np.frombuffer(r["words"], np.uint64) for r in got]))
-        of = np.concatenate([np.repeat(np.searchsorted(words, np.frombuffer(r["words"], np.uint64)), _unpack(r["counts"])) for r in got])
-        names = [np.frombuffer(r["contexts"], np.uint64) for r in got]
+        words = np.unique(np.concatenate([_unpack_hashes(r["words"]) for r in got]))
+        of = np.concatenate([np.repeat(np.searchsorted(words, _unpack_hashes(r["words"])), _unpack(r["counts"])) for r in got])
+        names = [_unpack_hashes(r["contexts"]) for r in got]
         contexts, at = np.unique(np.concatenate(names), return_inverse=True)
         at = np.split(at, np.cumsum([len(x) for x in names])[:-1])
         context = np.concatenate([x[_unpack(r["context"])] for x, r in zip(at, got)])
-        local = [np.frombuffer(r["place"], "<u2") for r in got]
+        local = [_unpack(r["place"]) for r in got]
         train = np.concatenate([np.unpackbits(np.frombuffer(r["train"], np.uint8))[x] for r, x in zip(got, local)])
         place = np.concatenate([x + before[k] for x, k in zip(local, nth)])
         pair = of * len(contexts) + context
@@ -397,8 +411,8 @@ def by_word(docs: DataFrame, totals: Totals) -> tuple[DataFrame, DataFrame]:
         pair = pair[order]
         first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
         pairs = np.bincount(pair[first] // len(contexts), minlength=len(words))
-        arrays = (_pack(pairs), contexts.tobytes(), _pack(pair[first] % len(contexts)), _pack(np.diff(np.append(first, len(pair)))), _pack(place[order]))
-        return part, words.tobytes(), *arrays, np.packbits(train[order]).tobytes(), chunks.tobytes(), docs_of.tobytes(), None, None, None
+        arrays = (_pack(pairs), _pack_hashes(contexts), _pack(pair[first] % len(contexts)), _pack(np.diff(np.append(first, len(pair)))), _pack(place[order]))
+        return part, _pack_hashes(words), *arrays, np.packbits(train[order]).tobytes(), chunks.tobytes(), docs_of.tobytes(), None, None, None
 
     sent = docs.mapInArrow(send, ", ".join([f"{columns[0]} int", f"{columns[1]} long", *[f"{c} binary" for c in columns[2:]]])).repartition(parts, "part")
     both = stored(sent.mapInArrow(merge, STATE + ", known binary, held binary, tokens binary"), "lm-tokens")
@@ -414,7 +428,7 @@ _TABLES, _CUSTOMERS, _ONCE, _TWICE = -1, -2, -3, -4  # keys of sums over all; ot
 def _messages(p: Part, homes: int, values: np.ndarray, sums: list[tuple[int, int, float]]) -> pa.RecordBatch:
     """What a part sends: values (a row each) of its contexts to those that add them, and sums over all."""
     cut = np.searchsorted(p.contexts >> np.uint64(32), (np.arange(homes + 1) * (1 << 32) // homes).astype(np.uint64))
-    rows = [(k, p.part, p.contexts[a:b].tobytes(), _pack(values[:, a:b].ravel()), None, None, None) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
+    rows = [(k, p.part, _pack_hashes(p.contexts[a:b]), _pack(values[:, a:b].ravel()), None, None, None) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
     rows += [(p.part % homes, p.part, None, None, *x) for x in sums]
     kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.float64()]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[x.split()[0] for x in SENT.split(", ")])
@@ -431,7 +445,7 @@ def _exchange(sent: DataFrame, tag: int) -> tuple[DataFrame, dict[tuple[int, int
                 if r["names"] is None:
                     sums.append((None, None, None, None, r["sample"], r["key"], r["x"]))
                 else:
-                    names.append(np.frombuffer(r["names"], np.uint64))
+                    names.append(_unpack_hashes(r["names"]))
                     values.append(_unpack(r["told"]).reshape(ROWS[tag], -1))
                     back.append((r["part"], r["home"], tag))
         rows = sums
