@@ -52,6 +52,8 @@ CHUNK_BYTES = 10_000_000
 #: Documents whose sums a task holds before it sends them on.
 HELD_DOCS = 1_000_000
 CHUNK_DOCS = 60_000
+#: Training tokens for each task that adds totals by context, up to the number of shuffle partitions.
+HOME_TOKENS = 1_000_000
 _END = np.uint64(0xE9D0000000000001)
 _START = np.uint64(0x57A4000000000001)
 
@@ -71,6 +73,7 @@ class Totals:
     """What all parts share: the hot words, and sums over the whole corpus."""
 
     parts: int
+    homes: int  # ranges of contexts whose totals are added in one task
     hot: np.ndarray  # hashes of the words that are spread over parts, in ascending order
     hot_counts: np.ndarray
     tokens: int = 0
@@ -483,7 +486,7 @@ def _of_parent(p: Part, totals: Totals, sample: int, c0: np.ndarray, t0: np.ndar
 
 def _initial(state: DataFrame, totals: Totals) -> DataFrame:
     """Customers of each restaurant and the words it has seen; sets the parent's totals and the leaf discount."""
-    homes = slices(state.sparkSession)
+    homes = totals.homes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in _parts(batches):
@@ -501,7 +504,7 @@ def _initial(state: DataFrame, totals: Totals) -> DataFrame:
 
 def _sweep_totals(state: DataFrame, totals: Totals, stage: int, skip: int, samples: int) -> tuple[DataFrame, tuple[Root, ...]]:
     """Tables of each context and the parent's totals, for each sample after the skipped sweeps."""
-    homes, now = slices(state.sparkSession), replace(totals)
+    homes, now = totals.homes, replace(totals)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in _parts(batches):
@@ -601,7 +604,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
     hot = words.filter(F.col("hash").isNotNull() & (F.col("n") * 2 * parts > sums.n)).select("hash", "n").toArrow()  # fewer than 2 * parts rows
     hashes, counts = hot["hash"].to_numpy().view(np.uint64), hot["n"].to_numpy()
     order = np.argsort(hashes)
-    totals = Totals(parts, hashes[order], counts[order], sums.n, sums.words, root_discount=_discount(sums.once, sums.twice))
+    homes = int(min(slices(spark), max(sums.n // HOME_TOKENS, 1)))
+    totals = Totals(parts, homes, hashes[order], counts[order], sums.n, sums.words, root_discount=_discount(sums.once, sums.twice))
     state, heads = by_word(docs, totals)
     first = _initial(state, totals)
     burnt, (totals.root,) = _sweep_totals(_told(state, parts, first), totals, 0, BURN_IN, 1)
