@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,8 +14,10 @@ from pyspark.sql import Window as W
 from siteledger.functions.scalars import content_hash, dot, link_key, unit
 
 NEAR_DUPLICATE, FLOOR, TOP = 0.92, 0.35, 5
-#: Vectors in a block of the blocked join.
-BLOCK_ROWS = 2048
+#: Vectors in a block of the blocked join, and bytes of them: a bigger block means
+#: fewer copies of each vector, its bytes bound what a task holds. Tables of few
+#: blocks are cut finer, down to LEAST_ROWS, so that all cores have work.
+BLOCK_ROWS, BLOCK_BYTES, LEAST_ROWS = 16_384, 32_000_000, 2048
 
 
 def _units(articles: DataFrame) -> DataFrame:
@@ -47,8 +50,14 @@ def _blocked(articles: DataFrame, blocks: int, match: Callable[[pd.DataFrame, pd
     return dealt.groupBy("i", "j").applyInPandas(run, "slug_a string, slug_b string, similarity double")
 
 
-def blocks_for(articles: DataFrame, rows: int = BLOCK_ROWS) -> int:
-    return max(1, -(-articles.count() // rows))
+def blocks_for(articles: DataFrame) -> int:
+    """How many blocks: as few as their size allows, but enough for a task a shuffle partition."""
+    spark = articles.sparkSession
+    size = articles.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("embedding")), F.lit(1)).alias("dims")).first()
+    rows = max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * max(size.dims, 1))))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spread = min(-(-size.n // LEAST_ROWS), math.ceil(math.sqrt(2 * tasks)))
+    return max(1, -(-size.n // rows), spread)
 
 
 def near_duplicate_pairs(articles: DataFrame, at_least: float = NEAR_DUPLICATE, blocks: int | None = None) -> DataFrame:
