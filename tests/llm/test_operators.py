@@ -911,20 +911,110 @@ def test_no_shared_folder_on_a_cluster():
 # --- pipeline -------------------------------------------------------------
 
 
-def test_pipeline(spark, small):
+@pytest.fixture(scope="module")
+def stages(spark, small):
+    """The rows that each stage of the pipeline gets, in order, and the last one's result."""
     import corpus_pipeline as p
     from siteledger.llm.common import stored
 
     docs = spark.read.parquet(f"{small}/documents.parquet")
-    columns = docs.columns
-    assert 4 <= len(p.STAGES) <= 5
-    seen = [docs.count()]
+    found = [docs.collect()]
     for nth, (_, stage) in enumerate(p.STAGES):
-        docs = stored(stage(spark, docs, small), "test")
-        seen.append(docs.count())
-        if nth < len(p.STAGES) - 1:
-            assert docs.columns == columns
-    assert seen[0] > seen[1] > seen[2] >= seen[3] > 0.5 * seen[0]
+        columns, docs = docs.columns, stored(stage(spark, docs, small), "test")
+        assert nth == len(p.STAGES) - 1 or docs.columns == columns
+        found.append(docs.collect())
+    return found
+
+
+def test_pipeline(stages):
+    seen = [len(x) for x in stages]
+    assert len(seen) in (5, 6) and seen[0] > seen[1] > seen[2] >= seen[3] > 0.5 * seen[0]
+
+
+def rows_of(rows):
+    return Counter((r.doc_id, r.text) for r in rows)
+
+
+def test_pipeline_drops_what_the_plain_noisy_or_calls_toxic(spark, small, stages):
+    import pyarrow as pa
+
+    from siteledger.llm.textops import texts
+    from siteledger.llm.toxicity import _slots, fit_on
+
+    model = fit_on(spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet"))
+    weight = dict(zip(model.slots.tolist(), model.weights.tolist()))
+
+    def score(text):
+        clean = 1.0
+        for sentence in re.findall(rb"[^.!?\n]+", (text or "").encode()):
+            t = next(iter(texts(pa.array([sentence.decode()]))))
+            clean *= 1 / (1 + math.exp(model.bias + sum(weight.get(k, 0.0) for k in set(_slots(t)[0].tolist()))))
+        return 1 - clean
+
+    before, after = stages[0], stages[1]
+    assert rows_of(after) == rows_of(r for r in before if score(r.text) < 0.5) and len(after) < len(before)
+
+
+def test_pipeline_drops_what_the_plain_rules_reject(spark, stages):
+    from siteledger.llm.quality_outliers import CUTOFF, DIMS, STATS, _transformed
+
+    before, after = stages[1], stages[2]
+    stats = [plain_statistics(r.text) for r in before]
+    good = [k for k, n in enumerate(stats) if n[0] >= 20 and 100 * n[4] <= 30 * n[0]]
+    rows = spark.createDataFrame([(k, *stats[k]) for k in good], "row long, " + ", ".join(f"{s} long" for s in STATS))
+    z = {r.row: [r[d] for d in DIMS] for r in _transformed(rows).collect()}
+    groups = {}
+    for k in good:
+        groups.setdefault((before[k].lang, before[k].source), []).append(k)
+    far = plain_mcd({g: np.array([z[k] for k in ks]) for g, ks in groups.items()})
+    kept = [k for g, ks in groups.items() for k, d in zip(ks, far[g]) if d <= CUTOFF]
+    assert rows_of(after) == rows_of(before[k] for k in kept) and len(after) < len(before)
+
+
+def test_pipeline_keeps_one_of_each_group(stages):
+    before, after = stages[2], stages[3]
+    found = brute_components({r.doc_id: r.text for r in before}, 5, 80)
+    assert rows_of(after) == rows_of(r for r in before if found[r.doc_id][1] == r.doc_id)
+
+
+def test_pipeline_meets_the_targets(stages):
+    before, after = stages[3], stages[4]
+    sizes, taken, known = Counter(), Counter(), {}
+    for r in before:
+        sizes[r.source] += len(WORD.findall(r.text))
+        known[r.doc_id] = r
+    for r in after:
+        whole = known[r.doc_id]
+        assert whole.text.startswith(r.text) and [getattr(r, c) for c in r.__fields__ if c != "text"] == [getattr(whole, c) for c in r.__fields__ if c != "text"]
+        taken[r.source] += len(WORD.findall(r.text))
+    want = shares(sizes)
+    assert all(abs(taken[s] - want[s]) <= 1 for s in sizes)
+    draws = Counter(r.doc_id for r in after)
+    assert max(draws.values()) <= 3
+    for s in sizes:  # documents of a source are drawn as often as each other, give or take one
+        n = [draws[r.doc_id] for r in before if r.source == s and WORD.search(r.text)]
+        assert max(n) - min(n) <= 1
+    assert sum(known[r.doc_id].text != r.text for r in after) <= len(sizes)
+
+
+def test_pipeline_packs_the_ids_of_the_library(stages):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    before, after = stages[4], stages[5]
+    t, want, lengths = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), Counter(), []
+    for r in before:
+        ids = [*t.encode(r.text, add_special_tokens=False).ids, 1]
+        for at in range(0, len(ids), 4096):
+            cut = np.array(ids[at : at + 4096], "<u4")
+            lengths.append(len(cut))
+            want[r.doc_id, at // 4096, at, len(cut), zlib.crc32(cut.tobytes())] += 1
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in after) == want
+    used = {}
+    for r in sorted(after, key=lambda r: (r.sequence_id, r.offset)):
+        assert used.get(r.sequence_id, 0) == r.offset
+        used[r.sequence_id] = r.offset + r.length
+    assert sorted(4096 - n for n in used.values()) == plain_best_fit(lengths, 4096)
 
 
 def test_pipeline_of_odd_rows(spark, small, odd):
