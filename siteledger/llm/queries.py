@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from siteledger.llm.alignment import op11_alignment
 from siteledger.llm.mixing import op8_mixing
 from siteledger.llm.ngram_join import op1_ngram_join
 from siteledger.llm.packing import op6_packing
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_preferences": op9_preferences,
     "op10_quality_outliers": op10_quality_outliers,
+    "op11_alignment": op11_alignment,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_url_filter": op13_url_filter,
 }
