@@ -44,16 +44,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteledger.llm.common import stored
-from siteledger.llm.tokens import _BYTE_CHARS, Encoder
+from siteledger.llm.tokens import _BYTE_CHARS, Encoder, _Store
 
 #: Bytes of text that one Arrow pipeline run holds, and that share pair counts.
-BATCH_BYTES, CHUNK_BYTES = 2_000_000, 16_000_000
+BATCH_BYTES, CHUNK_BYTES = 1_000_000, 8_000_000
 #: Documents of a chunk, so that empty ones do not pile up.
 CHUNK_DOCS = 200_000
 #: Pairs of a stored row.
 ROW_PAIRS = 65_536
-#: Parts of texts whose ids a worker keeps for the piece file.
-CACHE = 400_000
+#: Parts of texts whose ids a worker keeps for each file.
+CACHE = 100_000
 
 MARK = "▁"  # how pieces write a space
 _RUN = re.compile(r" +[^ ]*")
@@ -66,6 +66,13 @@ class PlainEncoder(Encoder):
         super().__init__(path, "H", False)
         self.tokenizer.encode_special_tokens = True
 
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > CACHE:  # a smaller store than the plain encoder's: two files share a worker
+            full = self.known
+            full.old = {}
+            self.known = _Store(self, full)
+        return super().encode(texts)
+
     def token_bytes(self) -> list[bytes]:
         shown = {chr(c): b for b, c in _BYTE_CHARS.items()} | {chr(b): b for b in range(256) if b not in _BYTE_CHARS}
         size = self.tokenizer.get_vocab_size()
