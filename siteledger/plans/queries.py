@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from siteledger.functions.rules import region_terms
 from siteledger.functions.scalars import content_hash, stable_key
 from siteledger.operators import architecture, changes, documents, findings, impact, ledger, metrics, reporting, similarity
-from siteledger.plans import runs
+from siteledger.plans import runs, streams
 from siteledger.sources import landing
 from siteledger.sources import views as v
 from siteledger.sources.views import AS_OF, BASE, LEDGER_AS_OF, table, view
@@ -299,4 +299,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     embedding_refresh, workflow_health, workflow_alerts, expiry_alerts, last_changes, article_text, existing_links, structured_data_audit, structured_data_findings,
     robots_audit, robots_findings, sitemap_audit, sitemap_findings, published_articles,
 )}
-QUERIES |= runs.QUERIES
+QUERIES |= runs.QUERIES | streams.QUERIES

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
+from collections.abc import Callable
 from functools import reduce
 from operator import and_
 
@@ -58,6 +59,28 @@ def write_version(rows: DataFrame, folder: str, version: int) -> str:
     return path
 
 
+def upsert_versions(folder: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
+    """A sink of a stream in update mode: batch n is upserted by key into version n - 1
+    and stored as version n. A batch that is run again writes the same version."""
+
+    def one(batch: DataFrame, number: int) -> None:
+        from siteledger.operators.ledger import upsert
+
+        path = f"{folder.rstrip('/')}/version="
+        if number:
+            batch = upsert(batch.sparkSession.read.schema(batch.schema).parquet(f"{path}{number - 1}"), batch, keys)
+        batch.write.mode("overwrite").parquet(f"{path}{number}")
+
+    return one
+
+
+def newest_version(spark: SparkSession, folder: str) -> DataFrame:
+    """The table as the last batch of upsert_versions left it."""
+    versions = spark.read.parquet(folder)
+    last = versions.select("version").agg(F.max("version")).first()[0]
+    return versions.filter(F.col("version") == last).drop("version")
+
+
 def write_text(briefing: DataFrame, path: str) -> None:
     """One text in one file."""
     briefing.coalesce(1).write.mode("overwrite").text(path)
