@@ -94,7 +94,7 @@ class PieceEncoder:
         self.pieces = [self.model.id_to_piece(n) for n in range(self.model.get_piece_size())]
         self.cuts = not any(MARK in p.lstrip(MARK) for p in self.pieces) and MARK in self.pieces
         self.space = array("H", [self.pieces.index(MARK)]).tobytes() if self.cuts else b""
-        self.known: dict[str, bytes] = {}
+        self.known = {"": self.space}
 
     def token_bytes(self) -> list[bytes]:
         byte = re.compile("<0x([0-9A-F]{2})>")
@@ -103,25 +103,22 @@ class PieceEncoder:
     def whole(self, text: str) -> bytes:
         return array("H", self.model.encode(text, num_threads=1)).tobytes()
 
-    def _part(self, part: str) -> bytes:
-        ids = self.known.get(part)
-        if ids is None:
-            ids = self.known[part] = self.whole(part) if part else self.space
-        return ids
+    def _parts(self, text: str) -> list[str]:
+        if "  " in text or text[0] == " " or text[-1] == " ":
+            return [p[1:] for p in _RUN.findall(" " + text)]
+        return text.split(" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for text in texts:
-            if len(self.known) > CACHE:
-                self.known = {}
-            if not self.cuts or not text:
-                out.append(self.whole(text))
-            elif "  " in text or text[0] == " " or text[-1] == " ":
-                out.append(b"".join([self._part(p[1:]) for p in _RUN.findall(" " + text)]))
-            else:
-                get = self.known.get
-                out.append(b"".join([get(w) or self._part(w) for w in text.split(" ")]))
-        return out
+        if not self.cuts:
+            return [self.whole(text) for text in texts]
+        if len(self.known) > CACHE:
+            self.known = {"": self.space}
+        known = self.known
+        parts = [self._parts(text) if text else [] for text in texts]
+        new = list(set().union(*parts).difference(known))
+        for part, ids in zip(new, self.model.encode(new, num_threads=1)):
+            known[part] = array("H", ids).tobytes()
+        return [b"".join(map(known.__getitem__, p)) for p in parts]
 
 
 @dataclass
