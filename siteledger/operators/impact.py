@@ -11,6 +11,8 @@ from pyspark.sql import Window as W
 from siteledger.functions.scalars import NEGATIVE, outcome
 
 DAYS, GRADUATE_AT = 14, 10
+#: Changes of one type and day that stay together, and the parts of a day with more.
+SEGMENT_ROWS, PARTS = 1_000_000, 64
 LINK_TYPE = "internal-link-suggestion"
 
 
@@ -84,27 +86,60 @@ def measure(changes: DataFrame, daily: DataFrame, ledger: DataFrame | None = Non
     return with_outcome(site_wide_sums(changes.filter(~link), daily)).unionByName(with_outcome(page_sums(paged, daily)))
 
 
-def graduation_steps(measured: DataFrame, records: DataFrame | None = None) -> DataFrame:
+def _segments(measured: DataFrame, rows: int) -> DataFrame:
+    """measured with __part: 0, or of a type's day with more rows than that, the
+    range of its change ids that the row is in. A segment is a type, day and part;
+    segments follow each other in the order of changes."""
+    day = ["finding_type", "merged_on"]
+    cuts = [k / PARTS for k in range(1, PARTS)]
+    full = measured.groupBy(*day).agg(F.count(F.lit(1)).alias("__n"), F.percentile_approx("change_id", cuts).alias("__cuts")).filter(F.col("__n") > rows).drop("__n")
+    full = full.withColumnsRenamed({c: f"__{c}" for c in day})
+    same = F.col("finding_type").eqNullSafe(F.col("__finding_type")) & F.col("merged_on").eqNullSafe(F.col("__merged_on"))
+    part = F.size(F.filter("__cuts", lambda c: c < F.col("change_id")))
+    return measured.join(full, same, "left").withColumn("__part", F.when(F.col("__cuts").isNull(), 0).otherwise(part)).drop("__cuts", "__finding_type", "__merged_on")
+
+
+def graduation_steps(measured: DataFrame, records: DataFrame | None = None, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """measured with good (streak so far), eligible (from GRADUATE_AT on) and event
     (graduated or revoked) after each change, in the order of merging.
 
     A negative outcome sets the streak to 0; others add one, inconclusive ones
-    included. The streak is a count within the run of rows since the last
-    negative one; records give where a type begins."""
+    included; records give where a type begins. A segmented scan: streaks are
+    counted within segments (a type's day, or a part of it), each segment is summed
+    up as whether it has a negative and how many are good at its end, these few rows
+    carry the streak from segment to segment, and it is added up to the first
+    negative. So no task sorts all changes of a type."""
     bad = (F.col("outcome") == NEGATIVE).cast("int")
-    order = W.partitionBy("finding_type").orderBy("merged_on", "change_id")
-    rows = measured.withColumn("__run", F.sum(bad).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    key = ["finding_type", "merged_on", "__part"]
+    within = W.partitionBy(*key).orderBy("change_id")
+    rows = _segments(measured, segment_rows).withColumn("__bad", F.coalesce(bad, F.lit(0))).withColumn("__nth", F.row_number().over(within))
+    rows = rows.withColumn("__run", F.sum("__bad").over(within.rowsBetween(W.unboundedPreceding, 0)))
+    last_bad = F.max(F.when(F.col("__bad") == 1, F.col("__nth"))).over(within.rowsBetween(W.unboundedPreceding, 0))
+    rows = rows.withColumn("__in", F.col("__nth") - F.coalesce(last_bad, F.lit(0)))
+
+    ends = rows.groupBy(*key).agg(F.max("__bad").alias("__has"), F.max_by("__in", "__nth").alias("__tail"))
+    along = W.partitionBy("finding_type").orderBy("merged_on", "__part")  # a row a segment
+    ends = ends.withColumn("__since", F.sum("__has").over(along.rowsBetween(W.unboundedPreceding, 0)))
     if records is None:
-        rows = rows.withColumn("__had", F.lit(0).cast("long")).withColumn("__was", F.lit(False))
+        ends = ends.withColumn("__had", F.lit(0).cast("long")).withColumn("__was", F.lit(False))
     else:
         r = records.select("finding_type", F.col("consecutive_good").alias("__had"), F.col("auto_merge_eligible").alias("__was"))
-        rows = rows.join(F.broadcast(r), "finding_type", "left").fillna(0, ["__had"]).fillna(False, ["__was"])  # a row a finding type
-    within = W.partitionBy("finding_type", "__run").orderBy("merged_on", "change_id").rowsBetween(W.unboundedPreceding, 0)
-    good = F.sum(1 - bad).over(within) + F.when(F.col("__run") == 0, F.col("__had")).otherwise(0)
-    rows = rows.withColumn("good", good).withColumn("eligible", F.col("good") >= GRADUATE_AT)
-    before = F.coalesce(F.lag("eligible").over(order), F.col("__was"))
-    event = F.when(F.col("eligible") & ~before, "graduated").when((F.col("outcome") == NEGATIVE) & before, "revoked")
-    return rows.withColumn("event", event).drop("__run", "__had", "__was")
+        ends = ends.join(F.broadcast(r), "finding_type", "left").fillna(0, ["__had"]).fillna(False, ["__was"])  # a row a finding type
+    since = W.partitionBy("finding_type", "__since").orderBy("merged_on", "__part").rowsBetween(W.unboundedPreceding, 0)
+    ends = ends.withColumn("__end", F.sum("__tail").over(since) + F.when(F.col("__since") == 0, F.col("__had")).otherwise(0))
+    ends = ends.withColumn("__first", F.row_number().over(along) == 1).withColumn("__carry", F.coalesce(F.lag("__end").over(along), F.col("__had")))
+    ends = ends.select(*[F.col(c).alias(f"__k{n}") for n, c in enumerate(key)], "__first", "__carry", "__was")
+
+    same = F.col("finding_type").eqNullSafe(F.col("__k0")) & F.col("merged_on").eqNullSafe(F.col("__k1")) & (F.col("__part") == F.col("__k2"))
+    rows = rows.join(ends, same)
+    rows = rows.withColumn("good", F.col("__in") + F.when(F.col("__run") == 0, F.col("__carry")).otherwise(0)).withColumn("eligible", F.col("good") >= GRADUATE_AT)
+    # The streak before a change: one less, unless it was broken; then it is that of
+    # the row before, counted within the segment or carried into it.
+    before_bad = F.lag("__in").over(within) + F.when(F.coalesce(F.lag("__run").over(within), F.lit(0)) == 0, F.col("__carry")).otherwise(0)
+    streak = F.when(F.col("__bad") == 0, F.col("good") - 1).otherwise(F.coalesce(before_bad, F.col("__carry")))
+    before = F.when(F.col("__first") & (F.col("__nth") == 1), F.col("__was")).otherwise(streak >= GRADUATE_AT)
+    event = F.when(F.col("eligible") & ~before, "graduated").when((F.col("__bad") == 1) & before, "revoked")
+    return rows.withColumn("event", event).select(*measured.columns, F.col("good").cast("long").alias("good"), "eligible", "event")
 
 
 def graduation_records(steps: DataFrame, records: DataFrame | None = None) -> DataFrame:

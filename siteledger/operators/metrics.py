@@ -28,6 +28,14 @@ def prior(snapshot: DataFrame, as_of: dt.date, days: int = RECENT_DAYS) -> DataF
     return snapshot.filter((F.col("date") >= F.lit(as_of - dt.timedelta(2 * days))) & (F.col("date") < F.lit(as_of - dt.timedelta(days))))
 
 
+def in_windows(snapshot: DataFrame, runs: DataFrame, days: int = 2 * RECENT_DAYS) -> DataFrame:
+    """Rows of the days that the windows of runs (as_of) reach back to. The days, a
+    few a run, are joined to the snapshot's date, so that of a table partitioned by
+    date only their partitions are read, though as_of is known only at run time."""
+    wanted = runs.select(F.explode(F.sequence(F.date_sub("as_of", days), "as_of")).alias("date")).distinct()
+    return snapshot.join(F.broadcast(wanted), "date", "left_semi")  # a row a day of the windows
+
+
 def clicks_by_page(snapshot: DataFrame) -> DataFrame:
     return snapshot.groupBy("page").agg(F.sum("clicks").alias("clicks"))
 

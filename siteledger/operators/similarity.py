@@ -4,20 +4,26 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from siteledger.functions.scalars import content_hash, dot, link_key, unit
+from siteledger.sources.shared import kept
 
 NEAR_DUPLICATE, FLOOR, TOP = 0.92, 0.35, 5
 #: Vectors in a block of the blocked join, and bytes of them: a bigger block means
 #: fewer copies of each vector, its bytes bound what a task holds. Tables of few
 #: blocks are cut finer, down to LEAST_ROWS, so that all cores have work.
 BLOCK_ROWS, BLOCK_BYTES, LEAST_ROWS = 16_384, 32_000_000, 2048
+#: Centers of balls at most, sampled vectors a center and their bytes, rings of a
+#: ball, and the angle that covers rounding.
+CENTERS, SAMPLE, SAMPLE_BYTES, RINGS, MARGIN = 4096, 8, 64_000_000, 64, 1e-6
 
 
 def _units(articles: DataFrame) -> DataFrame:
@@ -32,49 +38,152 @@ def naive_pairs(articles: DataFrame, at_least: float) -> DataFrame:
     return a.join(b, F.col("slug_a") < F.col("slug_b")).withColumn("similarity", dot(F.col("va"), F.col("vb"))).filter(F.col("similarity") >= at_least).select("slug_a", "slug_b", "similarity")
 
 
-def _blocked(articles: DataFrame, blocks: int, match: Callable[[pd.DataFrame, pd.DataFrame, bool], Iterator[tuple]]) -> DataFrame:
-    """match over every pair of blocks. Rows are dealt to blocks by a hash; each
-    block meets each other once, so a vector is copied blocks times and a task
-    holds two blocks, whatever the number of rows."""
-    u = _units(articles).withColumn("block", F.pmod(F.xxhash64("slug"), F.lit(blocks)).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    dealt = u.withColumn("o", other).select(F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "slug", "v")
+@dataclass
+class Balls:
+    """Blocks of vectors: each is a ring around one of the centers, from one angle
+    to another; a ring with too many vectors is several blocks."""
+
+    centers: np.ndarray  # a row a center
+    ball: np.ndarray  # of each block
+    low: np.ndarray
+    high: np.ndarray
+
+    def apart(self, v: np.ndarray) -> np.ndarray:
+        """The least angle that each vector can have to any vector of each block: by
+        the triangle inequality, over the center of the block."""
+        to = np.arccos(np.clip(v @ self.centers.T, -1, 1))[:, self.ball]
+        return np.maximum(np.maximum(self.low - to, to - self.high), 0)
+
+
+def _centers(u: DataFrame, n: int, dims: int) -> np.ndarray:
+    """n directions that follow the vectors: means of groups of a sample."""
+    size = max(n, min(SAMPLE * n, SAMPLE_BYTES // (8 * dims)))
+    sample = np.stack([np.asarray(r.v) for r in u.orderBy(F.xxhash64("slug")).limit(size).select("v").collect()])  # bounded
+    centers = sample[:n]
+    for _ in range(3):
+        near = np.argmax(sample @ centers.T, axis=1)
+        sums = np.zeros_like(centers)
+        np.add.at(sums, near, sample)
+        norm = np.linalg.norm(sums, axis=1, keepdims=True)
+        centers = np.where(norm > 1e-9, sums / np.maximum(norm, 1e-9), centers)
+    return centers
+
+
+def _in_balls(articles: DataFrame, blocks: int, rows: int) -> tuple[DataFrame, Balls]:
+    """slug, v and block of each vector that is not 0, stored, and the blocks. A
+    vector belongs to its nearest center; around it, to a ring of RINGS, or of
+    several together while they have few vectors."""
+    spark = articles.sparkSession
+    u = _units(articles)
+    dims = u.select(F.size("v")).first()
+    centers = _centers(u, min(blocks, CENTERS), dims[0]) if dims else np.zeros((1, 1))
+
+    def nearest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            s = np.stack(f["v"].to_list()) @ centers.T if len(f) else np.zeros((0, 1))
+            yield f.assign(ball=np.argmax(s, axis=1).astype("int32"), angle=np.arccos(np.clip(s.max(axis=1), -1, 1)))
+
+    dealt = kept(u.mapInPandas(nearest, "slug string, v array<double>, ball int, angle double").withColumn("ring", F.least(F.floor(F.col("angle") / math.pi * RINGS), F.lit(RINGS - 1)).cast("int")), "balls")
+    rings = dealt.groupBy("ball", "ring").agg(F.count(F.lit(1)).alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high")).orderBy("ball", "ring").collect()  # a row a ring
+    found: list[list] = []  # ball, rings, low, high, vectors
+    for r in rings:
+        if found and found[-1][0] == r.ball and found[-1][4] + r.n <= rows:
+            found[-1][1].append(r.ring)
+            found[-1][3:] = [r.high, found[-1][4] + r.n]
+        else:
+            found.append([r.ball, [r.ring], r.low, r.high, r.n])
+    places, ball, low, high = [], [], [], []
+    for b, ring, lo, hi, n in found:
+        parts = -(-n // rows)
+        places += [(b, x, len(ball), parts) for x in ring]
+        ball += [b] * parts
+        low += [lo - MARGIN] * parts
+        high += [hi + MARGIN] * parts
+    placed = spark.createDataFrame(places, "ball int, ring int, first int, parts int")
+    block = F.col("first") + F.pmod(F.xxhash64("slug"), F.col("parts")).cast("int")
+    return dealt.join(F.broadcast(placed), ["ball", "ring"]).select("slug", "v", block.alias("block")), Balls(centers, np.array(ball, int), np.array(low), np.array(high))  # a row a ring
+
+
+def _met(u: DataFrame, reach: Callable[[pd.DataFrame, np.ndarray], np.ndarray]) -> DataFrame:
+    """(block, other, slug, v, …) for every other block that a vector may have a
+    match in; reach tells which, a row a vector and a column a block."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for k in range(0, len(f), 2048):
+                part = f.iloc[k : k + 2048]
+                row, other = np.nonzero(reach(part, np.stack(part["v"].to_list())))
+                yield part.iloc[row].assign(other=other.astype("int32"))
+
+    return u.mapInPandas(run, StructType([*u.schema.fields, StructField("other", IntegerType())]))
+
+
+def dealt_pairs(articles: DataFrame, at_least: float, blocks: int | None = None) -> DataFrame:
+    """Vectors dealt to pairs of blocks (i, j): a vector goes to its own block and to
+    those where a match with cosine at_least is possible."""
+    rows, blocks = _layout(articles, blocks)
+    u, balls = _in_balls(articles, blocks, rows)
+    widest = math.acos(max(-1.0, min(1.0, at_least))) + MARGIN
+
+    def reach(f: pd.DataFrame, v: np.ndarray) -> np.ndarray:
+        out = balls.apart(v) <= widest
+        out[np.arange(len(f)), f["block"].to_numpy()] = True
+        return out
+
+    return _met(u, reach).select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "slug", "v")
+
+
+def products(dealt: DataFrame) -> DataFrame:
+    """One row: how many pairs of vectors the pairs of blocks multiply."""
+    a, b = F.count_if(F.col("block") == F.col("i")), F.count_if(F.col("block") == F.col("j"))
+    per = dealt.groupBy("i", "j").agg(F.when(F.col("i") == F.col("j"), a * (a - 1) / 2).otherwise(a * b).alias("n"))
+    return per.agg(F.sum("n").cast("long").alias("products"))
+
+
+def _layout(articles: DataFrame, blocks: int | None = None) -> tuple[int, int]:
+    """Most vectors of a block, and how many blocks: as few as their size allows,
+    but enough for a task a shuffle partition."""
+    spark = articles.sparkSession
+    size = articles.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("embedding")), F.lit(1)).alias("dims")).first()
+    rows = max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * max(size.dims, 1))))
+    if blocks is None:
+        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        blocks = max(1, -(-size.n // rows), min(-(-size.n // LEAST_ROWS), math.ceil(math.sqrt(2 * tasks))))
+    return rows, blocks
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        i, j = f["i"].iloc[0], f["j"].iloc[0]
-        a, b = f[f["block"] == i], f[f["block"] == j]
-        found = [x for x in match(a, b, i == j) if len(x[0])]
-        cols = zip(*found) if found else [[np.array([], object)], [np.array([], object)], [np.array([], float)]]
-        return pd.DataFrame(dict(zip(("slug_a", "slug_b", "similarity"), (np.concatenate(list(c)) for c in cols))))
 
-    return dealt.groupBy("i", "j").applyInPandas(run, "slug_a string, slug_b string, similarity double")
+_PAIR = ("slug_a", "slug_b", "similarity")
 
 
-def blocks_for(articles: DataFrame) -> int:
-    """How many blocks: as few as their size allows, but enough for a task a shuffle partition."""
-    spark = articles.sparkSession
-    size = articles.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("embedding")), F.lit(1)).alias("dims")).first()
-    rows = max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * max(size.dims, 1))))
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spread = min(-(-size.n // LEAST_ROWS), math.ceil(math.sqrt(2 * tasks)))
-    return max(1, -(-size.n // rows), spread)
+def _frame(found: list[tuple]) -> pd.DataFrame:
+    found = [x for x in found if len(x[0])]
+    cols = zip(*found) if found else [[np.array([], object)], [np.array([], object)], [np.array([], float)]]
+    return pd.DataFrame(dict(zip(_PAIR, (np.concatenate(list(c)) for c in cols))))
+
+
+def _matrix(f: pd.DataFrame) -> np.ndarray:
+    return np.stack(f["v"].to_list()) if len(f) else np.zeros((0, 1))
 
 
 def near_duplicate_pairs(articles: DataFrame, at_least: float = NEAR_DUPLICATE, blocks: int | None = None) -> DataFrame:
-    """slug_a < slug_b with cosine >= at_least: exact, by products of blocks."""
+    """slug_a < slug_b with cosine >= at_least: exact, by products of blocks that
+    can hold a pair."""
 
-    def match(a: pd.DataFrame, b: pd.DataFrame, same: bool) -> Iterator[tuple]:
-        va, vb = np.stack(a["v"].to_list()) if len(a) else np.zeros((0, 1)), np.stack(b["v"].to_list()) if len(b) else np.zeros((0, 1))
-        sa, sb = a["slug"].to_numpy(object), b["slug"].to_numpy(object)
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        i, j = f["i"].iloc[0], f["j"].iloc[0]
+        a, b = f[f["block"] == i], f[f["block"] == j]
+        va, vb, sa, sb = _matrix(a), _matrix(b), a["slug"].to_numpy(object), b["slug"].to_numpy(object)
+        found = []
         for k in range(0, len(a) if len(b) else 0, 256):
             s = va[k : k + 256] @ vb.T
             x, y = np.nonzero(s >= at_least)
-            if same:
+            if i == j:
                 x, y = x[sa[k + x] < sb[y]], y[sa[k + x] < sb[y]]
             first = np.array([p < q for p, q in zip(sa[k + x], sb[y])], bool)
-            yield np.where(first, sa[k + x], sb[y]), np.where(first, sb[y], sa[k + x]), s[x, y]
+            found.append((np.where(first, sa[k + x], sb[y]), np.where(first, sb[y], sa[k + x]), s[x, y]))
+        return _frame(found)
 
-    return _blocked(articles, blocks or blocks_for(articles), match)
+    return dealt_pairs(articles, at_least, blocks).groupBy("i", "j").applyInPandas(run, "slug_a string, slug_b string, similarity double")
 
 
 def in_order(pairs: DataFrame) -> DataFrame:
@@ -82,34 +191,88 @@ def in_order(pairs: DataFrame) -> DataFrame:
     return pairs.orderBy(F.desc(F.rint(F.col("similarity") * 1e9)), "slug_a", "slug_b")
 
 
-def top_similar(articles: DataFrame, top: int = TOP, blocks: int | None = None) -> DataFrame:
+def _best(sources: pd.DataFrame, targets: pd.DataFrame, top: int, at_least: float) -> list[tuple]:
+    """Each source's best targets, in runs of (sources, targets, similarities); sums
+    that tie once rounded go by slug."""
+    if not len(sources) or not len(targets):
+        return []
+    targets = targets.sort_values("slug")
+    va, vb, sa, sb = _matrix(sources), _matrix(targets), sources["slug"].to_numpy(object), targets["slug"].to_numpy(object)
+    found = []
+    for k in range(0, len(sa), 256):
+        s = va[k : k + 256] @ vb.T
+        s[(sa[k : k + 256, None] == sb[None, :]) | (s < at_least)] = -np.inf
+        r = np.rint(s * 1e9)
+        last = max(len(sb) - top, 0)
+        least = np.partition(r, last, axis=1)[:, last]  # the rounded value of the last that counts, ties with it too
+        x, y = np.nonzero((r >= least[:, None]) & (s > -np.inf))
+        order = np.lexsort((y, -r[x, y], x))
+        x, y = x[order], y[order]
+        nth = np.arange(len(x)) - np.searchsorted(x, x, side="left")
+        x, y = x[nth < top], y[nth < top]
+        found.append((sa[k + x], sb[y], s[x, y]))
+    return found
+
+
+def _is_source(f: pd.DataFrame) -> pd.DataFrame:
+    return f[f["slug"].str.contains("/", regex=False)]
+
+
+def dealt_sources(articles: DataFrame, top: int = TOP, at_least: float = -2.0, blocks: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Best targets within each source's own block (schema of pairs), and sources and
+    targets dealt to pairs of other blocks (i of the source, j of the target).
+
+    What a source has found at home is its threshold: it goes only to blocks that
+    can hold something as good as its last, and targets only to blocks with a
+    source that they can be good enough for."""
+    rows, blocks = _layout(articles, blocks)
+    u, balls = _in_balls(articles, blocks, rows)
+
+    def home(f: pd.DataFrame) -> pd.DataFrame:
+        out = f.reset_index(drop=True)[["slug", "v", "block"]]
+        found = _frame(_best(_is_source(f), f, top, at_least))
+        if not len(found):
+            none = pd.Series([[]] * len(out))
+            return out.assign(targets=none, found=none, goal=at_least)
+        by = found.groupby("slug_a", sort=False)
+        n, least = by.size(), by["similarity"].min()
+        goal = least.where(n >= top, at_least).reindex(f["slug"]).fillna(at_least).to_numpy()
+        lists = by.agg(targets=("slug_b", list), found=("similarity", list)).reindex(f["slug"])
+        for c in ("targets", "found"):
+            out[c] = [x if isinstance(x, list) else [] for x in lists[c]]
+        return out.assign(goal=goal)
+
+    homes = kept(u.groupBy("block").applyInPandas(home, "slug string, v array<double>, block int, targets array<string>, found array<double>, goal double"), "homes")
+    is_source = F.contains("slug", F.lit("/"))
+    lowest = np.full(len(balls.ball), np.inf)
+    for r in homes.filter(is_source).groupBy("block").agg(F.min("goal").alias("goal")).collect():  # a number a block
+        lowest[r.block] = r.goal
+
+    def good(apart: np.ndarray, goal: np.ndarray) -> np.ndarray:
+        return np.cos(apart) >= goal - 2e-9
+
+    def away(f: pd.DataFrame, out: np.ndarray) -> np.ndarray:
+        out[np.arange(len(f)), f["block"].to_numpy()] = False
+        return out
+
+    asking = _met(homes.filter(is_source).select("slug", "v", "block", "goal"), lambda f, v: away(f, good(balls.apart(v), f["goal"].to_numpy()[:, None])))
+    asked = _met(u, lambda f, v: away(f, good(balls.apart(v), lowest[None, :])))
+    both = asking.select(F.col("block").alias("i"), F.col("other").alias("j"), "block", "slug", "v").union(asked.select(F.col("other").alias("i"), F.col("block").alias("j"), "block", "slug", "v"))
+    at_home = homes.select(F.col("slug").alias("slug_a"), F.explode(F.arrays_zip("targets", "found")).alias("x")).select("slug_a", F.col("x.targets").alias("slug_b"), F.col("x.found").alias("similarity"))
+    return at_home, both
+
+
+def top_similar(articles: DataFrame, top: int = TOP, blocks: int | None = None, at_least: float = -2.0) -> DataFrame:
     """source_slug, target_slug, similarity, rank: each article's most similar
-    others; ties by slug. Only slugs with a / are sources."""
-
-    def best(sources: pd.DataFrame, targets: pd.DataFrame) -> Iterator[tuple]:
-        sources = sources[sources["slug"].str.contains("/", regex=False)]
-        if not len(sources) or not len(targets):
-            return
-        targets = targets.sort_values("slug")
-        va, vb = np.stack(sources["v"].to_list()), np.stack(targets["v"].to_list())
-        sa, sb = sources["slug"].to_numpy(object), targets["slug"].to_numpy(object)
-        for k in range(0, len(sa), 256):
-            s = va[k : k + 256] @ vb.T
-            s[sa[k : k + 256, None] == sb[None, :]] = -np.inf
-            # In the final order: sums that tie once rounded go by slug, as targets do.
-            kept = min(top, len(sb))
-            order = np.argsort(-np.rint(s * 1e9), axis=1, kind="stable")[:, :kept]
-            x = np.repeat(np.arange(len(s)), kept)
-            y = order.ravel()
-            real = s[x, y] > -np.inf
-            yield sa[k + x[real]], sb[y[real]], s[x[real], y[real]]
-
-    def match(a: pd.DataFrame, b: pd.DataFrame, same: bool) -> Iterator[tuple]:
-        yield from best(a, b)
-        if not same:
-            yield from best(b, a)
-
-    pairs = _blocked(articles, blocks or blocks_for(articles), match).withColumnsRenamed({"slug_a": "source_slug", "slug_b": "target_slug"})
+    others, at_least so similar; ties by slug. Only slugs with a / are sources."""
+    at_home, both = dealt_sources(articles, top, at_least, blocks)
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        i = f["i"].iloc[0]
+        return _frame(_best(f[f["block"] == i], f[f["block"] != i], top, at_least))
+
+    found = both.groupBy("i", "j").applyInPandas(run, "slug_a string, slug_b string, similarity double")
+    pairs = at_home.union(found).withColumnsRenamed({"slug_a": "source_slug", "slug_b": "target_slug"})
     w = W.partitionBy("source_slug").orderBy(F.desc(F.rint(F.col("similarity") * 1e9)), "target_slug")
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
 
@@ -117,7 +280,7 @@ def top_similar(articles: DataFrame, top: int = TOP, blocks: int | None = None)
 def link_suggestions(articles: DataFrame, existing: DataFrame | None = None, top: int = TOP, floor: float = FLOOR, blocks: int | None = None) -> DataFrame:
     """stable_key, source_slug, target_slug, similarity: the top pairs at or above
     the floor, without those in existing; what is taken away is not filled up."""
-    pairs = top_similar(articles, top, blocks).filter(F.col("similarity") >= floor).drop("rank")
+    pairs = top_similar(articles, top, blocks, floor).filter(F.col("similarity") >= floor).drop("rank")
     if existing is not None:
         pairs = pairs.join(existing, ["source_slug", "target_slug"], "left_anti")
     return pairs.select(link_key("source_slug", "target_slug").alias("stable_key"), "source_slug", "target_slug", "similarity")

@@ -132,6 +132,13 @@ ORACLE_SQL: dict[str, str] = {
         SELECT finding_type, id, sha256('performance:' || finding_type || ':' || url) AS stable_key FROM f""",
     "template_performance": f"WITH p AS ({v.PERFORMANCE_AUDIT}) SELECT url, string_agg(CAST(performance_score AS VARCHAR), ',' ORDER BY run_no, id) AS scores FROM p WHERE performance_score IS NOT NULL GROUP BY url HAVING count(*) >= 3 AND max(performance_score) < 50",
     "near_duplicate_pairs": f"{_UNITS} SELECT source_slug AS slug_a, target_slug AS slug_b, round(s, 6) AS similarity FROM pairs WHERE source_slug < target_slug AND s >= 0.4",
+    "near_duplicates": f"""WITH arts AS ({v.SLUGS}), e AS (
+          SELECT slug, vec_id, CAST(embedding AS DOUBLE[]) AS v, sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))) AS norm FROM arts
+        ), b AS (
+          SELECT slug, v FROM e UNION ALL
+          SELECT 'twin/' || slug, list_transform(v, lambda x, i: x + CASE WHEN i - 1 = vec_id % 8 THEN CASE WHEN vec_id % 3 = 0 THEN 0.6 ELSE 0.2 END * norm ELSE 0.0 END) FROM e
+        ), u AS (SELECT slug, list_transform(v, lambda x: x / n) AS u FROM (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM b) WHERE n > 0)
+        SELECT x.slug AS slug_a, y.slug AS slug_b, round(list_dot_product(x.u, y.u), 6) AS similarity FROM u x JOIN u y ON x.slug < y.slug WHERE list_dot_product(x.u, y.u) >= 0.92""",
     "link_suggestions": f"{_UNITS} SELECT stable_key, source_slug, target_slug, round(s, 6) AS similarity FROM suggested WHERE (source_id + target_id) % 3 <> 0",
     "suggestion_sync": f"""{_UNITS} SELECT stable_key, source_slug, target_slug, CASE WHEN target_id % 3 = 0 THEN 'dismissed' ELSE 'open' END AS status,
         CASE target_id % 3 WHEN 0 THEN 'dismissed' WHEN 1 THEN 'updated' ELSE 'created' END AS action FROM suggested""",

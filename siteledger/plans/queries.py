@@ -131,6 +131,18 @@ def near_duplicate_pairs(spark: SparkSession, d: str) -> DataFrame:
     return similarity.near_duplicate_pairs(view(spark, d, v.SLUGS), NEAR).withColumn("similarity", F.round("similarity", 6))
 
 
+def near_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    """At the production threshold. The test vectors have no such pair, so each
+    vector has a twin, turned a little: by more than the threshold for one in three."""
+    slugs = view(spark, d, v.SLUGS)
+    by = F.when(F.col("vec_id") % 3 == 0, 0.6).otherwise(0.2)
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
+    turned = F.transform("embedding", lambda x, n: x.cast("double") + F.when(n == F.col("vec_id") % 8, by * norm).otherwise(0.0))
+    twins = slugs.select(F.concat(F.lit("twin/"), "slug").alias("slug"), "vec_id", turned.alias("embedding"))
+    both = slugs.withColumn("embedding", F.transform("embedding", lambda x: x.cast("double"))).unionByName(twins)
+    return similarity.near_duplicate_pairs(both).withColumn("similarity", F.round("similarity", 6))
+
+
 def _third_linked(pairs: DataFrame) -> DataFrame:
     number = lambda c: F.regexp_extract(c, "v([0-9]+)$", 1).cast("long")
     return pairs.filter((number("source_slug") + number("target_slug")) % 3 == 0).select("source_slug", "target_slug")
@@ -294,7 +306,7 @@ def published_articles(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     content_declining, content_cannibalization, content_query_gap, term_gap, scored_findings, priority_by_tier, opportunity_sync, opportunity_sync_counts, open_by_source,
-    snapshot_upsert, search_collection, traffic_collection, latest_batch, page_speed_audit, performance_findings, template_performance, near_duplicate_pairs, link_suggestions,
+    snapshot_upsert, search_collection, traffic_collection, latest_batch, page_speed_audit, performance_findings, template_performance, near_duplicate_pairs, near_duplicates, link_suggestions,
     suggestion_sync, impact_measurement, impact_by_page, graduation_streaks, graduation_records, graduation_alerts, tier1_plan, change_sync, briefing_rows, embedding_change_set,
     embedding_refresh, workflow_health, workflow_alerts, expiry_alerts, last_changes, article_text, existing_links, structured_data_audit, structured_data_findings,
     robots_audit, robots_findings, sitemap_audit, sitemap_findings, published_articles,

@@ -1,21 +1,30 @@
-"""Registered streaming queries. Arrivals are derived from events and land week by
+"""Registered queries over tables that they store: streams, and tables laid out for
+pruning and for joins without a shuffle.
+
+Arrivals are derived from events and land week by
 week; after each landing the streams run to the end of what is there and stop, as
 scheduled jobs do, and the next run goes on from their checkpoints."""
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteledger import streaming
-from siteledger.sinks import newest_version, upsert_versions
+from siteledger.operators import findings, ledger, metrics
+from siteledger.plans.oracle import ORACLE_SQL as BATCH_SQL
+from siteledger.sinks import ledgers, newest_version, upsert_versions
+from siteledger.sinks.snapshots import SnapshotTable
+from siteledger.sources import landing
 from siteledger.sources import views as v
 from siteledger.sources.shared import new_folder
-from siteledger.sources.views import view
+from siteledger.sources.views import table, view
 
-KEYS = ["date", "page", "query"]
+KEYS, FINAL = ["date", "page", "query"], "date date, page string, query string, clicks int, impressions int"
 
 #: Each snapshot row arrives on its day, and is corrected twice, the second time
 #: three to six days after its day.
@@ -56,8 +65,8 @@ def streamed_corrections(spark: SparkSession, d: str) -> DataFrame:
     for step in landed(rows, land):
         step()
         stream = session.readStream.schema(rows.schema).parquet(land)
-        streaming.final_rows(streaming.last_arrivals(stream, KEYS, ["arrived", "place"]), out, KEYS, at).awaitTermination()
-    return spark.read.schema("date date, page string, query string, clicks int, impressions int").parquet(out)
+        streaming.final_rows(streaming.last_arrivals(stream, KEYS, ["arrived", "place"]), out, FINAL, KEYS, at).awaitTermination()
+    return SnapshotTable(spark, out, FINAL).read()
 
 
 def streamed_totals(spark: SparkSession, d: str) -> DataFrame:
@@ -90,9 +99,31 @@ def streamed_health(spark: SparkSession, d: str) -> DataFrame:
     return streaming.workflow_status(newest_version(spark, versions))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (streamed_corrections, streamed_totals, streamed_health)}
+def pruned_decline(spark: SparkSession, d: str) -> DataFrame:
+    """Declining pages from a snapshot partitioned by date, of the windows of a table
+    of runs."""
+    snap, runs = new_folder(spark, "snapshot"), new_folder(spark, "runs")
+    landing.write_daily(view(spark, d, v.SEARCH_SNAPSHOT), snap)
+    table(spark, d, "events").select(F.lit("daily").alias("run"), F.col("ts").cast("date").alias("as_of")).groupBy("run").agg(F.max("as_of").alias("as_of")).write.parquet(runs)
+    rows = metrics.in_windows(spark.read.parquet(snap), spark.read.parquet(runs).filter("run = 'daily'"))
+    return metrics.declining_pages(rows, v.AS_OF).select("page", "prior_clicks", "recent_clicks", F.round("decline", 6).alias("decline"))
+
+
+def bucketed_sync(spark: SparkSession, d: str) -> DataFrame:
+    """opportunity_sync over ledger tables bucketed by key."""
+    snap = view(spark, d, v.SEARCH_SNAPSHOT)
+    found = lambda day: findings.scored(findings.current_findings(day, snapshot=snap.filter(F.col("date") <= F.lit(day))))
+    one, two = (f"ledger_{uuid.uuid4().hex}" for _ in range(2))
+    ledgers.bucketed(ledger.first_ledger(found(v.LEDGER_AS_OF), dt.datetime(2024, 1, 23)), one, new_folder(spark, "ledger"))
+    out = ledgers.next_version(spark, one, two, new_folder(spark, "ledger"), found(v.AS_OF), dt.datetime(2024, 1, 30))
+    return out.select("stable_key", "finding_type", "status", "action", "first_detected_at", "resolved_at")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (streamed_corrections, streamed_totals, streamed_health, pruned_decline, bucketed_sync)}
 
 ORACLE_SQL = {
+    "pruned_decline": f"SELECT page, prior_clicks, recent_clicks, decline FROM ({BATCH_SQL['content_declining']})",
+    "bucketed_sync": BATCH_SQL["opportunity_sync"],
     "streamed_corrections": f"""WITH s AS ({v.SEARCH_SNAPSHOT}), a AS (
           SELECT date, page, query, CAST(clicks + 7 * n AS INT) AS clicks, impressions, n, date + CAST(CASE n WHEN 0 THEN 0 WHEN 1 THEN 1 + impressions % 3 ELSE 3 + clicks % 4 END AS INT) AS arrived
           FROM s, (VALUES (0), (1), (2)) c(n)

@@ -80,3 +80,8 @@ def table(spark: SparkSession, path: str, columns: list[str], where: Column | No
     """A pruned, filtered scan: both reach the Parquet reader."""
     df = spark.read.parquet(path)
     return (df if where is None else df.filter(where)).select(*columns)
+
+
+def write_daily(rows: DataFrame, path: str) -> None:
+    """A snapshot as a table partitioned by date, a file or more a day."""
+    rows.repartition("date").write.partitionBy("date").parquet(path)

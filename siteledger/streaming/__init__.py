@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from siteledger.sinks import upsert_by_date
+from siteledger.sinks.snapshots import SnapshotTable
 from siteledger.sources.landing import SEARCH_RESPONSE, TRAFFIC_RESPONSE, search_rows, traffic_rows
 
 LATENESS = 3
@@ -82,12 +83,12 @@ def last_arrivals(rows: DataFrame, keys: list[str], arrival: list[str], lateness
     return out.select(F.col("__w.start").cast("date").alias("date"), *others, "__x.*")
 
 
-def final_rows(rows: DataFrame, path: str, keys: list[str], checkpoint: str) -> StreamingQuery:
-    """Final rows of last_arrivals, upserted into the snapshot at path."""
+def final_rows(rows: DataFrame, path: str, schema: str, keys: list[str], checkpoint: str) -> StreamingQuery:
+    """Final rows of last_arrivals, upserted into the snapshot table at path; a batch
+    that is run again puts the same rows there."""
 
     def one(batch: DataFrame, _: int) -> None:
-        if not batch.isEmpty():
-            upsert_by_date(batch, path, keys)
+        SnapshotTable(batch.sparkSession, path, schema).upsert(batch, keys)
 
     return rows.writeStream.outputMode("append").foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -119,3 +119,45 @@ def test_health_and_expiry(spark):
     assert [(r.type, r.acknowledged) for r in reporting.workflow_alerts(health, now).collect()] == [("workflow-failed", False)]
     e = spark.createDataFrame([("soon", "2026-07-11 00:00:00"), ("far", "2027-01-01"), ("bad", "never"), ("none", None)], "name string, expires_at string")
     assert [(r.name, r.days_left) for r in reporting.expiry_alerts(e, now).collect()] == [("soon", 10)]
+
+
+def folded(rows, had=0, was=False):
+    """Streaks one change after the other."""
+    out = {}
+    for _, i, o in sorted(rows):
+        good = 0 if o == "negative" else had + 1
+        eligible = good >= 10
+        out[i] = (good, eligible, "graduated" if eligible and not was else "revoked" if o == "negative" and was else None)
+        had, was = good, eligible
+    return out
+
+
+def test_streaks_of_segments_equal_a_fold(spark):
+    """Days cut into parts, days without a negative, and types that begin in the middle."""
+    import random
+
+    rng = random.Random(8)
+    rows, want = [], {}
+    starts = {"t0": (0, False), "t1": (9, False), "t2": (12, True), "t3": (3, True)}
+    for kind, start in starts.items():
+        own = [(T + dt.timedelta(rng.choice([0, 0, 0, 1, 2, 5, 9])), 1000 * int(kind[1]) + n, rng.choices(["positive", "negative", "inconclusive"], [80, 4, 10])[0]) for n in range(150)]
+        rows += [(i, kind, d, o) for d, i, o in own]
+        want |= folded(own, *start)
+    measured_ = spark.createDataFrame(rows, "change_id long, finding_type string, merged_on date, outcome string")
+    records = spark.createDataFrame([(k, *x) for k, x in starts.items()], "finding_type string, consecutive_good long, auto_merge_eligible boolean")
+    for size in (5, 40, 10**6):
+        got = {r.change_id: (r.good, r.eligible, r.event) for r in impact.graduation_steps(measured_, records, size).collect()}
+        assert got == want
+    events = {e for _, _, e in want.values()}
+    assert events == {None, "graduated", "revoked"}
+
+
+def test_no_window_holds_all_changes_of_a_type(spark, small):
+    import re
+
+    due = impact.measurable(view(spark, small, views.APPLIED_CHANGE), queries.CHANGES_AS_OF)
+    plan = impact.graduation_steps(impact.measure(due, view(spark, small, views.DAILY_CLICKS)))._jdf.queryExecution().optimizedPlan().toString()
+    specs = re.findall(r"^[ :+-]*Window \[.*\], \[(.*?)\], \[.*\]$", plan, re.M)
+    # Segments' own summaries are windowed by type, rows only within a segment.
+    assert any("__part" in s for s in specs)
+    assert all("__part" in s for s in specs if "change_id" in s)

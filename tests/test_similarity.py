@@ -1,6 +1,8 @@
 import datetime as dt
 
 import numpy as np
+from pyspark.sql import functions as F
+
 from siteledger import schemas
 from siteledger.functions.scalars import link_key
 from siteledger.operators import architecture, similarity
@@ -101,3 +103,69 @@ def test_missing_templates(spark):
 
 def test_registered_terms_are_parts(spark, small):
     assert {r.term for r in queries.term_gap(spark, small).collect()} <= set(queries.TERMS)
+
+
+def clustered(spark, n=400, groups=12, dims=24, spread=0.05):
+    """Tight groups of vectors, as articles on one subject are."""
+    rng = np.random.default_rng(4)
+    centers = rng.normal(size=(groups, dims))
+    rows = [(f"c{k % groups}/v{k:03}" if k % 9 else f"v{k:03}", (centers[k % groups] + spread * rng.normal(size=dims) * np.linalg.norm(centers[k % groups])).tolist()) for k in range(n)]
+    return spark.createDataFrame(rows, "slug string, embedding array<double>")
+
+
+def test_far_blocks_are_never_met(spark):
+    """The same pairs as pair by pair, from a fraction of the products."""
+    a = clustered(spark)
+    rounded = lambda df: sorted((r[0], r[1], round(r[2], 9)) for r in df.collect())
+    want = rounded(similarity.naive_pairs(a, 0.92))
+    assert len(want) > 500 and rounded(similarity.near_duplicate_pairs(a, blocks=12)) == want
+    done = similarity.products(similarity.dealt_pairs(a, 0.92, 12)).first().products
+    assert len(want) <= done < 0.25 * 400 * 399 / 2
+
+
+def test_far_blocks_are_not_searched(spark):
+    a = clustered(spark)
+    units = {r.slug: np.array(r.embedding) / np.linalg.norm(r.embedding) for r in a.collect()}
+    for floor in (-2.0, 0.35):
+        got = {}
+        for r in similarity.top_similar(a, 5, 12, floor).collect():
+            got.setdefault(r.source_slug, []).append((r.rank, r.target_slug))
+        want = {}
+        for s, u in units.items():
+            if "/" in s:
+                best = sorted((-round(float(u @ w), 9), t) for t, w in units.items() if t != s and u @ w >= floor)[:5]
+                want[s] = [(n + 1, t) for n, (_, t) in enumerate(best)]
+        assert {s: sorted(x) for s, x in got.items()} == want
+    _, both = similarity.dealt_sources(a, 5, 0.35, 12)
+    sides = both.withColumn("mine", (F.col("i") == F.col("block")).cast("int")).groupBy("i", "j").agg(F.sum("mine").alias("s"), F.count("*").alias("n"))
+    assert sum(r.s * (r.n - r.s) for r in sides.collect()) < 0.5 * 400 * 399
+
+
+def test_many_equal_vectors_fill_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK_ROWS", 8)
+    a = spark.createDataFrame([(f"c/{k:02}", [1.0, 2.0]) for k in range(30)] + [("c/x", [2.0, -1.0])], "slug string, embedding array<double>")
+    dealt = similarity.dealt_pairs(a, 0.92, 2)
+    assert dealt.groupBy("i", "j", "block").count().agg({"count": "max"}).first()[0] < 30
+    assert similarity.near_duplicate_pairs(a, blocks=2).count() == 30 * 29 // 2
+    assert [r.target_slug for r in similarity.top_similar(a, 3, 2).filter("source_slug = 'c/07'").orderBy("rank").collect()] == ["c/00", "c/01", "c/02"]
+
+
+def test_many_terms_in_one_pass(spark):
+    """The same rows as a test of each pair, for a long list with terms in terms."""
+    import random
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abñ") for _ in range(rng.randint(1, 4)))
+    terms = sorted({word() for _ in range(80)})
+    queries_ = [" ".join(word() for _ in range(rng.randint(1, 4))) for _ in range(60)]
+    as_of = dt.date(2026, 7, 1)
+    snap = spark.createDataFrame([(as_of, "p", q, 1, 10 + n, 1.0) for n, q in enumerate(queries_)], "date date, page string, query string, clicks int, impressions int, position double")
+    listed = spark.createDataFrame([(t,) for t in terms] + [(None,), ("",), (terms[0],)], "term string")
+    got = {(r.q, r.term) for r in architecture.term_matches(snap, listed).collect()}
+    assert got == {(q, t) for q in queries_ for t in terms if t in q}
+    alone = {(r.q, r.term) for r in architecture.term_matches(snap, listed, True).collect()}
+    import re
+
+    assert alone == {(q, t) for q in queries_ for t in terms if re.search(rf"(?<![a-z0-9]){t}(?![a-z0-9])", q)}
+    many = spark.createDataFrame([(f"term {n}",) for n in range(50_000)], "term string")
+    assert {r.term for r in architecture.term_matches(snap.withColumn("query", F.lit("x term 4177 y")), many).collect()} == {"term 4", "term 41", "term 417", "term 4177"}
