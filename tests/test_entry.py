@@ -1,7 +1,7 @@
 import __spark_entry__
 
 
-def test_every_query_of_the_entry_runs(spark, small):
+def test_entry_runs_and_sql_belongs_to_queries(spark, small):
     from siteledger.plans import oracle, queries
 
     assert set(oracle.ORACLE_SQL) <= set(queries.QUERIES)
