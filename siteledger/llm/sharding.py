@@ -8,22 +8,28 @@ another shard propose to move there, and each shard admits, hub by hub, as many
 as its quota and those that leave it in the same round make room for. Rounds look
 at shards with room first; where these admit nothing, documents are exchanged
 between full ones. Each move makes a hub's spread less even, so rounds end: when
-no hub is split, or exchanges admit nothing IDLE times running. Documents without
-links then fill every shard up to its exact quota, so counts differ by one at
-most (law `rows`).
+no hub is split, or exchanges admit nothing IDLE times running, because wishes
+left over form no cycle. Hubs that are still split are then gathered: whole hubs
+keep their shards, the split ones are laid end to end over the room that is left,
+so that a border between two shards cuts one hub at most. That is done where it
+leaves fewer pieces; all in all, hubs have at most one piece a border too many.
+Documents without links then fill every shard up to its exact quota, so counts
+differ by one at most (law `rows`).
 
-Hubs with many documents are salted in the join, proposals are ranked in parts,
-and all that a round sends to the driver is a few numbers a shard.
+Hubs with many documents are salted in the join, proposals and rows of hubs are
+ranked in parts, and all that a round sends to the driver is a few numbers a shard.
 
 Defined cases: a null text has size 8 and crc32 0, and all null texts form one
 hub; rows that share an id are placed row by row; an empty table gives an empty
-result; other columns are ignored.
+result; very long texts count by their size and are hashed whole; other columns
+are ignored.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from siteledger.llm.common import ranked, slices, stored
 
@@ -131,7 +137,40 @@ def propagate(members: DataFrame, n_rows: int, shards: int = SHARDS) -> tuple[Da
         if exchange:
             idle, tie = 0 if moved else idle + 1, tie + 1
         exchange = not moved
-    return linked, loads
+    return _gathered(linked, loads, quotas)
+
+
+def _gathered(linked: DataFrame, loads: list[int], quotas: list[int]) -> tuple[DataFrame, list[int]]:
+    """linked with its split hubs laid end to end over the room beside whole ones,
+    if that makes fewer pieces; and the number of members in each shard."""
+    parts = slices(linked.sparkSession)
+    sizes = F.array(*[F.count_if(F.col("shard") == s) for s in range(len(quotas))])
+    split = linked.groupBy("hub", "n").agg(sizes.alias("__c")).withColumn("__pieces", F.size(F.filter("__c", lambda c: c > 0))).filter("__pieces > 1")
+    split = stored(split.withColumn("__part", F.pmod(F.xxhash64("hub"), F.lit(parts)).cast("int")), "sharding-split")
+    free = [q - x for q, x in zip(quotas, loads)]
+    lengths, extra = [0] * parts, 0
+    for r in split.groupBy("__part").agg(F.sum("n").alias("n"), F.sum(F.col("__pieces") - 1).alias("extra"), F.array(*[F.sum(F.col("__c")[s]) for s in range(len(quotas))]).alias("c")).collect():  # a row a part
+        lengths[r["__part"]], extra = r.n, extra + r.extra
+        free = [f + c for f, c in zip(free, r.c)]
+    if not extra:
+        return linked, loads
+    ends = F.array(*[F.lit(e).cast("long") for e in _ends(free)])
+    first = F.array(*[F.lit(e - x).cast("long") for e, x in zip(_ends(lengths), lengths)])
+    before = F.coalesce(F.sum("n").over(W.partitionBy("__part").orderBy("hub").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    laid = split.select(F.col("hub").alias("__h"), (F.element_at(first, F.col("__part") + 1) + before).alias("__start"), "n")
+    cut = F.size(F.array_distinct(F.filter(ends, lambda e: (e > F.col("__start")) & (e < F.col("__start") + F.col("n")))))
+    if laid.agg(F.sum(cut)).first()[0] >= extra:
+        return linked, loads
+    laid = laid.drop("n")
+    rest = ranked(linked.join(laid, linked["hub"] == laid["__h"], "left_semi"), ["hub"], ["row"], "__j")
+    rest = rest.join(laid, rest["hub"] == laid["__h"]).withColumn("__at", F.col("__start") + F.col("__j"))
+    rest = rest.select("row", "hub", "n", F.size(F.filter(ends, lambda e: e <= F.col("__at"))).alias("shard"))
+    whole = linked.join(laid, linked["hub"] == laid["__h"], "left_anti").select("row", "hub", "n", "shard")
+    total, filled = sum(lengths), []
+    for f in free:
+        filled.append(min(f, total))
+        total -= filled[-1]
+    return whole.unionByName(rest), [q - f + x for q, f, x in zip(quotas, free, filled)]
 
 
 def shard_rows(rows: DataFrame, shards: int = SHARDS) -> DataFrame:

@@ -264,6 +264,36 @@ def test_sharding_exchanges_rows_of_full_shards(spark):
     assert sum(len(s) == 1 for s in by.values()) > 0.8 * len(by)
 
 
+@pytest.mark.parametrize("n, size, linked", [(4800, 5, 1.0), (6000, 3, 1.0), (4800, 5, 0.95), (2400, 2, 1.0)])
+def test_sharding_cuts_a_group_a_border(spark, n, size, linked):
+    """All or nearly all rows are linked, so rounds end with many split groups."""
+    from siteledger.llm.common import stored
+    from siteledger.llm.sharding import SHARDS, shard_rows
+
+    hub = F.when(F.col("id") < int(n * linked), F.floor(F.col("id") / size)).otherwise(F.col("id") + n)
+    got = shard_rows(stored(spark.range(n).select(F.col("id").alias("row"), hub.alias("hub")))).collect()
+    sizes = Counter(r.shard for r in got)
+    assert len(got) == n and set(sizes) == set(range(SHARDS)) and max(sizes.values()) - min(sizes.values()) <= 1
+    by = {}
+    for r in got:
+        by.setdefault(r.hub, set()).add(r.shard)
+    assert sum(len(s) - 1 for s in by.values()) < SHARDS
+
+
+def test_sharding_gathers_beside_a_hot_group(spark):
+    """A third of all rows in one group, the others in groups of four."""
+    from siteledger.llm.common import stored
+    from siteledger.llm.sharding import shard_rows
+
+    hub = F.when(F.col("id") < 600, F.lit(-1)).otherwise(F.floor(F.col("id") / 4))
+    got = shard_rows(stored(spark.range(1800).select(F.col("id").alias("row"), hub.alias("hub"))), 8).collect()
+    assert Counter(Counter(r.shard for r in got).values()) == {225: 8}
+    by = {}
+    for r in got:
+        by.setdefault(r.hub, set()).add(r.shard)
+    assert sum(len(s) - 1 for s in by.values()) <= 7
+
+
 def test_granted_moves_fit():
     from siteledger.llm.sharding import _granted
 
