@@ -11,8 +11,8 @@ between full ones. Each move makes a hub's spread less even, so rounds end: when
 no hub is split, or exchanges admit nothing IDLE times running, because wishes
 left over form no cycle. Hubs that are still split are then gathered: whole hubs
 keep their shards, the split ones are laid end to end over the room that is left,
-so that a border between two shards cuts one hub at most. That is done where it
-leaves fewer pieces; all in all, hubs have at most one piece a border too many.
+so that a border between two shards cuts one hub at most. That is done where there
+are more pieces than that; so hubs have at most one piece a border too many.
 Documents without links then fill every shard up to its exact quota, so counts
 differ by one at most (law `rows`).
 
@@ -123,8 +123,8 @@ def propagate(members: DataFrame, n_rows: int, shards: int = SHARDS) -> tuple[Da
         among = [s for s in range(shards) if exchange or room[s] > 0]
         wishes = stored(_wishes(linked, shards, among, tie), "sharding-wishes")
         wanted = {k: n for k, n in _sums(wishes).items() if k[1] is not None}
-        if exchange and not wanted:
-            break
+        if exchange and not wanted:  # all rows are where most of their hub is
+            return linked, loads
         got = _granted(wanted, room)
         moved = sum(got.values())
         if moved:
@@ -142,8 +142,12 @@ def propagate(members: DataFrame, n_rows: int, shards: int = SHARDS) -> tuple[Da
 
 def _gathered(linked: DataFrame, loads: list[int], quotas: list[int]) -> tuple[DataFrame, list[int]]:
     """linked with its split hubs laid end to end over the room beside whole ones,
-    if that makes fewer pieces; and the number of members in each shard."""
+    where there is more than a piece a border too many and that makes fewer; and
+    the number of members in each shard."""
     parts = slices(linked.sparkSession)
+    pieces = linked.groupBy("hub").agg(F.size(F.collect_set("shard")).alias("p"))  # a number a shard at most
+    if (pieces.agg(F.sum(F.col("p") - 1)).first()[0] or 0) < len(quotas):
+        return linked, loads
     sizes = F.array(*[F.count_if(F.col("shard") == s) for s in range(len(quotas))])
     split = linked.groupBy("hub", "n").agg(sizes.alias("__c")).withColumn("__pieces", F.size(F.filter("__c", lambda c: c > 0))).filter("__pieces > 1")
     split = stored(split.withColumn("__part", F.pmod(F.xxhash64("hub"), F.lit(parts)).cast("int")), "sharding-split")
@@ -152,8 +156,6 @@ def _gathered(linked: DataFrame, loads: list[int], quotas: list[int]) -> tuple[D
     for r in split.groupBy("__part").agg(F.sum("n").alias("n"), F.sum(F.col("__pieces") - 1).alias("extra"), F.array(*[F.sum(F.col("__c")[s]) for s in range(len(quotas))]).alias("c")).collect():  # a row a part
         lengths[r["__part"]], extra = r.n, extra + r.extra
         free = [f + c for f, c in zip(free, r.c)]
-    if not extra:
-        return linked, loads
     ends = F.array(*[F.lit(e).cast("long") for e in _ends(free)])
     first = F.array(*[F.lit(e - x).cast("long") for e, x in zip(_ends(lengths), lengths)])
     before = F.coalesce(F.sum("n").over(W.partitionBy("__part").orderBy("hub").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
