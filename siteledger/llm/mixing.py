@@ -17,8 +17,9 @@ the tree's nodes hold one number a source.
 
 Defined cases: a null text has size 0 and is never drawn; a null source is a
 source of its own, last in order; a source without words has target 0; repeated
-ids are separate rows; an empty table gives an empty mix; extra columns pass
-through `mixed_documents` untouched.
+ids are separate rows; a very long text spans several blocks and is drawn with the
+one it begins in; an empty table gives an empty mix; extra columns pass through
+`mixed_documents` untouched.
 """
 
 from __future__ import annotations

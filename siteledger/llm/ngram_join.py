@@ -29,7 +29,7 @@ So no link between components is lost.
    A block gives numbers of links, weighted by how many documents have each set;
    the pairs, which grow with the square of a group, are never written.
 
-Defined cases: null and empty texts, or texts without a word, have the empty
+Defined cases: a very long text is read whole, alone in its run; null and empty texts, or texts without a word, have the empty
 set, no link and their own id as component; a text with fewer than n words has
 its whole sequence as single member; rows that share an id and text are one
 node; rows that share an id only are separate nodes, and a component is named

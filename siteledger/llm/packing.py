@@ -12,8 +12,9 @@ decreasing. Spark numbers the pieces of each length (no length in one task) and
 joins them with the plan.
 
 Defined cases: a null text counts as empty and holds the end id only; repeated
-ids are packed row by row; an empty table gives an empty result; extra columns
-are ignored.
+ids are packed row by row; a very long text is encoded whole and cut into as many
+pieces as it needs; an empty table gives an empty result; extra columns are
+ignored.
 """
 
 from __future__ import annotations

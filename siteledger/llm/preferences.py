@@ -12,8 +12,8 @@ anyway.
 Defined cases: turns sort by number, nulls first, ties by role and text; a null
 role counts as user, a null text as empty; a null pair id is a pair of its own;
 a side without turns gives an empty completion; identical sides give a prompt
-and two empty completions; an empty table gives no pair; other columns are
-ignored.
+and two empty completions; very long texts are rendered whole; an empty table
+gives no pair; other columns are ignored.
 """
 
 from __future__ import annotations

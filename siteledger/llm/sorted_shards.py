@@ -17,7 +17,8 @@ from the manifest, a file a task.
 
 Defined cases: a null text counts as empty and holds the end id only; rows with
 a null id sort first; rows that share an id follow each other in the order of a
-hash of their text; an empty table makes no file and an empty result; other
+hash of their text; an empty table makes no file and an empty result; a
+very long text is encoded whole and is one entry of a block of its own size; other
 columns are ignored.
 """
 

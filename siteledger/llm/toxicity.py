@@ -18,8 +18,8 @@ longer single text is one step).
 Defined cases: a null or empty text has no sentence and gets the score of an
 empty bag, 0; a null id is scored like any other row (held_out is null);
 repeated ids are scored row by row; conflicting labels of one id count as the
-larger; with no usable label every score is 0; extra columns pass through
-`drop_toxic` untouched.
+larger; with no usable label every score is 0; all sentences of a very long text
+are scored; extra columns pass through `drop_toxic` untouched.
 """
 
 from __future__ import annotations

@@ -1,4 +1,5 @@
-"""Small cases and brute-force versions of operators 11 to 13."""
+"""Small cases and brute-force versions of operators 11 to 13, and texts of megabytes
+through operators and pipeline stages."""
 
 import hashlib
 import random
@@ -265,3 +266,54 @@ def test_alignment_of_odd_rows(spark, odd, files):
     assert {(r.a, r.b): r["count"] for r in pairs.collect()} == dict(count)
     none, no_pairs = align(odd.filter("false"), *files[0])
     assert none.count() == 0 and no_pairs.count() == 0
+
+
+# --- very long texts -------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def long_docs(spark):
+    """Two near copies of five megabytes, and short texts."""
+    rng = random.Random(9)
+    words = [f"{rng.choice('abcdefgh')}{rng.randrange(40_000)}" for _ in range(760_000)]
+    text = " ".join(words)
+    assert len(text) > 5_000_000 - 500_000
+    near = " ".join([*words[:-5], "and", "now", "it", "ends"])
+    rows = [(1, text, "en", "s"), (2, near, "en", "s"), (3, "a b c d e", "en", "s"), (4, None, None, None)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+
+
+def test_megabytes_through_stages(spark, long_docs, files):
+    import corpus_pipeline as p
+    from siteledger.llm.ngram_join import near_duplicates
+    from siteledger.llm.packing import SEQUENCE
+
+    linked = {r.doc_id: r.component_id for r in near_duplicates(long_docs, 3, 90).collect()}
+    assert linked[1] == linked[2] == 1 and linked[3] == 3
+    kept = p.near_duplicates(spark, long_docs, "")
+    assert {r.doc_id for r in kept.select("doc_id").collect()} in ({1, 3, 4}, {2, 3, 4})
+    mixed = p.mixing(spark, kept, "")
+    assert mixed.columns == long_docs.columns and mixed.filter("length(text) > 1000000").count() >= 1
+    pieces = p.packing(spark, kept, "").collect()
+    long_id = next(r.doc_id for r in kept.filter("doc_id < 3").select("doc_id").collect())
+    own = sorted((r.piece, r.start, r.length) for r in pieces if r.doc_id == long_id)
+    assert [s for _, s, _ in own] == [n * SEQUENCE for n in range(len(own))] and all(n == SEQUENCE for _, _, n in own[:-1]) and sum(n for _, _, n in own) > 1_000_000
+
+
+def test_megabytes_through_files_and_runs(spark, long_docs, files, tmp_path):
+    from tokenizers import Tokenizer
+
+    from siteledger.llm.alignment import align
+    from siteledger.llm.periodic_runs import periodic_runs
+    from siteledger.llm.sorted_shards import read_shards, write_shards
+
+    (path, pieces), _, _ = files
+    text = long_docs.filter("doc_id = 1").first().text
+    n = len(Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids)
+    got = {r.doc_id: r.n_tokens for r in read_shards(write_shards(long_docs, path, 0, f"file://{tmp_path}/s")).collect()}
+    assert got[1] == n + 1 and got[4] == 1
+    by_doc, _ = align(long_docs.filter("doc_id <> 2"), path, pieces, None)
+    rows = {r.doc_id: r for r in by_doc.drop("groups").collect()}
+    assert rows[1].n_links == rows[1].n_a + rows[1].n_b - rows[1].n_groups and rows[1].n_a >= n and rows[4].n_a == 0
+    runs = {r.doc_id: (r.n_words, len(r.runs)) for r in periodic_runs(long_docs).select("doc_id", "n_words", "runs").collect()}
+    assert runs[1] == (760_000, 0) and runs[4] == (0, 0)
