@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StringType, VariantType
 
 INCONCLUSIVE, NEGATIVE, POSITIVE = "inconclusive", "negative", "positive"
 #: A change is negative from a fall of this share on.
@@ -67,6 +68,20 @@ def trimmed(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^[\s\x{FEFF}]+|[\s\x{FEFF}]+$", "")
 
 
+def string_array(column: Column, kind: DataType) -> Column:
+    """A column of the given type as array<string>: arrays as they are, JSON texts and
+    variants where they hold an array; anything else is an empty array."""
+    none = F.array().cast("array<string>")
+    if isinstance(kind, ArrayType):
+        return F.coalesce(column.cast("array<string>"), none)
+    if isinstance(kind, StringType):
+        is_array = F.regexp_like(column, F.lit(r"^\s*\["))
+        return F.coalesce(F.when(is_array, F.from_json(column, "array<string>")), none)
+    if isinstance(kind, VariantType):
+        return F.coalesce(F.try_variant_get(column, "$", "array<string>"), none)
+    return none
+
+
 def half_up(x: Column) -> Column:
     return F.floor(x + 0.5)
 

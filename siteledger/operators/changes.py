@@ -60,6 +60,23 @@ def plan_counts(plan: DataFrame) -> DataFrame:
     return plan.agg(*[F.count_if(F.col("action") == a).alias(n) for a, n in (("open", "opened"), ("skippedDuplicate", "skipped_duplicate"), ("skippedNoFixer", "skipped_no_fixer"))])
 
 
+def record_opened(changes: DataFrame, plan: DataFrame, contents: DataFrame) -> DataFrame:
+    """changes (stable_key, finding_type, status, file_path, previous_content) with a
+    row for each opening of plan: merged at once where the plan says so, else open;
+    contents (file_path, content) say what the file held before, null if unknown."""
+    held = contents.select(F.col("file_path").alias("target_file"), F.col("content").alias("previous_content"))
+    rows = plan.filter("action = 'open'").join(F.broadcast(held), "target_file", "left")  # a row a target file
+    new = rows.select("stable_key", "finding_type", F.when(F.col("auto_merge"), "merged").otherwise("open").alias("status"), F.col("target_file").alias("file_path"), "previous_content")
+    return changes.select(*new.columns).unionByName(new)
+
+
+def record_reverts(changes: DataFrame, reverts: DataFrame) -> DataFrame:
+    """changes with the rows of impact.revert_plan: the content to go back to is in
+    them, so they hold no earlier one themselves."""
+    new = reverts.select("stable_key", "finding_type", "status", "file_path", F.lit(None).cast("string").alias("previous_content"))
+    return changes.select(*new.columns).unionByName(new)
+
+
 def sync_changes(changes: DataFrame, status: DataFrame) -> DataFrame:
     """changes with the state that status (pr_number, state, merged) reports for
     open ones: still open, merged, or closed."""

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteledger.functions.rules import finding_rules
-from siteledger.functions.scalars import fixed, priority, shown, stable_key
+from siteledger.functions.scalars import fixed, priority, shown, stable_key, string_array
 from siteledger.operators import metrics
 
 COLUMNS = ["source", "finding_type", "stable_key_input", "title", "detail", "source_ref_id"]
@@ -39,9 +39,14 @@ def _classified(rows: DataFrame, source: str, cases: list[tuple[Column, str, str
     return rows.select(F.lit(source).alias("source"), kind.otherwise(f"{source}-other").alias("finding_type"), key.otherwise(F.col("m")).alias("stable_key_input"), title.otherwise(F.col("m")).alias("title"), F.col("m").alias("detail"), F.col("id").alias("source_ref_id"))
 
 
+def _messages(audits: DataFrame) -> DataFrame:
+    """id and m, a row a message; errors that are no array hold none."""
+    return audits.select("id", F.explode(string_array(F.col("errors"), audits.schema["errors"].dataType)).alias("m"))
+
+
 def sitemap_findings(audits: DataFrame) -> DataFrame:
     m = F.col("m")
-    messages = _classified(audits.select("id", F.explode("errors").alias("m")), "sitemap", [
+    messages = _classified(_messages(audits), "sitemap", [
         (m.startswith(MALFORMED), "sitemap-malformed", "El sitemap XML está mal formado"),
         (m.startswith(OUT_OF_DOMAIN), "sitemap-out-of-domain", None),
         (m.startswith(SITEMAP_FAILED), "sitemap-fetch-failed", "No se pudo obtener el sitemap"),
@@ -56,7 +61,7 @@ def sitemap_findings(audits: DataFrame) -> DataFrame:
 
 def robots_findings(audits: DataFrame) -> DataFrame:
     m = F.col("m")
-    return _classified(audits.select("id", F.explode("errors").alias("m")), "robots", [
+    return _classified(_messages(audits), "robots", [
         (m == NO_DIRECTIVE, "robots-missing-sitemap-directive", "robots.txt no declara ninguna directiva Sitemap"),
         (m.startswith(BLOCKS_ALL), "robots-blocks-all", "robots.txt bloquea la indexación de todo el sitio"),
         (m.startswith(ROBOTS_FAILED), "robots-fetch-failed", "No se pudo obtener robots.txt"),

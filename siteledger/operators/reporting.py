@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siteledger.functions.order import ranked
 from siteledger.functions.scalars import excerpt, fixed, half_up
 from siteledger.operators.changes import tier_of
 
@@ -47,16 +48,31 @@ def briefing_rows(ledger: DataFrame, articles: DataFrame) -> DataFrame:
     return rows.select("stable_key", "finding_type", "title", "priority_score", "source_ref_id", malformed.alias("malformed"), *texts).orderBy(F.desc("priority_score"), "stable_key")
 
 
-def briefing_text(rows: DataFrame) -> DataFrame:
-    """One row, one column: the briefing as Markdown. It is read by a person, so
-    it is one text."""
+def _section() -> Column:
     link = F.concat(F.lit("\n### Artículo origen ("), "source_slug", F.lit(")\n\n"), F.coalesce("source_text", F.lit("")), F.lit("\n\n### Artículo destino ("), "target_slug", F.lit(")\n\n"), F.coalesce("target_text", F.lit("")), F.lit("\n"))
     bad = F.concat(F.lit("\n> ⚠️ Datos malformados para esta oportunidad (sourceRefId: "), F.coalesce("source_ref_id", F.lit("")), F.lit(").\n"))
-    part = F.concat(F.lit("## "), "title", F.lit("\n\n- Tipo: "), "finding_type", F.lit("\n- Prioridad: "), fixed(F.col("priority_score"), 1), F.lit("\n"), F.when(F.col("malformed"), bad).when(F.col("source_slug").isNotNull(), link).otherwise(F.lit("")))
-    parts = rows.agg(F.array_sort(F.collect_list(F.struct((-F.col("priority_score")).alias("p"), "stable_key", part.alias("t")))).alias("x"))
-    n = F.size("x")
+    return F.concat(F.lit("## "), "title", F.lit("\n\n- Tipo: "), "finding_type", F.lit("\n- Prioridad: "), fixed(F.col("priority_score"), 1), F.lit("\n"), F.when(F.col("malformed"), bad).when(F.col("source_slug").isNotNull(), link).otherwise(F.lit("")))
+
+
+def _heading(n: Column) -> Column:
     head = F.lit("# Briefing Tier 2\n\n")
-    return parts.select(F.when(n == 0, F.concat(head, F.lit("No hay oportunidades Tier 2 abiertas ahora mismo.\n"))).otherwise(F.concat(head, n.cast("string"), F.lit(" oportunidades para revisar.\n\n"), F.array_join(F.transform("x", lambda r: r["t"]), "\n"))).alias("value"))
+    return F.when(n == 0, F.concat(head, F.lit("No hay oportunidades Tier 2 abiertas ahora mismo.\n"))).otherwise(F.concat(head, n.cast("string"), F.lit(" oportunidades para revisar.\n\n")))
+
+
+def briefing_sections(rows: DataFrame) -> DataFrame:
+    """rank and section: the briefing in pieces of Markdown, the heading at rank 0,
+    however many rows there are; end to end they are the text of briefing_text, but
+    for an empty line between sections."""
+    sections = ranked(rows.select("stable_key", "priority_score", _section().alias("section")), [-F.col("priority_score"), "stable_key"])
+    heading = rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(0).cast("long").alias("rank"), _heading(F.col("n")).alias("section"))
+    return heading.unionByName(sections.select("rank", "section"))
+
+
+def briefing_text(rows: DataFrame) -> DataFrame:
+    """One row, one column: the briefing as Markdown. It is read by a person, so
+    it is one text."""
+    parts = rows.agg(F.array_sort(F.collect_list(F.struct((-F.col("priority_score")).alias("p"), "stable_key", _section().alias("t")))).alias("x"))
+    return parts.select(F.concat(_heading(F.size("x")), F.array_join(F.transform("x", lambda r: r["t"]), "\n")).alias("value"))
 
 
 def workflow_health(steps: DataFrame, by: list[str] | None = None) -> DataFrame:

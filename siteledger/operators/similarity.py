@@ -24,6 +24,8 @@ BLOCK_ROWS, BLOCK_BYTES, LEAST_ROWS = 16_384, 32_000_000, 2048
 #: Centers of balls at most, sampled vectors a center and their bytes, rings of a
 #: ball, and the angle that covers rounding.
 CENTERS, SAMPLE, SAMPLE_BYTES, RINGS, MARGIN = 4096, 8, 64_000_000, 64, 1e-6
+#: Buckets of slugs by which known articles are read.
+SLUG_BUCKETS = 1 << 18
 
 
 def _units(articles: DataFrame) -> DataFrame:
@@ -277,19 +279,34 @@ def top_similar(articles: DataFrame, top: int = TOP, blocks: int | None = None,
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
 
 
-def link_suggestions(articles: DataFrame, existing: DataFrame | None = None, top: int = TOP, floor: float = FLOOR, blocks: int | None = None) -> DataFrame:
-    """stable_key, source_slug, target_slug, similarity: the top pairs at or above
-    the floor, without those in existing; what is taken away is not filled up."""
-    pairs = top_similar(articles, top, blocks, floor).filter(F.col("similarity") >= floor).drop("rank")
+def suggestions(pairs: DataFrame, existing: DataFrame | None = None, floor: float = FLOOR) -> DataFrame:
+    """stable_key, source_slug, target_slug, similarity of top_similar's pairs at or
+    above the floor, without those in existing; what is taken away is not filled up."""
+    pairs = pairs.filter(F.col("similarity") >= floor).drop("rank")
     if existing is not None:
         pairs = pairs.join(existing, ["source_slug", "target_slug"], "left_anti")
     return pairs.select(link_key("source_slug", "target_slug").alias("stable_key"), "source_slug", "target_slug", "similarity")
 
 
+def link_suggestions(articles: DataFrame, existing: DataFrame | None = None, top: int = TOP, floor: float = FLOOR, blocks: int | None = None) -> DataFrame:
+    """suggestions of the articles' top pairs."""
+    return suggestions(top_similar(articles, top, blocks, floor), existing, floor)
+
+
+def with_slugs_of(known: DataFrame, articles: DataFrame, buckets: int = SLUG_BUCKETS) -> DataFrame:
+    """The rows of known that may have a slug of articles: those whose hash falls in
+    a bucket that one of articles falls in. The buckets hit, buckets numbers at
+    most, go to every task, so the other rows are dropped where they are read and
+    never reach a shuffle."""
+    bucket = F.pmod(F.xxhash64("slug"), F.lit(buckets)).cast("int").alias("__bucket")
+    hit = articles.select(bucket).distinct()
+    return known.select("*", bucket).join(F.broadcast(hit), "__bucket", "left_semi").drop("__bucket")
+
+
 def change_set(articles: DataFrame, known: DataFrame) -> DataFrame:
     """slug, content_hash and action of articles (slug, text): new, changed or unchanged."""
     now = articles.select("slug", content_hash("text").alias("content_hash"))
-    was = known.select("slug", F.col("content_hash").alias("__old"))
+    was = with_slugs_of(known.select("slug", F.col("content_hash").alias("__old")), articles)
     action = F.when(F.col("__old").isNull(), "new").when(F.col("__old") == F.col("content_hash"), "unchanged").otherwise("changed")
     return now.join(was, "slug", "left").select("slug", "content_hash", action.alias("action"))
 

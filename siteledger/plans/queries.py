@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from siteledger.functions.rules import region_terms
 from siteledger.functions.scalars import content_hash, stable_key
 from siteledger.operators import architecture, changes, documents, findings, impact, ledger, metrics, reporting, similarity
-from siteledger.plans import runs, streams
+from siteledger.plans import records, runs, streams
 from siteledger.sources import landing
 from siteledger.sources import views as v
+from siteledger.sources.shared import kept
 from siteledger.sources.views import AS_OF, BASE, LEDGER_AS_OF, table, view
 
 NOW, LEDGER_NOW = dt.datetime(2024, 1, 30), dt.datetime(2024, 1, 23)
@@ -149,8 +150,8 @@ def _third_linked(pairs: DataFrame) -> DataFrame:
 
 
 def link_suggestions(spark: SparkSession, d: str) -> DataFrame:
-    slugs = view(spark, d, v.SLUGS)
-    found = similarity.link_suggestions(slugs, _third_linked(similarity.top_similar(slugs)))
+    pairs = kept(similarity.top_similar(view(spark, d, v.SLUGS), at_least=similarity.FLOOR), "top-pairs")
+    found = similarity.suggestions(pairs, _third_linked(pairs))
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
@@ -311,4 +312,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     embedding_refresh, workflow_health, workflow_alerts, expiry_alerts, last_changes, article_text, existing_links, structured_data_audit, structured_data_findings,
     robots_audit, robots_findings, sitemap_audit, sitemap_findings, published_articles,
 )}
-QUERIES |= runs.QUERIES | streams.QUERIES
+QUERIES |= runs.QUERIES | streams.QUERIES | records.QUERIES

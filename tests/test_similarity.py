@@ -169,3 +169,17 @@ def test_many_terms_in_one_pass(spark):
     assert alone == {(q, t) for q in queries_ for t in terms if re.search(rf"(?<![a-z0-9]){t}(?![a-z0-9])", q)}
     many = spark.createDataFrame([(f"term {n}",) for n in range(50_000)], "term string")
     assert {r.term for r in architecture.term_matches(snap.withColumn("query", F.lit("x term 4177 y")), many).collect()} == {"term 4", "term 41", "term 417", "term 4177"}
+
+
+def test_known_articles_without_news_are_not_shuffled(spark):
+    """Of 20,000 known articles only those in the buckets of 50 new ones are joined."""
+    known = spark.range(20_000).select(F.concat(F.lit("a/"), F.col("id").cast("string")).alias("slug"), F.lit("h").alias("content_hash"))
+    news = spark.range(19_975, 20_025).select(F.concat(F.lit("a/"), F.col("id").cast("string")).alias("slug"), F.lit("text").alias("text"))
+    left = similarity.with_slugs_of(known, news)
+    assert 25 <= left.count() < 100
+    assert {r.slug for r in left.collect()} >= {f"a/{n}" for n in range(19_975, 20_000)}
+    actions = similarity.change_set(news, known).groupBy("action").count().collect()
+    assert {r.action: r["count"] for r in actions} == {"changed": 25, "new": 25}
+    plan = similarity.change_set(news, known)._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" in plan and "BroadcastExchange" in plan
+    assert similarity.with_slugs_of(known, news.filter("false")).count() == 0
