@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from siteledger.functions.scalars import NEGATIVE, outcome
+from siteledger.sources.shared import kept
 
 DAYS, GRADUATE_AT = 14, 10
 #: Changes of one type and day that stay together, and the parts of a day with more.
@@ -91,12 +92,13 @@ def _segments(measured: DataFrame, rows: int) -> DataFrame:
     range of its change ids that the row is in. A segment is a type, day and part;
     segments follow each other in the order of changes."""
     day = ["finding_type", "merged_on"]
-    cuts = [k / PARTS for k in range(1, PARTS)]
-    full = measured.groupBy(*day).agg(F.count(F.lit(1)).alias("__n"), F.percentile_approx("change_id", cuts).alias("__cuts")).filter(F.col("__n") > rows).drop("__n")
-    full = full.withColumnsRenamed({c: f"__{c}" for c in day})
     same = F.col("finding_type").eqNullSafe(F.col("__finding_type")) & F.col("merged_on").eqNullSafe(F.col("__merged_on"))
+    apart = {c: f"__{c}" for c in day}
+    full = measured.groupBy(*day).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > rows).drop("__n").withColumnsRenamed(apart)
+    cuts = F.percentile_approx("change_id", [k / PARTS for k in range(1, PARTS)]).alias("__cuts")
+    full = measured.join(full, same, "left_semi").groupBy(*day).agg(cuts).withColumnsRenamed(apart)
     part = F.size(F.filter("__cuts", lambda c: c < F.col("change_id")))
-    return measured.join(full, same, "left").withColumn("__part", F.when(F.col("__cuts").isNull(), 0).otherwise(part)).drop("__cuts", "__finding_type", "__merged_on")
+    return measured.join(full, same, "left").withColumn("__part", F.when(F.col("__cuts").isNull(), 0).otherwise(part)).drop("__cuts", *apart.values())
 
 
 def graduation_steps(measured: DataFrame, records: DataFrame | None = None, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
@@ -112,7 +114,7 @@ def graduation_steps(measured: DataFrame, records: DataFrame | None = None, segm
     bad = (F.col("outcome") == NEGATIVE).cast("int")
     key = ["finding_type", "merged_on", "__part"]
     within = W.partitionBy(*key).orderBy("change_id")
-    rows = _segments(measured, segment_rows).withColumn("__bad", F.coalesce(bad, F.lit(0))).withColumn("__nth", F.row_number().over(within))
+    rows = _segments(kept(measured, "measured"), segment_rows).withColumn("__bad", F.coalesce(bad, F.lit(0))).withColumn("__nth", F.row_number().over(within))
     rows = rows.withColumn("__run", F.sum("__bad").over(within.rowsBetween(W.unboundedPreceding, 0)))
     last_bad = F.max(F.when(F.col("__bad") == 1, F.col("__nth"))).over(within.rowsBetween(W.unboundedPreceding, 0))
     rows = rows.withColumn("__in", F.col("__nth") - F.coalesce(last_bad, F.lit(0)))

@@ -21,6 +21,8 @@ NEAR_DUPLICATE, FLOOR, TOP = 0.92, 0.35, 5
 #: fewer copies of each vector, its bytes bound what a task holds. Tables of few
 #: blocks are cut finer, down to LEAST_ROWS, so that all cores have work.
 BLOCK_ROWS, BLOCK_BYTES, LEAST_ROWS = 16_384, 32_000_000, 2048
+#: So few blocks all meet each other: no plan would save what it costs.
+FEW_BLOCKS = 8
 #: Centers of balls at most, sampled vectors a center and their bytes, rings of a
 #: ball, and the angle that covers rounding.
 CENTERS, SAMPLE, SAMPLE_BYTES, RINGS, MARGIN = 4096, 8, 64_000_000, 64, 1e-6
@@ -120,10 +122,19 @@ def _met(u: DataFrame, reach: Callable[[pd.DataFrame, np.ndarray], np.ndarray])
     return u.mapInPandas(run, StructType([*u.schema.fields, StructField("other", IntegerType())]))
 
 
+def _all_met(articles: DataFrame, blocks: int) -> DataFrame:
+    """Vectors dealt to blocks by a hash, and each block to each other."""
+    u = _units(articles).withColumn("block", F.pmod(F.xxhash64("slug"), F.lit(blocks)).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    return u.withColumn("o", other).select(F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "slug", "v")
+
+
 def dealt_pairs(articles: DataFrame, at_least: float, blocks: int | None = None) -> DataFrame:
     """Vectors dealt to pairs of blocks (i, j): a vector goes to its own block and to
-    those where a match with cosine at_least is possible."""
+    those where a match with cosine at_least is possible; to all of a few."""
     rows, blocks = _layout(articles, blocks)
+    if blocks < FEW_BLOCKS:
+        return _all_met(articles, blocks)
     u, balls = _in_balls(articles, blocks, rows)
     widest = math.acos(max(-1.0, min(1.0, at_least))) + MARGIN
 
@@ -220,14 +231,13 @@ def _is_source(f: pd.DataFrame) -> pd.DataFrame:
     return f[f["slug"].str.contains("/", regex=False)]
 
 
-def dealt_sources(articles: DataFrame, top: int = TOP, at_least: float = -2.0, blocks: int | None = None) -> tuple[DataFrame, DataFrame]:
+def dealt_sources(articles: DataFrame, top: int, at_least: float, rows: int, blocks: int) -> tuple[DataFrame, DataFrame]:
     """Best targets within each source's own block (schema of pairs), and sources and
     targets dealt to pairs of other blocks (i of the source, j of the target).
 
     What a source has found at home is its threshold: it goes only to blocks that
     can hold something as good as its last, and targets only to blocks with a
     source that they can be good enough for."""
-    rows, blocks = _layout(articles, blocks)
     u, balls = _in_balls(articles, blocks, rows)
 
     def home(f: pd.DataFrame) -> pd.DataFrame:
@@ -267,14 +277,23 @@ def dealt_sources(articles: DataFrame, top: int = TOP, at_least: float = -2.0, b
 def top_similar(articles: DataFrame, top: int = TOP, blocks: int | None = None, at_least: float = -2.0) -> DataFrame:
     """source_slug, target_slug, similarity, rank: each article's most similar
     others, at_least so similar; ties by slug. Only slugs with a / are sources."""
-    at_home, both = dealt_sources(articles, top, at_least, blocks)
+    rows, blocks = _layout(articles, blocks)
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
-        i = f["i"].iloc[0]
-        return _frame(_best(f[f["block"] == i], f[f["block"] != i], top, at_least))
+        i, j = f["i"].iloc[0], f["j"].iloc[0]
+        a, b = f[f["block"] == i], f[f["block"] == j]
+        found = _best(_is_source(a), b, top, at_least)
+        if both_ways and i != j:
+            found += _best(_is_source(b), a, top, at_least)
+        return _frame(found)
 
-    found = both.groupBy("i", "j").applyInPandas(run, "slug_a string, slug_b string, similarity double")
-    pairs = at_home.union(found).withColumnsRenamed({"slug_a": "source_slug", "slug_b": "target_slug"})
+    both_ways, found = blocks < FEW_BLOCKS, "slug_a string, slug_b string, similarity double"
+    if both_ways:
+        pairs = _all_met(articles, blocks).groupBy("i", "j").applyInPandas(run, found)
+    else:
+        at_home, both = dealt_sources(articles, top, at_least, rows, blocks)
+        pairs = at_home.union(both.groupBy("i", "j").applyInPandas(run, found))
+    pairs = pairs.withColumnsRenamed({"slug_a": "source_slug", "slug_b": "target_slug"})
     w = W.partitionBy("source_slug").orderBy(F.desc(F.rint(F.col("similarity") * 1e9)), "target_slug")
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
 

@@ -16,7 +16,7 @@ def articles(spark, **vectors):
 
 def test_near_duplicates(spark):
     a = articles(spark, c__a=[1, 0, 0], c__b=[0.99, 0.01, 0], c__c=[0, 1, 0], c__d=[0.5, 0.5, 0], c__z=[0, 0, 0])
-    for blocks in (1, 2, 3):
+    for blocks in (1, 2, 3, 8):
         got = similarity.near_duplicate_pairs(a, blocks=blocks).collect()
         assert [(r.slug_a, r.slug_b) for r in got] == [("c/a", "c/b")]
     assert similarity.near_duplicate_pairs(a.filter("false"), blocks=2).count() == 0
@@ -26,7 +26,8 @@ def test_blocked_join_equals_naive(spark, small):
     slugs = views.view(spark, small, views.SLUGS)
     rounded = lambda df: sorted((r[0], r[1], round(r[2], 9)) for r in df.collect())
     want = rounded(similarity.naive_pairs(slugs, 0.4))
-    assert want and rounded(similarity.near_duplicate_pairs(slugs, 0.4, blocks=4)) == want
+    for blocks in (4, 9):
+        assert want and rounded(similarity.near_duplicate_pairs(slugs, 0.4, blocks=blocks)) == want
 
 
 def test_link_suggestions(spark):
@@ -50,7 +51,7 @@ def test_near_equal_targets_go_by_slug(spark):
     """Forty targets whose products differ by less than the rounding: the smallest slugs win."""
     near = {f"c__t{k:02}": [1, 1e-7 * (40 - k)] for k in range(40)}
     a = spark.createDataFrame([(k.replace("__", "/"), [float(x) for x in v]) for k, v in {"c__s": [1, 0], **near}.items()], "slug string, embedding array<double>")
-    for blocks in (1, 2):
+    for blocks in (1, 2, 9):
         top = [r.target_slug for r in similarity.top_similar(a, 5, blocks).filter("source_slug = 'c/s'").orderBy("rank").collect()]
         assert top == [f"c/t{k:02}" for k in range(5)]
 
@@ -136,7 +137,7 @@ def test_far_blocks_are_not_searched(spark):
                 best = sorted((-round(float(u @ w), 9), t) for t, w in units.items() if t != s and u @ w >= floor)[:5]
                 want[s] = [(n + 1, t) for n, (_, t) in enumerate(best)]
         assert {s: sorted(x) for s, x in got.items()} == want
-    _, both = similarity.dealt_sources(a, 5, 0.35, 12)
+    _, both = similarity.dealt_sources(a, 5, 0.35, 400, 12)
     sides = both.withColumn("mine", (F.col("i") == F.col("block")).cast("int")).groupBy("i", "j").agg(F.sum("mine").alias("s"), F.count("*").alias("n"))
     assert sum(r.s * (r.n - r.s) for r in sides.collect()) < 0.5 * 400 * 399
 
@@ -144,10 +145,10 @@ def test_far_blocks_are_not_searched(spark):
 def test_many_equal_vectors_fill_several_blocks(spark, monkeypatch):
     monkeypatch.setattr(similarity, "BLOCK_ROWS", 8)
     a = spark.createDataFrame([(f"c/{k:02}", [1.0, 2.0]) for k in range(30)] + [("c/x", [2.0, -1.0])], "slug string, embedding array<double>")
-    dealt = similarity.dealt_pairs(a, 0.92, 2)
+    dealt = similarity.dealt_pairs(a, 0.92, 8)
     assert dealt.groupBy("i", "j", "block").count().agg({"count": "max"}).first()[0] < 30
-    assert similarity.near_duplicate_pairs(a, blocks=2).count() == 30 * 29 // 2
-    assert [r.target_slug for r in similarity.top_similar(a, 3, 2).filter("source_slug = 'c/07'").orderBy("rank").collect()] == ["c/00", "c/01", "c/02"]
+    assert similarity.near_duplicate_pairs(a, blocks=8).count() == 30 * 29 // 2
+    assert [r.target_slug for r in similarity.top_similar(a, 3, 8).filter("source_slug = 'c/07'").orderBy("rank").collect()] == ["c/00", "c/01", "c/02"]
 
 
 def test_many_terms_in_one_pass(spark):
