@@ -15,13 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteledger import streaming
-from siteledger.operators import findings, ledger, metrics
+from siteledger.operators import findings, ledger, metrics, similarity
 from siteledger.plans.oracle import ORACLE_SQL as BATCH_SQL
 from siteledger.sinks import ledgers, newest_version, upsert_versions
 from siteledger.sinks.snapshots import SnapshotTable
 from siteledger.sources import landing
 from siteledger.sources import views as v
-from siteledger.sources.shared import new_folder
+from siteledger.sources.shared import kept, new_folder
 from siteledger.sources.views import table, view
 
 KEYS, FINAL = ["date", "page", "query"], "date date, page string, query string, clicks int, impressions int"
@@ -115,15 +115,26 @@ def bucketed_sync(spark: SparkSession, d: str) -> DataFrame:
     found = lambda day: findings.scored(findings.current_findings(day, snapshot=snap.filter(F.col("date") <= F.lit(day))))
     one, two = (f"ledger_{uuid.uuid4().hex}" for _ in range(2))
     ledgers.bucketed(ledger.first_ledger(found(v.LEDGER_AS_OF), dt.datetime(2024, 1, 23)), one, new_folder(spark, "ledger"))
-    out = ledgers.next_version(spark, one, two, new_folder(spark, "ledger"), found(v.AS_OF), dt.datetime(2024, 1, 30))
+    out = ledgers.next_ledger(spark, one, two, new_folder(spark, "ledger"), found(v.AS_OF), dt.datetime(2024, 1, 30))
     return out.select("stable_key", "finding_type", "status", "action", "first_detected_at", "resolved_at")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (streamed_corrections, streamed_totals, streamed_health, pruned_decline, bucketed_sync)}
+def bucketed_suggestions(spark: SparkSession, d: str) -> DataFrame:
+    """suggestion_sync over suggestion tables bucketed by key."""
+    new = kept(similarity.link_suggestions(view(spark, d, v.SLUGS)), "suggestions")
+    n = F.regexp_extract("target_slug", "v([0-9]+)$", 1).cast("long") % 3
+    one, two = (f"suggestion_{uuid.uuid4().hex}" for _ in range(2))
+    ledgers.bucketed(new.filter(n < 2).withColumn("status", F.lit("open")), one, new_folder(spark, "suggestion"))
+    out = ledgers.next_suggestions(spark, one, two, new_folder(spark, "suggestion"), new.filter(n > 0))
+    return out.select("stable_key", "source_slug", "target_slug", "status", "action")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (streamed_corrections, streamed_totals, streamed_health, pruned_decline, bucketed_sync, bucketed_suggestions)}
 
 ORACLE_SQL = {
     "pruned_decline": f"SELECT page, prior_clicks, recent_clicks, decline FROM ({BATCH_SQL['content_declining']})",
     "bucketed_sync": BATCH_SQL["opportunity_sync"],
+    "bucketed_suggestions": BATCH_SQL["suggestion_sync"],
     "streamed_corrections": f"""WITH s AS ({v.SEARCH_SNAPSHOT}), a AS (
           SELECT date, page, query, CAST(clicks + 7 * n AS INT) AS clicks, impressions, n, date + CAST(CASE n WHEN 0 THEN 0 WHEN 1 THEN 1 + impressions % 3 ELSE 3 + clicks % 4 END AS INT) AS arrived
           FROM s, (VALUES (0), (1), (2)) c(n)
