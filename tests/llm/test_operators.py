@@ -660,6 +660,28 @@ def test_targets(spark, sizes):
     assert all(math.isclose(got[s], want[s], abs_tol=1e-6) for s in sizes)
 
 
+def test_taken_words_equal_a_walk_over_each_source(spark, small):
+    """All words of a source once a whole epoch, then those of the order's first
+    documents until the target is met."""
+    from siteledger.llm.mixing import SEED, mix, op8_mixing, sized
+
+    rows = sized(spark.read.parquet(f"{small}/documents.parquet"))
+    keyed = rows.withColumn("key", F.xxhash64(F.lit(SEED), "doc_id", "__tie")).collect()
+    got = {r.doc_id: r for r in op8_mixing(spark, small).collect()}
+    by = {}
+    for r in keyed:
+        by.setdefault(r.source, []).append(r)
+    for docs in by.values():
+        total = sum(r["size"] for r in docs)
+        full, rest = divmod(round(got[docs[0].doc_id].target), total)
+        for r in sorted(docs, key=lambda r: (r.key >> 40 if r.key >= 0 else (r.key + 2**64) >> 40, r.key, r["__row"])):
+            last = min(max(rest, 0), r["size"])
+            rest -= r["size"]
+            assert got[r.doc_id].taken == full * r["size"] + last
+    draws, _ = mix(rows)
+    assert draws.groupBy("doc_id").agg(F.sum("words").alias("w")).filter("w > 0").count() == sum(r.taken > 0 for r in got.values())
+
+
 def test_mixing(spark, small):
     from siteledger.llm.mixing import op8_mixing
 
