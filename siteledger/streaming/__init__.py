@@ -93,6 +93,16 @@ def final_rows(rows: DataFrame, path: str, schema: str, keys: list[str], checkpo
     return rows.writeStream.outputMode("append").foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def latest_health(steps: DataFrame) -> DataFrame:
+    """The newest run of each workflow and its status, from a stream of steps
+    (workflow, run_on, outcome), without state of its own; use in update mode.
+    `newest_runs` also counts failed steps."""
+    bad = F.max(F.when(F.col("outcome") == "failure", F.col("run_on"))).alias("last_failed_on")
+    per = steps.groupBy("workflow").agg(F.max("run_on").alias("run_on"), bad)
+    failed = F.coalesce(F.col("last_failed_on") == F.col("run_on"), F.lit(False))
+    return per.select("workflow", "run_on", F.when(failed, "failed").otherwise("ok").alias("status"))
+
+
 class NewestRun(StatefulProcessor):
     """Keeps the newest run of a workflow's part and how many of its steps failed;
     a newer run starts from 0, steps of older ones are left out."""
