@@ -6,8 +6,8 @@ uniform over the known words and one unknown word. A restaurant's customers are
 the tokens seen in its context; each of its tables is a customer of the parent.
 Numbers of tables are sampled by Gibbs: given the parent's probability of a word
 and the restaurant's total of tables, the seating of a word's customers is drawn
-afresh (from its exact conditional up to EXACT customers, by seating the others
-in doubling groups), then the parent's seating. Predictive probabilities of
+afresh (from its exact conditional up to EXACT customers, beyond that by a close
+approximation, `sample_tables`), then the parent's seating. Predictive probabilities of
 SAMPLES sweeps are averaged.
 
 Tokens are shuffled by the word they are: a word's tokens in all contexts and
@@ -145,28 +145,49 @@ def _stirling(discount: float) -> list[np.ndarray]:
     return rows
 
 
+def _held(free: np.ndarray, end: np.ndarray, pull: np.ndarray, discount: float) -> np.ndarray:
+    """By what a table more scales the weight of the customers still to come: each of
+    them finds discount places fewer at the tables there are. free and end: customers
+    less discount times tables, now and when all are seated."""
+    out = (free / end) ** discount
+    for _ in range(4):  # some of those to come open tables of their own
+        out = ((free + pull * out) / (end + pull)) ** discount
+    return out
+
+
 def sample_tables(c: np.ndarray, pull: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
     """Tables of each word with c customers, where a new table weighs pull
-    (parent's probability times strength plus discount times all tables)."""
+    (parent's probability times strength plus discount times all tables).
+
+    Up to EXACT customers they are drawn from the exact conditional. Of more, the
+    first EXACT are drawn so, each of their tables weighed by what it does to those
+    to come; the others follow in groups of a quarter of those seated, whose chance of
+    a table of their own is weighed the same way."""
     out = np.minimum(c, 1).astype(np.int64)
     order = np.argsort(c, kind="stable")
     cut = np.searchsorted(c[order], np.arange(EXACT + 2))
     logs = _stirling(discount)
-    for k in range(2, EXACT + 1):
-        at = order[cut[k] : cut[k + 1] if k < EXACT else len(order)]
+    for k in range(2, EXACT + 2):
+        at = order[cut[k] : cut[k + 1] if k <= EXACT else len(order)]
+        tables = np.arange(1, min(k, EXACT) + 1)
         for i in range(0, len(at), 400_000 // k):
             some = at[i : i + 400_000 // k]
-            w = logs[k][1 : k + 1] + np.arange(1, k + 1) * np.log(np.maximum(pull[some], 1e-300))[:, None]
+            p = np.maximum(pull[some], 1e-300)[:, None]
+            w = logs[len(tables)][tables] + tables * np.log(p)
+            if k > EXACT:
+                taken = discount * (tables - 0.5)
+                w = w + np.cumsum(np.log(_held(EXACT - taken, c[some][:, None] - taken, p, discount)), axis=1)
             w = np.cumsum(np.exp(w - w.max(axis=1, keepdims=True)), axis=1)
             u = rng.random(len(some)) * w[:, -1]
-            out[some] = np.minimum((w < u[:, None]).sum(axis=1) + 1, k)
+            out[some] = np.minimum((w < u[:, None]).sum(axis=1) + 1, len(tables))
     big = order[cut[EXACT + 1] :]
     seated = np.full(len(big), EXACT, dtype=np.int64)
     while len(big):
-        more = np.minimum(seated, c[big] - seated)
-        mid = seated + more / 2
-        p = pull[big] / np.maximum(mid - discount * out[big] + pull[big], 1e-9)
-        out[big] += rng.binomial(more, np.clip(p, 0, 1))
+        more = np.minimum(seated // 4, c[big] - seated)
+        taken = discount * out[big]
+        free = seated + (more - 1) / 2 - taken
+        new = pull[big] * _held(free, c[big] - taken, pull[big], discount)
+        out[big] += rng.binomial(more, np.clip(new / np.maximum(free + new, 1e-9), 0, 1))
         seated = seated + more
         left = seated < c[big]
         big, seated = big[left], seated[left]

@@ -447,6 +447,37 @@ def test_seating_follows_its_distribution():
     assert many[0] == 1 and many[1] == 0 and 3 < many[2] < 40
 
 
+def test_many_customers_are_seated_as_the_exact_conditional_says():
+    """Tables of up to 1000 customers: means and deviations against the conditional
+    itself, which is pull ** tables times a generalised Stirling number."""
+    from siteledger.llm.pitman_yor import sample_tables
+
+    def conditional(c, pull, d):
+        logs = np.full(c + 2, -np.inf)
+        logs[1] = 0.0
+        for m in range(1, c):
+            new = np.full(c + 2, -np.inf)
+            new[1:] = np.logaddexp(logs[:-1], logs[1:] + np.log(np.maximum(m - d * np.arange(1, c + 2), 1e-300)))
+            new[m + 2 :] = -np.inf
+            logs = new
+        w = logs[1 : c + 1] + np.arange(1, c + 1) * math.log(pull)
+        w = np.exp(w - w.max())
+        return w / w.sum()
+
+    rng, n = np.random.default_rng(3), 6000
+    for d in (0.3, 0.75):
+        for c in (5, 64, 65, 128, 1000):
+            for pull, within in ((0.05, 0.03), (1.0, 0.04), (20.0, 0.08)):
+                p = conditional(c, pull, d)
+                tables = np.arange(1, c + 1)
+                mean = (p * tables).sum()
+                sd = math.sqrt((p * tables**2).sum() - mean**2)
+                got = sample_tables(np.full(n, c), np.full(n, pull), d, rng)
+                slack = 4 * sd / math.sqrt(n)
+                assert abs(got.mean() - mean) < (within * mean if c > 64 else 0) + slack, (d, c, pull)
+                assert abs(got.std() - sd) < 0.12 * sd + 0.02 and got.min() >= 1 and got.max() <= c
+
+
 # --- 5: sorted shards -----------------------------------------------------
 
 
