@@ -442,9 +442,10 @@ def test_seating_follows_its_distribution():
     # Weights of t tables for 3 customers: generalised Stirling numbers times 0.7 ** t.
     s = np.array([0.6 * 1.6, 3 * 0.6, 1.0]) * 0.7 ** np.arange(1, 4)
     assert np.allclose(np.bincount(t, minlength=4)[1:] / 20_000, s / s.sum(), atol=0.015)
-    many = sample_tables(np.array([1, 0, 5000]), np.array([1.0, 1.0, 1.0]), 0.5, rng)
-    # With a fixed pull of 1, tables grow with the logarithm of the customers.
-    assert many[0] == 1 and many[1] == 0 and 3 < many[2] < 40
+    many = sample_tables(np.array([1, 0, *[5000] * 20_000]), np.ones(20_002), 0.5, rng)
+    # Of very many customers, all tables but one follow nearly a Poisson law of mean pull / discount.
+    assert many[0] == 1 and many[1] == 0 and many[2:].min() == 1
+    assert abs(many[2:].mean() - 3) < 0.06 and abs(many[2:].std() - math.sqrt(2)) < 0.06
 
 
 def test_many_customers_are_seated_as_the_exact_conditional_says():
