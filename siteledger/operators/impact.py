@@ -53,15 +53,19 @@ def site_wide_sums(changes: DataFrame, daily: DataFrame, days: int = DAYS) -> Da
 
 
 def page_sums(changes: DataFrame, daily: DataFrame, days: int = DAYS) -> DataFrame:
-    """As site_wide_sums, of the change's own page: changes are spread over their
-    days and joined on page and day, so the join is an equi-join."""
+    """As site_wide_sums, of the change's own page: each page and day of merging is
+    spread over its days and joined on page and day, so the join is an equi-join.
+
+    Spread rows are 2 * days times as many as Spark reckons, so they are merged and
+    never broadcast; changes of one page and day share their sums."""
+    key = ["page", "merged_on"]
     per = daily.groupBy("page", "day").agg(F.sum("clicks").alias("clicks"))
-    spread = changes.select("id", "page", "merged_on", F.explode(F.sequence(F.date_sub("merged_on", days), F.date_add("merged_on", days - 1))).alias("day"))
-    sums = spread.join(per, ["page", "day"]).groupBy("id").agg(
+    spread = changes.select(*key).distinct().select(*key, F.explode(F.sequence(F.date_sub("merged_on", days), F.date_add("merged_on", days - 1))).alias("day"))
+    sums = spread.hint("merge").join(per, ["page", "day"]).groupBy(*key).agg(
         F.sum(F.when(F.col("day") < F.col("merged_on"), F.col("clicks")).otherwise(0)).alias("before"),
         F.sum(F.when(F.col("day") >= F.col("merged_on"), F.col("clicks")).otherwise(0)).alias("after"),
     )
-    return changes.join(sums, "id", "left").fillna(0, ["before", "after"])
+    return changes.join(sums, key, "left").select(*changes.columns, "before", "after").fillna(0, ["before", "after"])
 
 
 def naive_site_wide_sums(changes: DataFrame, daily: DataFrame, days: int = DAYS) -> DataFrame:
