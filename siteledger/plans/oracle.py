@@ -176,8 +176,9 @@ ORACLE_SQL: dict[str, str] = {
     "expiry_alerts": f"""WITH e AS ({v.EXPIRATIONS}), t AS (SELECT name, CAST(floor(date_diff('second', TIMESTAMP '1998-08-01 13:00:00', TRY_CAST(expires_at AS TIMESTAMP)) / 86400.0 + 0.5) AS BIGINT) AS days_left FROM e)
         SELECT * FROM t WHERE days_left < 30""",
     "last_changes": f"WITH c AS ({v.APPLIED_CHANGE}) SELECT id, finding_type, status, merged_on FROM c ORDER BY merged_on DESC, id DESC LIMIT 20",
+    # HTML reads these names also without their semicolon, as at the end of a title that was cut.
     "article_text": r"""WITH inner_ AS (SELECT url, regexp_replace(regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1), '<[^>]*>', '', 'g') AS t FROM pages),
-        plain AS (SELECT url, replace(replace(replace(replace(replace(replace(t, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS t FROM inner_)
+        plain AS (SELECT url, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '&copy;?', '©', 'g'), '&middot;?', '·', 'g'), '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g') AS t FROM inner_)
         SELECT url, trim(regexp_replace(t, '[\s\x0B\x85\p{Z}\x{FEFF}]+', ' ', 'g')) AS text FROM plain""",
     "existing_links": r"""WITH h AS (SELECT url, unnest(regexp_extract_all(replace(html, 'href="/', 'href="/blog/'), '<a [^>]*href="([^"]*)"', 1)) AS href FROM pages),
         s AS (SELECT DISTINCT url, regexp_replace(regexp_extract(replace(href, '&amp;', '&'), '/blog/([^"?#\s]+)', 1), '/$', '') AS slug FROM h) SELECT * FROM s WHERE slug <> ''""",
