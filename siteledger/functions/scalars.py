@@ -26,10 +26,11 @@ def content_hash(text: Column | str) -> Column:
 
 
 def unit(v: Column) -> Column:
-    """v over its Euclidean length, in doubles; null if the length is 0."""
+    """v over its Euclidean length, in doubles; null if the length is 0. The length is
+    put beside each number, as within transform it would be summed up for each."""
     v = v.cast("array<double>")
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(norm > 0, F.transform(v, lambda x: x / norm))
+    return F.when(norm > 0, F.zip_with(v, F.array_repeat(norm, F.size(v)), lambda x, n: x / n))
 
 
 def dot(a: Column, b: Column) -> Column:

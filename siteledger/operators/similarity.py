@@ -8,6 +8,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -19,8 +21,12 @@ from siteledger.sources.shared import kept
 NEAR_DUPLICATE, FLOOR, TOP = 0.92, 0.35, 5
 #: Vectors in a block of the blocked join, and bytes of them: a bigger block means
 #: fewer copies of each vector, its bytes bound what a task holds. Tables of few
-#: blocks are cut finer, down to LEAST_ROWS, so that all cores have work.
-BLOCK_ROWS, BLOCK_BYTES, LEAST_ROWS = 16_384, 32_000_000, 2048
+#: blocks are cut finer, down to LEAST_ROWS, so that each core has PAIRS_A_CORE pairs
+#: of blocks.
+BLOCK_ROWS, BLOCK_BYTES, LEAST_ROWS, PAIRS_A_CORE = 65_536, 32_000_000, 2048, 4
+#: Rows and columns of the products that a task holds at once, and pairs of a batch
+#: that it gives back.
+TILE, SENT = (256, 8192), 100_000
 #: So few blocks all meet each other: no plan would save what it costs.
 FEW_BLOCKS = 8
 #: Centers of balls at most, sampled vectors a center and their bytes, rings of a
@@ -31,8 +37,9 @@ SLUG_BUCKETS = 1 << 18
 
 
 def _units(articles: DataFrame) -> DataFrame:
-    """slug and unit vector; vectors that are null or of length 0 match nothing."""
-    return articles.select("slug", unit(F.col("embedding")).alias("v")).filter("v is not null")
+    """slug and unit vector; vectors that are null or of length 0, and those without
+    a slug, match nothing."""
+    return articles.select("slug", unit(F.col("embedding")).alias("v")).filter("v is not null and slug is not null")
 
 
 def naive_pairs(articles: DataFrame, at_least: float) -> DataFrame:
@@ -114,8 +121,8 @@ def _met(u: DataFrame, reach: Callable[[pd.DataFrame, np.ndarray], np.ndarray])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for k in range(0, len(f), 2048):
-                part = f.iloc[k : k + 2048]
+            for k in range(0, len(f), 512):
+                part = f.iloc[k : k + 512]
                 row, other = np.nonzero(reach(part, np.stack(part["v"].to_list())))
                 yield part.iloc[row].assign(other=other.astype("int32"))
 
@@ -154,49 +161,91 @@ def products(dealt: DataFrame) -> DataFrame:
 
 
 def _layout(articles: DataFrame, blocks: int | None = None) -> tuple[int, int]:
-    """Most vectors of a block, and how many blocks: as few as their size allows,
-    but enough for a task a shuffle partition."""
+    """Most vectors of a block, and how many blocks: as few as their size allows, but
+    enough for PAIRS_A_CORE pairs a core, or a pair a shuffle partition if that is less."""
     spark = articles.sparkSession
     size = articles.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("embedding")), F.lit(1)).alias("dims")).first()
     rows = max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * max(size.dims, 1))))
     if blocks is None:
-        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        tasks = min(int(spark.conf.get("spark.sql.shuffle.partitions")), PAIRS_A_CORE * spark.sparkContext.defaultParallelism)
         blocks = max(1, -(-size.n // rows), min(-(-size.n // LEAST_ROWS), math.ceil(math.sqrt(2 * tasks))))
     return rows, blocks
 
 
 _PAIR = ("slug_a", "slug_b", "similarity")
+_PAIRS = "slug_a string, slug_b string, similarity double"
 
 
-def _frame(found: list[tuple]) -> pd.DataFrame:
-    found = [x for x in found if len(x[0])]
-    cols = zip(*found) if found else [[np.array([], object)], [np.array([], object)], [np.array([], float)]]
-    return pd.DataFrame(dict(zip(_PAIR, (np.concatenate(list(c)) for c in cols))))
+@dataclass
+class Block:
+    """Vectors of a block: slugs, their ranks among all slugs that a task holds, and
+    unit vectors, also rounded to single precision."""
 
+    slugs: pa.Array
+    rank: np.ndarray
+    v: np.ndarray
+    rough: np.ndarray
 
-def _matrix(f: pd.DataFrame) -> np.ndarray:
-    return np.stack(f["v"].to_list()) if len(f) else np.zeros((0, 1))
+    def where(self, mask: np.ndarray) -> Block:
+        at = np.flatnonzero(mask)
+        return Block(self.slugs.take(pa.array(at)), self.rank[at], self.v[at], self.rough[at])
 
+    def is_source(self) -> np.ndarray:
+        return pc.match_substring(self.slugs, "/").to_numpy(zero_copy_only=False)
 
-def near_duplicate_pairs(articles: DataFrame, at_least: float = NEAR_DUPLICATE, blocks: int | None = None) -> DataFrame:
-    """slug_a < slug_b with cosine >= at_least: exact, by products of blocks that
-    can hold a pair."""
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        i, j = f["i"].iloc[0], f["j"].iloc[0]
-        a, b = f[f["block"] == i], f[f["block"] == j]
-        va, vb, sa, sb = _matrix(a), _matrix(b), a["slug"].to_numpy(object), b["slug"].to_numpy(object)
-        found = []
-        for k in range(0, len(a) if len(b) else 0, 256):
-            s = va[k : k + 256] @ vb.T
-            x, y = np.nonzero(s >= at_least)
-            if i == j:
-                x, y = x[sa[k + x] < sb[y]], y[sa[k + x] < sb[y]]
-            first = np.array([p < q for p, q in zip(sa[k + x], sb[y])], bool)
-            found.append((np.where(first, sa[k + x], sb[y]), np.where(first, sb[y], sa[k + x]), s[x, y]))
-        return _frame(found)
+def _block(slugs: pa.Array, lists: pa.Array) -> Block:
+    sizes = pc.list_value_length(lists).unique()
+    if len(sizes) > 1:
+        raise ValueError(f"vectors differ in their dimensions: {sorted(sizes.to_pylist())}")
+    v = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(slugs), -1)
+    rank = pc.rank(slugs, tiebreaker="dense").to_numpy().astype(np.int64)
+    return Block(slugs, rank, v, v.astype(np.float32))
+
+
+def _two_blocks(batches: Iterator[pa.RecordBatch], i: int, j: int) -> tuple[Block, Block]:
+    """The blocks i and j of dealt rows (i, j, block, slug, v)."""
+    table = pa.Table.from_batches(list(batches)).select(["block", "slug", "v"])
+    block = table["block"].to_numpy()
+    both = _block(table["slug"].combine_chunks(), table["v"].combine_chunks())
+    return both.where(block == i), (both.where(block == j) if i != j else both)
+
 
-    return dealt_pairs(articles, at_least, blocks).groupBy("i", "j").applyInPandas(run, "slug_a string, slug_b string, similarity double")
+def _room(a: Block) -> float:
+    """What rounding to single precision can change a product of unit vectors by."""
+    return (a.v.shape[1] + 8) * 1.2e-7
+
+
+def _sent(a: pa.Array, b: pa.Array, s: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for k in range(0, len(s), SENT):
+        yield pa.RecordBatch.from_arrays([a[k : k + SENT], b[k : k + SENT], pa.array(s[k : k + SENT])], names=list(_PAIR))
+
+
+def near_duplicate_pairs(articles: DataFrame, at_least: float = NEAR_DUPLICATE, blocks: int | None = None) -> DataFrame:
+    """slug_a < slug_b with cosine >= at_least: exact, by products of blocks that
+    can hold a pair. Products in single precision find the pairs that may reach it,
+    those in double precision decide; a tile's pairs are given back before the next."""
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        i, j = (k.as_py() for k in key)
+        a, b = _two_blocks(batches, i, j)
+        floor = at_least - _room(a)
+        for k in range(0, len(a.rank), TILE[0]):
+            for c in range(0, len(b.rank), TILE[1]):
+                m = a.rough[k : k + TILE[0]] @ b.rough[c : c + TILE[1]].T
+                x, y = np.divmod(np.flatnonzero(m >= floor), m.shape[1])
+                x, y = x + k, y + c
+                apart = a.rank[x] < b.rank[y] if i == j else a.rank[x] != b.rank[y]
+                x, y = x[apart], y[apart]
+                for n in range(0, len(x), SENT):
+                    p, q = x[n : n + SENT], y[n : n + SENT]
+                    s = np.einsum("ij,ij->i", a.v[p], b.v[q])
+                    p, q, s = p[s >= at_least], q[s >= at_least], s[s >= at_least]
+                    first = pa.array(a.rank[p] < b.rank[q])
+                    of_a, of_b = a.slugs.take(pa.array(p)), b.slugs.take(pa.array(q))
+                    yield from _sent(pc.if_else(first, of_a, of_b), pc.if_else(first, of_b, of_a), s)
+
+    return dealt_pairs(articles, at_least, blocks).groupBy("i", "j").applyInArrow(run, _PAIRS)
 
 
 def in_order(pairs: DataFrame) -> DataFrame:
@@ -204,31 +253,41 @@ def in_order(pairs: DataFrame) -> DataFrame:
     return pairs.orderBy(F.desc(F.rint(F.col("similarity") * 1e9)), "slug_a", "slug_b")
 
 
-def _best(sources: pd.DataFrame, targets: pd.DataFrame, top: int, at_least: float) -> list[tuple]:
-    """Each source's best targets, in runs of (sources, targets, similarities); sums
-    that tie once rounded go by slug."""
-    if not len(sources) or not len(targets):
-        return []
-    targets = targets.sort_values("slug")
-    va, vb, sa, sb = _matrix(sources), _matrix(targets), sources["slug"].to_numpy(object), targets["slug"].to_numpy(object)
-    found = []
-    for k in range(0, len(sa), 256):
-        s = va[k : k + 256] @ vb.T
-        s[(sa[k : k + 256, None] == sb[None, :]) | (s < at_least)] = -np.inf
-        r = np.rint(s * 1e9)
-        last = max(len(sb) - top, 0)
-        least = np.partition(r, last, axis=1)[:, last]  # the rounded value of the last that counts, ties with it too
-        x, y = np.nonzero((r >= least[:, None]) & (s > -np.inf))
-        order = np.lexsort((y, -r[x, y], x))
-        x, y = x[order], y[order]
-        nth = np.arange(len(x)) - np.searchsorted(x, x, side="left")
-        x, y = x[nth < top], y[nth < top]
-        found.append((sa[k + x], sb[y], s[x, y]))
-    return found
-
-
-def _is_source(f: pd.DataFrame) -> pd.DataFrame:
-    return f[f["slug"].str.contains("/", regex=False)]
+def _best(a: Block, b: Block, top: int, at_least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The best targets in b of each source in a, in runs of (places in a, places in b,
+    similarities); sums that tie once rounded go by slug.
+
+    Products in single precision leave out what cannot be among a source's best, given
+    at_least and what it has found so far; those in double precision rank the others."""
+    room = _room(a) + 2e-9
+    alike = int(np.bincount(b.rank).max()) if len(b.rank) else 0  # targets with one slug at most
+    for k in range(0, len(a.rank) if len(b.rank) else 0, TILE[0]):
+        rank, rough = a.rank[k : k + TILE[0]], a.rough[k : k + TILE[0]]
+        floor = np.full(len(rank), max(at_least, -2.0) - room, np.float32)
+        x, y, s = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+        for c in range(0, len(b.rank), TILE[1]):
+            m = rough @ b.rough[c : c + TILE[1]].T
+            hit = m >= floor[:, None]
+            last = m.shape[1] - top - alike  # the source itself, too, may be among the products
+            if last > 0 and np.count_nonzero(hit) > 64 * len(rank):
+                hit &= m >= np.partition(np.where(hit, m, -np.inf), last, axis=1)[:, last, None] - 2 * room
+            p, q = np.divmod(np.flatnonzero(hit), m.shape[1])
+            q = q + c
+            other = rank[p] != b.rank[q]
+            p, q = p[other], q[other]
+            if not len(p):
+                continue
+            t = np.concatenate([np.einsum("ij,ij->i", a.v[k + p[n : n + SENT]], b.v[q[n : n + SENT]]) for n in range(0, len(p), SENT)])
+            good = t >= at_least
+            x, y, s = np.append(x, p[good]), np.append(y, q[good]), np.append(s, t[good])
+            order = np.lexsort((b.rank[y], -np.rint(s * 1e9), x))
+            x, y, s = x[order], y[order], s[order]
+            nth = np.arange(len(x)) - np.searchsorted(x, x, side="left")
+            full = nth == top - 1
+            floor[x[full]] = np.maximum(floor[x[full]], s[full] - room)
+            x, y, s = x[nth < top], y[nth < top], s[nth < top]
+        if len(x):
+            yield k + x, y, s
 
 
 def dealt_sources(articles: DataFrame, top: int, at_least: float, rows: int, blocks: int) -> tuple[DataFrame, DataFrame]:
@@ -240,21 +299,23 @@ def dealt_sources(articles: DataFrame, top: int, at_least: float, rows: int, blo
     source that they can be good enough for."""
     u, balls = _in_balls(articles, blocks, rows)
 
-    def home(f: pd.DataFrame) -> pd.DataFrame:
-        out = f.reset_index(drop=True)[["slug", "v", "block"]]
-        found = _frame(_best(_is_source(f), f, top, at_least))
-        if not len(found):
-            none = pd.Series([[]] * len(out))
-            return out.assign(targets=none, found=none, goal=at_least)
-        by = found.groupby("slug_a", sort=False)
-        n, least = by.size(), by["similarity"].min()
-        goal = least.where(n >= top, at_least).reindex(f["slug"]).fillna(at_least).to_numpy()
-        lists = by.agg(targets=("slug_b", list), found=("similarity", list)).reindex(f["slug"])
-        for c in ("targets", "found"):
-            out[c] = [x if isinstance(x, list) else [] for x in lists[c]]
-        return out.assign(goal=goal)
-
-    homes = kept(u.groupBy("block").applyInPandas(home, "slug string, v array<double>, block int, targets array<string>, found array<double>, goal double"), "homes")
+    def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches)).select(["slug", "v", "block"]).combine_chunks()
+        slug, v, block = (table.column(c).chunk(0) for c in range(3))
+        b = _block(slug, v)
+        at = np.flatnonzero(b.is_source())
+        runs = [(at[x], y, s) for x, y, s in _best(b.where(b.is_source()), b, top, at_least)]
+        x, y, s = (np.concatenate([r[k] for r in runs]) for k in range(3)) if runs else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        n = np.bincount(x, minlength=len(slug))
+        starts = np.append(0, np.cumsum(n)).astype(np.int32)
+        goal = np.full(len(slug), float(at_least))
+        goal[n >= top] = s[starts[1:][n >= top] - 1]  # the last of a full list
+        targets = pa.ListArray.from_arrays(pa.array(starts), slug.take(pa.array(y)))
+        found = pa.ListArray.from_arrays(pa.array(starts), pa.array(s))
+        for batch in pa.Table.from_arrays([slug, v, block, targets, found, pa.array(goal)], names=["slug", "v", "block", "targets", "found", "goal"]).to_batches(SENT):
+            yield batch
+
+    homes = kept(u.groupBy("block").applyInArrow(home, "slug string, v array<double>, block int, targets array<string>, found array<double>, goal double"), "homes")
     is_source = F.contains("slug", F.lit("/"))
     lowest = np.full(len(balls.ball), np.inf)
     for r in homes.filter(is_source).groupBy("block").agg(F.min("goal").alias("goal")).collect():  # a number a block
@@ -279,20 +340,20 @@ def top_similar(articles: DataFrame, top: int = TOP, blocks: int | None = None,
     others, at_least so similar; ties by slug. Only slugs with a / are sources."""
     rows, blocks = _layout(articles, blocks)
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        i, j = f["i"].iloc[0], f["j"].iloc[0]
-        a, b = f[f["block"] == i], f[f["block"] == j]
-        found = _best(_is_source(a), b, top, at_least)
-        if both_ways and i != j:
-            found += _best(_is_source(b), a, top, at_least)
-        return _frame(found)
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        i, j = (k.as_py() for k in key)
+        a, b = _two_blocks(batches, i, j)
+        for p, q in ((a, b), (b, a)) if both_ways and i != j else ((a, b),):
+            sources = p.where(p.is_source())
+            for x, y, s in _best(sources, q, top, at_least):
+                yield from _sent(sources.slugs.take(pa.array(x)), q.slugs.take(pa.array(y)), s)
 
-    both_ways, found = blocks < FEW_BLOCKS, "slug_a string, slug_b string, similarity double"
+    both_ways = blocks < FEW_BLOCKS
     if both_ways:
-        pairs = _all_met(articles, blocks).groupBy("i", "j").applyInPandas(run, found)
+        pairs = _all_met(articles, blocks).groupBy("i", "j").applyInArrow(run, _PAIRS)
     else:
         at_home, both = dealt_sources(articles, top, at_least, rows, blocks)
-        pairs = at_home.union(both.groupBy("i", "j").applyInPandas(run, found))
+        pairs = at_home.union(both.groupBy("i", "j").applyInArrow(run, _PAIRS))
     pairs = pairs.withColumnsRenamed({"slug_a": "source_slug", "slug_b": "target_slug"})
     w = W.partitionBy("source_slug").orderBy(F.desc(F.rint(F.col("similarity") * 1e9)), "target_slug")
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
