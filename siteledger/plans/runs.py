@@ -16,6 +16,7 @@ from siteledger.functions.scalars import content_hash, stable_key
 from siteledger.operators import architecture, changes, documents, findings, impact, ledger, reporting, similarity
 from siteledger.sources import landing
 from siteledger.sources import views as v
+from siteledger.sources.shared import kept
 from siteledger.sources.views import AS_OF, BASE, LEDGER_AS_OF, table, view
 
 NOW, LATER = dt.datetime(2024, 1, 30), dt.datetime(2024, 2, 6)
@@ -99,7 +100,7 @@ def reopened_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def _architecture(spark: SparkSession, d: str) -> DataFrame:
     history = architecture.template_history(view(spark, d, v.PERFORMANCE_AUDIT), order="run_no")
-    pairs = similarity.near_duplicate_pairs(view(spark, d, v.SLUGS), NEAR)
+    pairs = kept(similarity.near_duplicate_pairs(view(spark, d, v.SLUGS), NEAR), "near-pairs")
     return findings.scored(architecture.architecture_findings(history, pairs, _region_gap(spark, d)))
 
 
@@ -199,7 +200,7 @@ def collection_failures(spark: SparkSession, d: str) -> DataFrame:
 
 def _linked_ledger(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     articles = view(spark, d, v.ARTICLES).select("slug", "text", content_hash(F.coalesce("text", F.lit(""))).alias("content_hash"), "embedding")
-    made = similarity.link_suggestions(articles).withColumn("status", F.lit("open"))
+    made = kept(similarity.link_suggestions(articles), "suggestions").withColumn("status", F.lit("open"))
     return ledger.first_ledger(findings.scored(findings.internal_link_findings(made)), NOW), articles
 
 
