@@ -6,7 +6,7 @@ import datetime as dt
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +16,9 @@ from siteledger.operators import findings
 from siteledger.sources.landing import sitemap_urls
 
 STALE_DAYS = 400
+#: Characters of pages whose parts are given back together: objects of Python take
+#: several times a page, so few pages are held as such at once.
+GIVEN_CHARS = 2_000_000
 NO_JSON_LD = "No se encontró ningún bloque JSON-LD en la página"
 BAD_JSON_LD = "El bloque JSON-LD no es JSON válido"
 PAGE_FAILED = "No se pudo obtener la página: "
@@ -121,21 +124,35 @@ class _Page(HTMLParser):
         return "".join(next(x for x in (self.article, self.main, self.body) if x is not None))
 
 
+def _given(b: pa.RecordBatch, out: list[tuple], last: int) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.list_(pa.string()), pa.list_(pa.string()))
+    first = last - len(out)
+    return pa.RecordBatch.from_arrays([b.column(0)[first:last], b.column(2)[first:last], *[pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)]], names=["url", "fetch_error", "raw", "hrefs", "blocks"])
+
+
+def parsed_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """url, fetch_error, raw, hrefs and blocks of url, html, fetch_error, each page
+    parsed once, given back a few pages at a time."""
+    for b in batches:
+        out, size = [], 0
+        for n, html in enumerate(b.column(1)):
+            text = html.as_py() or ""
+            page = _Page()
+            page.feed(text)
+            page.close()
+            out.append((page.text, page.hrefs, page.blocks))
+            size += len(text)
+            if size >= GIVEN_CHARS:
+                yield _given(b, out, n + 1)
+                out, size = [], 0
+        if out:
+            yield _given(b, out, len(b.column(1)))
+
+
 def extract_pages(pages: DataFrame) -> DataFrame:
     """url, fetch_error, text, hrefs and blocks (JSON-LD) of pages (url, html,
     fetch_error), each page parsed once; text is null where the fetch failed."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for html in f["html"]:
-                page = _Page()
-                page.feed(html or "")
-                page.close()
-                out.append((page.text, page.hrefs, page.blocks))
-            yield pd.DataFrame({"url": f["url"], "fetch_error": f["fetch_error"], "raw": [x[0] for x in out], "hrefs": [x[1] for x in out], "blocks": [x[2] for x in out]})
-
-    parsed = pages.select("url", "html", "fetch_error").mapInPandas(run, "url string, fetch_error string, raw string, hrefs array<string>, blocks array<string>")
+    parsed = pages.select("url", "html", "fetch_error").mapInArrow(parsed_pages, "url string, fetch_error string, raw string, hrefs array<string>, blocks array<string>")
     failed = F.col("fetch_error").isNotNull()
     return parsed.select("url", "fetch_error", F.when(~failed, collapsed(F.col("raw"))).alias("text"), F.when(~failed, F.col("hrefs")).alias("hrefs"), F.when(~failed, F.col("blocks")).alias("blocks"))
 
