@@ -32,6 +32,8 @@ FEW_BLOCKS = 8
 #: Centers of balls at most, sampled vectors a center and their bytes, rings of a
 #: ball, and the angle that covers rounding.
 CENTERS, SAMPLE, SAMPLE_BYTES, RINGS, MARGIN = 4096, 8, 64_000_000, 64, 1e-6
+#: Characters of texts that are cut into words at once: words take many times their letters.
+EMBEDDED_CHARS = 500_000
 #: Buckets of slugs by which known articles are read.
 SLUG_BUCKETS = 1 << 18
 
@@ -404,11 +406,13 @@ def hashing_embedder(dims: int = 256) -> Callable[[Column], Column]:
 
     @F.pandas_udf("array<float>")
     def embed(text: pd.Series) -> pd.Series:
-        words = text.fillna("").str.lower().str.findall(r"\w+")
-        flat = words.explode().dropna()
-        slots = pd.util.hash_array(flat.to_numpy(object)) % np.uint64(dims)
+        text = text.fillna("").reset_index(drop=True)
         out = np.zeros((len(text), dims), np.float32)
-        np.add.at(out, (np.searchsorted(text.index.to_numpy(), flat.index.to_numpy()), slots.astype(np.int64)), 1)
+        piece = text.str.len().cumsum() // EMBEDDED_CHARS
+        for _, some in text.groupby(piece, sort=False):
+            flat = some.str.lower().str.findall(r"\w+").explode().dropna()
+            slots = pd.util.hash_array(flat.to_numpy(object)) % np.uint64(dims)
+            np.add.at(out, (flat.index.to_numpy(np.int64), slots.astype(np.int64)), 1)
         return pd.Series(list(out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)))
 
     return embed
