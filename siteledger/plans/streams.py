@@ -60,7 +60,7 @@ def landed(rows: DataFrame, folder: str) -> list[Callable[[], None]]:
 def streamed_corrections(spark: SparkSession, d: str) -> DataFrame:
     """Snapshot rows as the last correction in time left them, of all final days."""
     session = streaming.streaming_session(spark)
-    rows = view(session, d, CORRECTIONS)
+    rows = kept(view(session, d, CORRECTIONS), "arrivals")  # each week lands from it
     land, out, at = (new_folder(spark, n) for n in ("corrections-landing", "corrections", "corrections-checkpoint"))
     for step in landed(rows, land):
         step()
