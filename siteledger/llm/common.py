@@ -31,7 +31,7 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def stored(df: DataFrame, name: str = "step") -> DataFrame:
+def stored(df: DataFrame, name: str = "step", **options: str) -> DataFrame:
     """df written once to the shared folder and read back, so that later jobs
     neither compute it again nor depend on any executor. Shuffle files of the
     write go as soon as it ends: nothing reads them again."""
@@ -40,7 +40,7 @@ def stored(df: DataFrame, name: str = "step") -> DataFrame:
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
